@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendloom.llm import mixing
 from trendloom.llm.packing import op10_best_fit_packing
+from trendloom.llm.sharding import op5_key_shards
+from trendloom.llm.simhash import op4_simhash_near_dedup
 from trendloom.llm.suffix_dedup import op2_suffix_dedup
 from trendloom.llm.token_index import op1_token_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_key_shards": op5_key_shards,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mix_sources": mixing.ORACLE}
