@@ -27,7 +27,7 @@ WINDOW = 5
 SPACE_CHAR = r"[\x20\x09-\x0D]"
 ROUNDS, PRIOR = 15, 0.85
 #: Of votes against: their shares on good and on bad documents; of votes for: their odds. Start, least, most.
-ALARM, HIT, PRAISE = (0.002, 0.0005, 0.02), (0.3, 0.1, 0.9), (1.3, 1.0, 1.5)
+ALARM, HIT, PRAISE = (0.002, 0.0005, 0.005), (0.3, 0.2, 0.9), (1.1, 1.0, 1.2)
 
 
 def features(docs: DataFrame) -> DataFrame:
