@@ -41,7 +41,7 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 
 def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = BUCKET_BYTES, keep: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
-    """Write docs(doc_id, text, keep...) as shards and return the written table with `slot` added."""
+    """Write docs(doc_id, text, keep...) as shards and return the written table, with each row's bucket and place in it."""
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "shards")
     key = F.col("doc_id").cast("long")
@@ -57,7 +57,11 @@ def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes:
         return table.take(pa.array(fisher_yates(len(table), [seed, *at]))).append_column("place", pa.array(np.arange(len(table)), pa.int64()))
 
     scattered.groupBy("shard", "bucket").applyInArrow(shuffle, kinds).write.partitionBy("shard").parquet(folder)
-    written = spark.read.schema(kinds).parquet(folder)
+    return spark.read.schema(kinds).parquet(folder)
+
+
+def with_slots(written: DataFrame) -> DataFrame:
+    """Replace bucket and place of written rows by their slot. Select the columns wanted first: what is left here moves."""
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -67,4 +71,5 @@ def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes:
 def op5_key_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    return written.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
+    digest = written.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("grown_shard").cast("int").alias("grown_shard"), "bucket", "place")
+    return with_slots(digest).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
