@@ -61,7 +61,7 @@ def select_distinct(candidates: DataFrame, members: str, most: int = 12, overlap
         return pdf.loc[rows].drop(columns=[members]).assign(place=range(1, len(rows) + 1))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields if f.name != members)
-    return ranked.groupBy(F.lit(1)).applyInPandas(pick, f"{kinds}, place int")
+    return ranked.groupBy(F.lit("all").alias("pool")).applyInPandas(pick, f"{kinds}, place int")
 
 
 def early_and_commercial(table: DataFrame, group: str, order: list[Column], k: int = 6) -> DataFrame:

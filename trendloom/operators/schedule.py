@@ -47,4 +47,4 @@ def without_conflicts(tasks: DataFrame, order: list[str], locks: str, k: int, po
                 break
         return pdf.loc[rows]
 
-    return tasks.orderBy(*order).limit(pool).groupBy(F.lit(1)).applyInPandas(pick, tasks.schema)
+    return tasks.orderBy(*order).limit(pool).groupBy(F.lit("all").alias("pool")).applyInPandas(pick, tasks.schema)
