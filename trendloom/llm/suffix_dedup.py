@@ -19,7 +19,7 @@ from each batch, not from each document. Rows that need only to be kept apart ge
 Defined cases: null text counts as empty; texts shorter than the threshold keep everything; rows that repeat a doc_id
 with the same text count as one document and get the same result; rows with one doc_id and different texts are
 ordered by a hash of the text; a null doc_id sorts first; an empty table gives no rows; extra columns are ignored.
-Names are 64 bits, compared together with a second name of 64 bits within an anchor and 32 bits at the last sort.
+Names are 64 bits, compared together with a second name of 64 bits within an anchor and 24 bits at the last sort.
 """
 
 from __future__ import annotations
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendloom.llm.common import shuffle_partitions, stash
+from trendloom.llm.encode import slices
 
 ANCHOR = 32
 NO_ID = -(1 << 63)
 CHUNK = 1 << 20
-LEN_BITS, POS_BITS = 7, 31
+LEN_BITS, CHECK_BITS = 7, 24
+SLICE = 48 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,15 +113,11 @@ def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(raw[2], np.uint8) if raw[2] else np.empty(0, np.uint8)
 
 
-def _word(tag: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray:
-    return (((tag.astype(np.int64) << POS_BITS) | start) << LEN_BITS) | run
-
-
 def _anchor_rows(threshold: int):
-    """Map stage of the first sort: (key, name, content, d, word, settled)."""
+    """Map stage of the first sort: (key, name, content, d, tag, word, settled); word is start and run length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(2), SLICE)):
             d, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             offsets, data = _bytes_of(batch.column(2))
             got = []
@@ -136,10 +134,10 @@ def _anchor_rows(threshold: int):
             if not got:
                 continue
             name, content, doc, start, span = (np.concatenate(x) for x in zip(*got))
-            dd, word = d[doc], _word(tag[doc], start, span)
+            dd, tt, word = d[doc], tag[doc], (start << LEN_BITS) | span
             # What repeats within the batch is settled here.
-            order = np.lexsort((word, dd, content, name))
-            name, content, dd, word = name[order], content[order], dd[order], word[order]
+            order = np.lexsort((word, tt, dd, content, name))
+            name, content, dd, tt, word = name[order], content[order], dd[order], tt[order], word[order]
             same_name = np.r_[False, name[1:] == name[:-1]]
             again = same_name & np.r_[False, content[1:] == content[:-1]]
             fresh = ~again
@@ -153,46 +151,41 @@ def _anchor_rows(threshold: int):
             key[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + dd[again].view(np.uint64) * M1
             # 0: alone with its name here, 1: its name has other contents here, 2: repeats an earlier run for certain
             settled = np.where(again, 2, np.where(many, 1, 0)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(name)), pa.array(_signed(content)), pa.array(dd), pa.array(word), pa.array(settled)], ["key", "name", "content", "d", "word", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(name)), pa.array(_signed(content)), pa.array(dd), pa.array(tt), pa.array(word), pa.array(settled)], ["key", "name", "content", "d", "tag", "word", "settled"])
 
     return run
 
 
 def _string_rows(threshold: int):
-    """Map stage of the last sort: every string of the runs that go on, as (key, check, d, word, settled)."""
+    """Map stage of the last sort: every string of the open runs, as (key, d, tag, word, settled); word is start and check."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            runs = batch.column(3)
-            if not len(batch):
-                continue
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(2), SLICE)):
+            d, tag, runs = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             offsets, data = _bytes_of(batch.column(2))
-            per = np.diff(np.asarray(runs.offsets))
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
             packed = np.asarray(runs.flatten())
-            row = np.repeat(np.arange(len(batch)), per)
-            begin, span = packed >> LEN_BITS, packed & ((1 << LEN_BITS) - 1)
-            mark = np.zeros(len(data) + 1, np.int32)
-            np.add.at(mark, offsets[row] + begin, 1)
-            np.add.at(mark, offsets[row] + begin + span + 1, -1)
-            wanted = np.cumsum(mark)[:-1] > 0
+            at = offsets[np.repeat(np.arange(len(batch)), np.diff(np.asarray(runs.offsets)))] + (packed >> LEN_BITS)
+            mark = np.zeros(len(data) + 1, np.int8)  # runs of a document do not overlap
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + (packed & ((1 << LEN_BITS) - 1)) + 1, -1)
+            wanted = np.cumsum(mark, dtype=np.int8)[:-1] > 0
             got = []
-            base = offsets
             for part, doc, start, at in _text_parts(d, offsets, data, threshold):
-                keep = np.flatnonzero(wanted[base[doc] + start])
+                keep = np.flatnonzero(wanted[offsets[doc] + start])
                 if len(keep):
                     anchor, full = name_levels(part, threshold)
                     a = at[keep]
-                    got.append((full[a], (anchor[a] ^ anchor[a + threshold - ANCHOR] * M1).astype(np.uint32).astype(np.int64), doc[keep], start[keep]))
+                    check = anchor[a] ^ anchor[a + threshold - ANCHOR] * M1
+                    got.append((full[a], (check >> np.uint64(64 - CHECK_BITS)).astype(np.int64), doc[keep], start[keep]))
             if not got:
                 continue
             name, check, doc, start = (np.concatenate(x) for x in zip(*got))
-            dd, word = d[doc], _word(tag[doc], start, np.zeros(len(doc), np.int64)) >> LEN_BITS
-            order = np.lexsort((word, dd, check, name))
-            name, check, dd, word = name[order], check[order], dd[order], word[order]
+            order = np.lexsort((start, tag[doc], d[doc], check, name))
+            name, check, doc, start = name[order], check[order], doc[order], start[order]
             again = np.r_[False, (name[1:] == name[:-1]) & (check[1:] == check[:-1])]
-            name[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + dd[again].view(np.uint64) * M1
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(check), pa.array(dd), pa.array(word), pa.array(again)], ["key", "check", "d", "word", "settled"])
+            name[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + d[doc[again]].view(np.uint64) * M1
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(d[doc]), pa.array(tag[doc]), pa.array((start << CHECK_BITS) | check), pa.array(again)], ["key", "d", "tag", "word", "settled"])
 
     return run
 
@@ -201,7 +194,7 @@ def _removed(threshold: int, with_text: bool):
     """Last map stage: spans of each text to lengths, counts and the hash of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(1), SLICE)):
             offsets, data = _bytes_of(batch.column(1))
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
             runs, starts = batch.column(2), batch.column(3)
@@ -230,50 +223,55 @@ def _removed(threshold: int, with_text: bool):
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
                 if with_text:
-                    out["kept"].append(raw)
+                    out["kept"].append(raw.decode("utf-8", "ignore"))
             cols = [batch.column(0), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                cols.append(pa.array(out["kept"], pa.binary()))
+                cols.append(pa.array(out["kept"], pa.string()))
                 names.append("kept")
-            extra = batch.schema.names[4:]
+            extra = [c for c in batch.schema.names if c.startswith("c_")]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(n) for n in extra)], [*names, *extra])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, with `kept` (the bytes left) if
-    with_text, and the columns in `carry` as they are. threshold: 2 * 32 to 128 bytes."""
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, with `kept` (the text left, without characters
+    cut in half) if with_text, and the columns in `carry` as they are. threshold: 2 * 32 to 128 bytes."""
     if not 2 * ANCHOR <= threshold < ANCHOR + (1 << LEN_BITS):
         raise ValueError("threshold must be from 64 to 159")
     n = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tag = F.shiftrightunsigned(F.xxhash64(text), 64 - (63 - LEN_BITS - POS_BITS))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), tag.alias("tag"), text.alias("text"), F.col("doc_id").cast("long").alias("id"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    # Only where a doc_id has several texts do positions need more than the doc_id to name their document.
+    hashed = F.xxhash64(text)
+    several = docs.groupBy(d.alias("d")).agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).filter("a <> b").limit(1).count()
+    rows = docs.select(d.alias("d"), (hashed if several else F.lit(0).cast("long")).alias("tag"), text.alias("text"), F.col("doc_id").cast("long").alias("id"), *(F.col(c).alias(f"c_{c}") for c in carry))
 
     # Sort at 32 bytes.
-    anchors = rows.select("d", "tag", "text").mapInArrow(_anchor_rows(threshold), "key long, name long, content long, d long, word long, settled int")
+    anchors = rows.select("d", "tag", "text").mapInArrow(_anchor_rows(threshold), "key long, name long, content long, d long, tag long, word long, settled int")
     dealt = anchors.repartition(n, "key")
-    by_content = Window.partitionBy("key", "name", "content").orderBy("d", "word")
+    by_content = Window.partitionBy("key", "name", "content").orderBy("d", "tag", "word")
     by_name = Window.partitionBy("key")
     ranked = dealt.withColumn("rank", F.row_number().over(by_content)).withColumn("lo", F.min("content").over(by_name)).withColumn("hi", F.max("content").over(by_name))
     repeats = (F.col("settled") == 2) | (F.col("rank") > 1)
     goes_on = ~repeats & ((F.col("settled") == 1) | (F.col("lo") != F.col("hi")))
-    doc_tag, place = F.shiftright("word", LEN_BITS + POS_BITS), F.col("word").bitwiseAND((1 << (LEN_BITS + POS_BITS)) - 1)
-    live = ranked.filter(repeats | goes_on).select("d", doc_tag.alias("tag"), place.alias("run"), repeats.alias("repeats"))
-    runs = stash(live.groupBy("d", "tag").agg(F.collect_set(F.when(~F.col("repeats"), F.col("run"))).alias("open"), F.collect_set(F.when(F.col("repeats"), F.col("run"))).alias("runs")), "runs")
-
-    # Sort at the threshold, of the strings of open runs.
-    placed = rows.repartition(n, "d", "tag")
-    open_ = runs.filter(F.size("open") > 0).select("d", "tag", "open")
-    strings = placed.select("d", "tag", "text").join(open_.hint("shuffle_hash"), ["d", "tag"]).select("d", "tag", "text", "open").mapInArrow(_string_rows(threshold), "key long, check long, d long, word long, settled boolean")
-    order = Window.partitionBy("key", "check").orderBy("d", "word")
-    later = strings.repartition(n, "key").withColumn("rank", F.row_number().over(order)).filter(F.col("settled") | (F.col("rank") > 1))
-    starts = later.groupBy("d", F.shiftright("word", POS_BITS).alias("tag")).agg(F.collect_set(F.col("word").bitwiseAND((1 << POS_BITS) - 1)).alias("starts"))
+    live = ranked.filter(repeats | goes_on).select("d", "tag", "word", repeats.alias("repeats"))
+    runs = stash(live.groupBy("d", "tag").agg(F.collect_set(F.when(~F.col("repeats"), F.col("word"))).alias("open"), F.collect_set(F.when(F.col("repeats"), F.col("word"))).alias("runs")), "runs")
+
+    # Sort at the threshold, of the strings of open runs. Both joins read one exchange of the texts.
+    keys = ["d", "tag"] if several else ["d"]  # a constant key would make the joins deal the texts anew
+    placed = rows.repartition(n, *keys)
+    used = ["id", *(f"c_{c}" for c in carry)]
+    open_ = runs.filter(F.size("open") > 0).select(*keys, "open")
+    strings = placed.join(open_.hint("shuffle_hash"), keys).select("d", "tag", "text", "open", *used).mapInArrow(_string_rows(threshold), "key long, d long, tag long, word long, settled boolean")
+    order = Window.partitionBy("key", "check").orderBy("d", "tag", "word")
+    checked = strings.repartition(n, "key").withColumn("check", F.col("word").bitwiseAND((1 << CHECK_BITS) - 1))
+    later = checked.withColumn("rank", F.row_number().over(order)).filter(F.col("settled") | (F.col("rank") > 1))
+    starts = later.groupBy("d", "tag").agg(F.collect_set(F.shiftright("word", CHECK_BITS)).alias("starts"))
     found = runs.filter(F.size("runs") > 0).select("d", "tag", "runs").join(starts, ["d", "tag"], "full")
-    out = placed.join(found.hint("shuffle_hash"), ["d", "tag"], "left").select("id", "text", "runs", "starts", *(f"c_{c}" for c in carry))
-    kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    out = placed.join(found.select(*keys, "runs", "starts").hint("shuffle_hash"), keys, "left").select("id", "text", "runs", "starts", *used[1:])
+    kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     done = out.mapInArrow(_removed(threshold, with_text), kinds)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     return done.select(F.col("id").alias("doc_id"), *names, *(F.col(f"c_{c}").alias(c) for c in carry))
