@@ -49,7 +49,7 @@ def order_key(number: int, seed: str = "mix") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}{number}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
-def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, passes: int = 2, whole: bool = False, range_rows: int = 20_000, seed: str = "mix") -> DataFrame:
+def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, passes: int = 2, whole: bool = False, range_rows: int = 5_000, seed: str = "mix") -> DataFrame:
     """sizes(doc_id, source, size): adds source_size, target, taken, and finish: array of finish times, one per pass
     in which the document is taken. Read `sizes` from a written table: it is used more than once."""
     rows = sizes.count()
