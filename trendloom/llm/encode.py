@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 #: Fixed value: the pre-token pattern of byte-level BPE files (as the tokenizer's documentation states it).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 300_000
-SLICE_BYTES = 4 << 20
+CACHE_PIECES = 600_000
+SLICE_BYTES = 12 << 20
+PUNCTUATION = frozenset(".,;:!?")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -51,7 +52,8 @@ class DocEncoder:
         self.fast = self.fast and not any(" " in a for a in self.added)
         self.split = regex.compile(PRETOKEN).findall
         self.chars = _byte_chars()
-        self.cache: dict[str, list[int]] = {}
+        self.not_latin = regex.compile(r"[\u0250-\U0010FFFF]").search
+        self.cache: dict[str, bytes] = {}
 
     @property
     def vocab_size(self) -> int:
@@ -60,16 +62,25 @@ class DocEncoder:
     def _encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> list[int]:
-        if any(a in piece for a in self.added) or (not piece.isascii() and max(piece) >= "ɐ"):
-            return self._encode(piece)
-        out: list[int] = []
-        tokenize, chars = self.tok.model.tokenize, self.chars
-        for p in self.split(piece):
-            out += [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))]
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+    def _pretoken(self, p: str) -> bytes:
+        """Ids of one pre-token, as uint32 bytes."""
+        ids = self.cache.get(p)
+        if ids is None:
+            raw = p.encode().decode("latin-1").translate(self.chars)
+            ids = self.cache[p] = np.array([t.id for t in self.tok.model.tokenize(raw)], "<u4").tobytes()
+        return ids
+
+    def _piece(self, piece: str, added: bool) -> bytes:
+        if (added and any(a in piece for a in self.added)) or (not piece.isascii() and self.not_latin(piece)):
+            return np.array(self._encode(piece), "<u4").tobytes()
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():  # letters are one pre-token, with the space before them
+            return self._pretoken(piece)
+        if body[-1:] in PUNCTUATION and body[:-1].isalpha():
+            return self._pretoken(piece[:-1]) + self._pretoken(body[-1])
+        return b"".join([self._pretoken(p) for p in self.split(piece)])
+
+    def _pieces(self, pieces: list[str], added: bool) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
@@ -77,7 +88,7 @@ class DocEncoder:
         for p in pieces:
             ids = cache.get(p)
             if ids is None:
-                ids = cache[p] = self._piece(p)
+                ids = cache[p] = self._piece(p, added)
             out.append(ids)
         return out
 
@@ -104,10 +115,11 @@ class DocEncoder:
         odd = np.flatnonzero(np.logical_or.reduceat(starts_bad | ends_bad, first))
         index[first] = len(distinct) + np.arange(len(heads))
         used = np.unique(index)
-        ids: list[list[int]] = self._pieces([" " + distinct[i] if i < len(distinct) else heads[i - len(distinct)] for i in used])
+        added = any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added)
+        ids = self._pieces([" " + distinct[i] if i < len(distinct) else heads[i - len(distinct)] for i in used.tolist()], added)
         index = np.searchsorted(used, index)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(size) - size
         n = size[index]
         at = np.cumsum(n) - n

@@ -11,7 +11,7 @@ A manifest (one small row per shard) has every shard's key range and the number
 with one binary search over shards, one hash probe and one seek. The hash is built level by level: keys that fall
 alone on a bit of a level stay there, the others go on to the next; the slot is the rank of the key's bit.
 
-Defined cases: null text has only the end id; a repeated doc_id keeps all its rows, in the order of their texts, and
+Defined cases: null text has only the end id; a repeated doc_id keeps all its rows, in the order of a hash of their texts, and
 the index leads to the first of them; rows with a null doc_id come first and have no key; an empty table has no shard.
 Extra columns of the input are ignored.
 """
@@ -170,7 +170,8 @@ def write_token_index(docs: DataFrame, tokenizer_path: str, end_id: int = 0, sha
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    ordered = rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Range bounds are sampled to the driver, so they are made of numbers only.
+    ordered = rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
