@@ -100,10 +100,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, m
     alone = (F.col("length") >= capacity) if max_cost is None else F.lit(False)
     part = pieces.filter(~alone)
     groups = max(1, -(-part.count() // group_pieces))
-    keys = [c for c in ("row", "doc_id", "piece") if c in pieces.columns]
+    keys = [c for c in ("doc_id", "row", "piece") if c in pieces.columns]
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", *keys], ascending=[False, *[True] * len(keys)], kind="stable").reset_index(drop=True)
         n = pdf["length"].to_numpy(np.int64)
         where = best_fit(n, limits, rule=rule)
         order = np.argsort(where, kind="stable")

@@ -75,6 +75,7 @@ def _search_tile(k: int, share: float, least: int, prefix: int):
         ids = np.asarray(tile["vec_id"])
         q, v = np.flatnonzero(asks), np.flatnonzero(~asks)
         v = v[np.argsort(ids[v], kind="stable")]
+        room = k + len(v) - len(np.unique(ids[v]))  # rows that repeat an id count once
         out_q, out_v, out_s = [], [], []
         if len(q) and len(v):
             foot = np.zeros((len(q), len(v)), np.int16)
@@ -94,10 +95,11 @@ def _search_tile(k: int, share: float, least: int, prefix: int):
                 f = foot[i, at]
                 at = at[f <= np.partition(f, keep - 1)[keep - 1]]
                 s = score[i, at]
-                if len(at) > k:
-                    at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
+                if len(at) > room:
+                    at = at[s >= np.partition(s, len(s) - room)[len(s) - room] - 1e-9]
                 exact = (x[v[at]] * x[q[i]]).sum(1)
-                best = np.lexsort((ids[v[at]], -exact))[:k]
+                best = np.lexsort((ids[v[at]], -exact))
+                best = best[np.sort(np.unique(ids[v[at]][best], return_index=True)[1])[:k]]
                 out_q.append(np.full(len(best), ids[q[i]]))
                 out_v.append(ids[v[at]][best])
                 out_s.append(exact[best])
