@@ -3,9 +3,9 @@
 import pytest
 
 import compare
-from trendloom.plans import history, market, trends
+from trendloom.plans import history, market, registry, trends
 
-PLANS = trends.QUERIES | market.QUERIES | history.QUERIES
+PLANS = trends.QUERIES | market.QUERIES | history.QUERIES | registry.QUERIES
 
 
 @pytest.fixture(scope="module")
