@@ -60,7 +60,9 @@ def test_catalog_events(spark):
     now = catalog(spark, [("a-black", "a", "black", True, 120.0), ("a-red", "a", "red", True, 5.0), ("b-black", "b", "black", True, 5.0)])
     got = sorted((r.item, r.event) for r in snapshots.catalog_events(now, before, ["item"], "model", "color").collect())
     assert got == [("a-black", "PRICE_CHANGE"), ("a-black", "RESTOCK"), ("a-red", "NEW_COLOR"), ("b-black", "NEW_MODEL"), ("gone", "REMOVED")]
-    assert snapshots.catalog_events(now, before.limit(0), ["item"], "model", "color", baseline=True).count() == 0
+    assert {r.event for r in snapshots.catalog_events(now, before.limit(0), ["item"], "model", "color", baseline=True).collect()} == {"BASELINE"}
+    again = snapshots.catalog_events(now, before, ["item"], "model", "color", seen=now).collect()
+    assert ("b-black", "RESTOCK") in {(r.item, r.event) for r in again}
 
 
 def test_last_good_keeps_empty_and_shrunken_states_back(spark):

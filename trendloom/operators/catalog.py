@@ -25,7 +25,7 @@ def brand_scope(brand: str, wanted: str) -> Column:
 
 def verified_new(status: str, evidence: str, seen: str) -> Column:
     """Verified, by a collection or a badge, at a date that parses."""
-    return (F.col(status) == "VERIFIED_NEW") & F.col(evidence).isin("COLLECTION", "BADGE") & F.try_to_timestamp(F.col(seen)).isNotNull()
+    return (F.col(status) == "VERIFIED_NEW") & F.col(evidence).isin("NEW_ARRIVALS_COLLECTION", "NEW_BADGE") & F.try_to_timestamp(F.col(seen)).isNotNull()
 
 
 def newest_per_key(rows: DataFrame, key: list[str], ts: str, ties: list[Column]) -> DataFrame:

@@ -13,16 +13,12 @@ def gate(table: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
     return table.withColumn("reasons", reasons(*rules)).withColumn("accepted", F.size("reasons") == 0)
 
 
-def coverage_status(collected: Column, expected: Column, exhausted: Column, least: float = 0.9, most: float = 1.25) -> Column:
-    """FULL within the ratio bounds (or a source read to its end), PARTIAL below, NEEDS_REVIEW above, FAILED empty."""
-    ratio = collected / expected
-    return ladder(
-        (collected == 0, "FAILED"),
-        (expected.isNull() | (expected == 0), F.when(exhausted, "FULL").otherwise("NEEDS_TOTAL")),
-        (ratio > most, "NEEDS_REVIEW"),
-        (ratio >= least, "FULL"),
-        default="PARTIAL",
-    )
+def coverage_status(collected: Column, expected: Column, exhausted: Column, failed: Column | None = None, least: float = 0.9, most: float = 1.25) -> Column:
+    """FULL only if the source was read to its end and agrees with the total it states; FAILED if nothing came (or, where
+    `failed` is given, if nothing came of a failed run); PARTIAL otherwise."""
+    nothing = collected == 0
+    full = F.coalesce(exhausted & (expected > 0) & (collected >= expected * least) & (collected <= expected * most), F.lit(False))
+    return ladder((nothing & failed if failed is not None else nothing, "FAILED"), (full, "FULL"), default="PARTIAL")
 
 
 def retained(current: Column, previous: Column, share: float = 0.6) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
 #: Kinds of evidence, strongest first.
-EVIDENCE = ("OFFICIAL_RELEASE_DATE", "NEW_COLLECTION", "NEW_BADGE", "CATALOG_DIFF")
+EVIDENCE = ("EXPLICIT_DATE", "NEW_ARRIVALS_COLLECTION", "CATALOG_DIFF", "NEW_BADGE")
 
 
 def known(c: Column) -> Column:
@@ -31,8 +31,10 @@ def evidence_rank(kind: Column) -> Column:
 
 
 def stability(observed: DataFrame, expected: DataFrame, key: list[str], run: str, value: str, runs: int) -> DataFrame:
-    """For each expected key over all runs: STABLE (one value in all), PARTIAL (one value, some runs missing),
-    UNSTABLE (several values) or MISSING."""
-    seen = observed.groupBy(*key).agg(F.countDistinct(run).alias("runs"), F.countDistinct(value).alias("values"))
-    verdict = F.when(F.col("runs").isNull(), "MISSING").when(F.col("values") > 1, "UNSTABLE").when(F.col("runs") < runs, "PARTIAL").otherwise("STABLE")
-    return expected.select(*key).distinct().join(seen, key, "left").select(*key, F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("values", F.lit(0)).alias("values"), verdict.alias("verdict"))
+    """For each expected key: STABLE_YES or STABLE_NO if all runs agree, UNSTABLE if not, INCOMPLETE_RUN if one lacks it.
+
+    observed has one YES, NO or UNCLEAR per key and run."""
+    v = F.col(value)
+    seen = observed.groupBy(*key).agg(F.countDistinct(run).alias("runs"), F.bool_and(v == "YES").alias("yes"), F.bool_and(v == "NO").alias("no"))
+    verdict = F.when(F.coalesce("runs", F.lit(0)) < runs, "INCOMPLETE_RUN").when(F.col("yes"), "STABLE_YES").when(F.col("no"), "STABLE_NO").otherwise("UNSTABLE")
+    return expected.select(*key).distinct().join(seen, key, "left").select(*key, F.coalesce("runs", F.lit(0)).alias("runs"), verdict.alias("verdict"))

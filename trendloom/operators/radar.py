@@ -11,34 +11,73 @@ from pyspark.sql.window import Window
 from trendloom.functions.expr import clamp, half_up
 
 
-def combinations(products: DataFrame, families: list[tuple[str, ...]], keep: list[str], skip: tuple[str, ...] = ("UNKNOWN", "OTHER")) -> DataFrame:
-    """One row per product and family of dimensions: the sorted values as a key. One explode, one scan."""
-    known = lambda c: F.when(~F.col(c).cast("string").isin(*skip), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
-    combos = F.array(*[F.when(F.size(F.array_compact(F.array(*map(known, f)))) == len(f), F.array_join(F.array(*map(known, f)), "+")) for f in families])
-    return products.select(*keep, F.explode(F.array_compact(combos)).alias("combo"))
+# Pairs that say nothing, and the dimensions that set a look apart.
+GENERIC_PAIRS = (
+    "CATEGORY:SANDAL|MATERIAL:LEATHER",
+    "CATEGORY:PUMP|COLOR:BLACK",
+    "CATEGORY:PUMP|MATERIAL:LEATHER",
+    "HEEL_TYPE:FLAT|MATERIAL:LEATHER",
+    "CATEGORY:SANDAL|COLOR:BLACK",
+    "CATEGORY:BALLERINA|MATERIAL:LEATHER",
+    "COLOR:BLACK|MATERIAL:LEATHER",
+    "COLOR:BLACK|MATERIAL:SUEDE",
+    "COLOR:BROWN|MATERIAL:LEATHER",
+    "COLOR:BROWN|MATERIAL:SUEDE",
+    "COLOR:BLACK|MATERIAL:SYNTHETIC",
+)
+DISTINCTIVE = ("DETAIL", "CONSTRUCTION", "TOE_SHAPE", "SURFACE_EFFECT", "HEEL_TYPE")
 
 
-def buckets(combos: DataFrame, product: str, family: str, brand: str, least_brands: int = 2, least_families: int = 2) -> DataFrame:
-    """Support of each combination: distinct products, families and brands; thin ones are left out."""
-    out = combos.groupBy("combo").agg(F.countDistinct(product).alias("products"), F.countDistinct(family).alias("families"), F.countDistinct(brand).alias("brands"))
-    return out.filter((F.col("brands") >= least_brands) & (F.col("families") >= least_families))
+def combinations(products: DataFrame, dimensions: dict[str, Column], families: list[tuple[str, ...]], keep: list[str], skip: tuple[str, ...] = ("UNKNOWN", "OTHER")) -> DataFrame:
+    """One row per product and family of dimensions whose values are all known, keyed DIM:value|DIM:value. One scan."""
+
+    def attribute(d: str) -> Column:
+        value = dimensions[d].cast("string")
+        return F.when(~value.isin(*skip), F.concat(F.lit(f"{d}:"), value))
 
+    def combo(family: tuple[str, ...]) -> Column:
+        found = F.array_compact(F.array(*map(attribute, sorted(family))))
+        return F.when(F.size(found) == len(family), F.array_join(found, "|"))
 
-def strength(products: Column, brands: Column) -> Column:
-    return F.when((products >= 12) & (brands >= 4), "STRONG").when((products >= 5) & (brands >= 2), "MEDIUM").otherwise("WEAK")
+    return products.select(*keep, F.explode(F.array_compact(F.array(*map(combo, families)))).alias("combo"))
 
 
-def genericity(share: Column) -> Column:
-    """Penalty of an attribute by the share of products that have it."""
-    return F.when(share > 0.45, 12.0).when(share > 0.3, 6.0).otherwise(0.0)
+def buckets(combos: DataFrame, product: str, family: str, brand: str, least_brands: int = 2, least_families: int = 2) -> DataFrame:
+    """Support of each combination: distinct products, families and brands; thin ones are left out."""
+    out = combos.groupBy("combo").agg(F.countDistinct(product).alias("products"), F.countDistinct(family).alias("families"), F.countDistinct(brand).alias("brands"))
+    return out.filter((F.col("brands") >= least_brands) & (F.col("families") >= least_families))
 
 
-def distinctiveness(bucket: DataFrame, attribute_share: DataFrame) -> DataFrame:
-    """Score of a bucket: breadth less the genericity of its attributes (attribute, share), rounded, within 0..100."""
-    parts = bucket.withColumn("attribute", F.explode(F.split("combo", r"\+"))).join(attribute_share, "attribute")
-    penalty = parts.groupBy("combo").agg(F.least(F.lit(45.0), F.sum(genericity(F.col("share"))) + F.when(F.min("share") > 0.3, 10.0).otherwise(0.0)).alias("penalty"))
-    score = clamp(half_up(30.0 + F.col("brands") * 4.0 + F.least(F.col("products"), F.lit(20)) * 1.5 - F.col("penalty")))
-    return bucket.join(penalty, "combo").withColumn("score", score).withColumn("strength", strength(F.col("products"), F.col("brands")))
+def strength(brands: Column, families: Column, coverage: Column) -> Column:
+    """STRONG, MEDIUM or WEAK by brands, corrected by families and by the share of products that give evidence."""
+    first = F.when(brands >= 5, "STRONG").when(brands >= 3, "MEDIUM").otherwise("WEAK")
+    second = F.when((first == "STRONG") & ((families < 4) | (coverage < 0.12)), "MEDIUM").otherwise(first)
+    third = F.when((second == "MEDIUM") & ((families < 2) | (coverage < 0.06)), "WEAK").otherwise(second)
+    return F.when((third == "WEAK") & (brands >= 3) & (families >= 3) & (coverage >= 0.1), "MEDIUM").otherwise(third)
+
+
+def specificity(attributes: Column) -> Column:
+    """Bonus for what a combination is made of, and four for each of its attributes."""
+    n = F.size(attributes)
+    has = lambda d: F.exists(attributes, lambda x: x.startswith(f"{d}:"))
+    apart = F.size(F.filter(attributes, lambda x: F.substring_index(x, ":", 1).isin(*DISTINCTIVE)))
+    bonus = apart * 8 + F.when(has("CATEGORY") & (apart >= 1), 8).otherwise(0) + F.when(n >= 3, 10).otherwise(0)
+    return bonus - F.when((n == 2) & has("COLOR") & (has("MATERIAL") | has("CATEGORY")), 14).otherwise(0) + n * 4
+
+
+def distinctiveness(bucket: DataFrame, attribute_share: DataFrame, total_brands: int, total_products: int, least: float = 20.0) -> DataFrame:
+    """Score of each bucket (0..100) from breadth, evidence and specificity less its genericity; low ones are dropped.
+
+    attribute_share: attribute, share of all products that have it."""
+    parts = bucket.select("combo", F.explode(F.split("combo", r"\|")).alias("attribute")).join(attribute_share, "attribute")
+    each = F.when(F.col("share") > 0.45, 12.0).when(F.col("share") > 0.3, 6.0).otherwise(0.0)
+    summed = F.sum(each) + F.when((F.count("*") == 2) & (F.min("share") > 0.3), 10.0).otherwise(0.0)
+    penalty = parts.groupBy("combo").agg(F.least(F.lit(45.0), summed).alias("sum")).select("combo", F.when(F.col("combo").isin(*GENERIC_PAIRS), 35.0).otherwise(F.col("sum")).alias("penalty"))
+    brands, families, products = F.col("brands"), F.col("families"), F.col("products")
+    coverage = products / float(max(total_products, 1))
+    raw = F.least(brands / float(max(total_brands, 1)), F.lit(1.0)) * 46.0 + F.least(families / 5.0, F.lit(1.0)) * 14.0 + F.least(brands / products, F.lit(1.0)) * 12.0 + coverage * 10.0
+    raw = raw + specificity(F.split("combo", r"\|")) - F.col("penalty") - F.when(brands <= 2, 10.0).otherwise(0.0)
+    return bucket.join(penalty, "combo").withColumn("score", clamp(half_up(raw))).withColumn("strength", strength(brands, families, coverage)).filter(F.col("score") >= least)
 
 
 def select_distinct(candidates: DataFrame, members: str, most: int = 12, overlap: float = 0.7, pool: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendloom.functions.expr import half_up, ladder
+from trendloom.functions.expr import days_between, half_up, ladder
 
 
 def enrich(products: DataFrame, sidecar: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -88,19 +88,38 @@ def collection_verdicts(products: DataFrame, path: str, accepted: Column, least:
     return out.select(path, "products", half_up("share", 4).alias("share"), ladder((F.col("share") >= least, "VERIFIED"), (F.col("share") > 0.5, "AUTO_DISCOVERED"), default="REJECT").alias("verdict"))
 
 
-def season(first_seen: Column) -> Column:
-    """Spring-summer from February to July, fall-winter otherwise."""
-    return F.when(F.month(first_seen).between(2, 7), "SS").otherwise("FW")
-
-
-def lifecycle(first_seen: Column, last_seen: Column, now: Column) -> Column:
-    """NEW within 45 days, CARRYOVER if seen over more than a year, GONE if not seen for 90 days, else CURRENT."""
-    return ladder(
-        (F.datediff(now, last_seen) > 90, "GONE"),
-        (F.datediff(now, first_seen) <= 45, "NEW"),
-        (F.datediff(last_seen, first_seen) > 365, "CARRYOVER"),
-        default="CURRENT",
-    )
+# What names a season or a sale outright, and what hints at one.
+_W, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+SUMMER_LABEL = rf"(?i){_W}(?:ss\s*[-/]?\s*\d{{2}}|spring\s*[/&-]?\s*summer(?:\s*20\d{{2}})?|spring(?:\s*20\d{{2}})?|summer(?:\s*20\d{{2}})?|yaz(?:\s*20\d{{2}})?|ilkbahar\s*[/&-]?\s*yaz(?:\s*20\d{{2}})?){_E}"
+WINTER_LABEL = rf"(?i){_W}(?:(?:aw|fw)\s*[-/]?\s*\d{{2}}(?:\s*[-/]\s*\d{{2}})?|autumn\s*[/&-]?\s*winter|fall\s*[/&-]?\s*winter|sonbahar\s*[/&-]?\s*kış){_E}"
+SALE_LABEL = rf"(?i){_W}(?:sale|outlet|indirim|reduced|last chance){_E}"
+SUMMER_HINT = rf"(?i){_W}(?:sandal|sandals|slide|slides|espadrille|espadrilles|raffia|rafia|straw|jute|beach|summer|yaz){_E}"
+WINTER_HINT = rf"(?i){_W}(?:boot|boots|bootie|booties|ankle boot|knee boot|snow|shearling|winter|kış|çizme|bot){_E}"
+SUMMER_CATEGORIES, WINTER_CATEGORIES = ("SANDAL", "MULE", "ESPADRILLE"), ("BOOT",)
+
+
+def lifecycle(text: Column, verified_new: Column, last_seen: Column, now: Column) -> Column:
+    """SALE by label, NEW_ARRIVAL if verified, ARCHIVE if not seen for over 120 days, else CURRENT."""
+    return ladder((text.rlike(SALE_LABEL), "SALE"), (verified_new, "NEW_ARRIVAL"), (days_between(last_seen, now) > 120, "ARCHIVE"), default="CURRENT")
+
+
+def season(text: Column, category: Column, stage: Column, seen: Column, now: Column, summer: str = "SS27", winter: str = "AW26_27") -> tuple[Column, Column]:
+    """Season and confidence score: a label first, then age, then category and text hints, then the month of arrival."""
+    age = days_between(seen, now)
+    of_summer, of_winter = category.isin(*SUMMER_CATEGORIES), category.isin(*WINTER_CATEGORIES)
+    says_summer, says_winter = text.rlike(SUMMER_HINT), text.rlike(WINTER_HINT)
+    is_summer, is_winter = of_summer | says_summer, of_winter | says_winter
+    arrived = (stage == "NEW_ARRIVAL") & seen.isNotNull()
+    rungs = [
+        (text.rlike(SUMMER_LABEL), summer, F.lit(100)),
+        (text.rlike(WINTER_LABEL), winter, F.lit(100)),
+        ((stage != "NEW_ARRIVAL") & (age > 180), "CARRY_OVER", F.lit(88)),
+        (is_summer & ~is_winter, summer, F.when(of_summer & says_summer, 92).otherwise(84)),
+        (is_winter & ~is_summer, winter, F.when(of_winter & says_winter, 92).otherwise(84)),
+        (arrived & F.month(seen).between(3, 8), summer, F.lit(68)),
+        (arrived, winter, F.lit(68)),
+    ]
+    return ladder(*[(c, v) for c, v, _ in rungs], default="CARRY_OVER"), ladder(*[(c, n) for c, _, n in rungs], default=55)
 
 
 def overlapping_locks(tasks: DataFrame, key: str, locks: str) -> DataFrame:

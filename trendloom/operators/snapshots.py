@@ -29,25 +29,34 @@ def signal_changes(current: DataFrame, previous: DataFrame, key: list[str]) -> D
     return both.select(*key, "now", "before", (F.col("now") - F.col("before")).alias("delta"), (F.size("brands_now") - F.size("brands_before")).alias("brand_delta"), percent.alias("change_percent"), F.sort_array(F.array_except("brands_now", "brands_before")).alias("new_brands"), F.sort_array(F.array_except("brands_before", "brands_now")).alias("gone_brands"))
 
 
-def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], model: str, color: str, baseline: bool = False) -> DataFrame:
-    """Events of items between two catalogs: RESTOCK, PRICE_CHANGE, NEW_COLOR, NEW_MODEL, REMOVED.
+def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], model: str, color: str, seen: DataFrame | None = None, baseline: bool = False) -> DataFrame:
+    """Events of items between two catalogs. Frames: key, model, color, in_stock, price.
 
-    Frames: key, model, color, in_stock, price. An item can restock and change its price at once. A new item of a known
-    model in a new colour is a NEW_COLOR; of an unknown model a NEW_MODEL. In a
-    baseline (the first catalog) nothing is new.
+    An item of both catalogs can RESTOCK and have a PRICE_CHANGE at once, or is UNCHANGED. An item that only the new
+    one has is a NEW_MODEL, a NEW_COLOR of a known model, or a RESTOCK if it or its colour was seen before (`seen`: all
+    rows of earlier catalogs, the previous one by default). Others are REMOVED. In the first catalog all is BASELINE.
     """
-    models = previous.select(model).distinct().withColumn("model_known", F.lit(True))
-    colors = previous.select(model, color).distinct().withColumn("color_known", F.lit(True))
+    if baseline:
+        return current.select(*key, F.lit("BASELINE").alias("event"), F.lit(None).cast("double").alias("price_before"), F.col("price").alias("price_now"))
+    history = seen if seen is not None else previous
+    models = history.select(model).distinct().withColumn("model_known", F.lit(True))
+    colors = history.select(model, color).distinct().withColumn("color_known", F.lit(True))
+    items = history.select(*key).distinct().withColumn("item_known", F.lit(True))
     a = current.select(*key, model, color, F.col("in_stock").alias("stock_now"), F.col("price").alias("price_now"), F.lit(True).alias("is_now"))
     b = previous.select(*key, F.col("in_stock").alias("stock_before"), F.col("price").alias("price_before"), F.lit(True).alias("was"))
-    both = a.join(b, key, "full").join(models, model, "left").join(colors, [model, color], "left")
-    fresh = F.col("is_now").isNotNull() & F.col("was").isNull() & F.lit(not baseline)
+    both = a.join(b, key, "full").join(items, key, "left").join(models, model, "left").join(colors, [model, color], "left")
+    is_now, was = F.col("is_now").isNotNull(), F.col("was").isNotNull()
+    back = is_now & was & F.col("stock_now") & ~F.col("stock_before")
+    repriced = is_now & was & F.coalesce(F.col("price_now") != F.col("price_before"), F.lit(False))
+    fresh = is_now & ~was
+    known = F.col("item_known").isNotNull() | (F.col("model_known").isNotNull() & F.col("color_known").isNotNull())
     events = reasons(
-        (F.col("stock_now") & (F.col("stock_before") == F.lit(False)), "RESTOCK"),
-        (F.col("price_now").isNotNull() & F.col("price_before").isNotNull() & (F.col("price_now") != F.col("price_before")), "PRICE_CHANGE"),
-        (fresh & F.col("model_known").isNotNull() & F.col("color_known").isNull(), "NEW_COLOR"),
-        (fresh & F.col("model_known").isNull(), "NEW_MODEL"),
-        (F.col("is_now").isNull(), "REMOVED"),
+        (back | (fresh & known), "RESTOCK"),
+        (repriced, "PRICE_CHANGE"),
+        (fresh & ~known & F.col("model_known").isNotNull(), "NEW_COLOR"),
+        (fresh & ~known & F.col("model_known").isNull(), "NEW_MODEL"),
+        (is_now & was & ~F.coalesce(back, F.lit(False)) & ~repriced, "UNCHANGED"),
+        (~is_now, "REMOVED"),
     )
     return both.select(*key, F.explode(events).alias("event"), "price_before", "price_now")
 

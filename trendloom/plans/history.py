@@ -68,7 +68,7 @@ WITH c AS {_cat_sql('1997-01-01', '1998-01-01')}, p AS {_cat_sql('1996-01-01', '
 j AS (SELECT coalesce(c.item, p.item) AS item, c.item IS NOT NULL AS isn, p.item IS NOT NULL AS was, c.in_stock AS sn, p.in_stock AS sb, c.price AS price_now, p.price AS price_before,
   c.model IN (SELECT model FROM p) AS mk, (c.model, c.color) IN (SELECT (model, color) FROM p) AS ck FROM c FULL JOIN p ON c.item = p.item),
 e AS (SELECT *, unnest(list_filter([CASE WHEN isn AND was AND sn AND NOT sb THEN 'RESTOCK' END, CASE WHEN isn AND was AND price_now <> price_before THEN 'PRICE_CHANGE' END,
-  CASE WHEN isn AND NOT was AND mk AND NOT ck THEN 'NEW_COLOR' END, CASE WHEN isn AND NOT was AND NOT mk THEN 'NEW_MODEL' END, CASE WHEN NOT isn THEN 'REMOVED' END], lambda x: x IS NOT NULL)) AS event FROM j)
+  CASE WHEN isn AND NOT was AND mk AND NOT ck THEN 'NEW_COLOR' END, CASE WHEN isn AND NOT was AND NOT mk THEN 'NEW_MODEL' END, CASE WHEN isn AND NOT was AND mk AND ck THEN 'RESTOCK' END, CASE WHEN isn AND was AND NOT (sn AND NOT sb) AND price_now = price_before THEN 'UNCHANGED' END, CASE WHEN NOT isn THEN 'REMOVED' END], lambda x: x IS NOT NULL)) AS event FROM j)
 SELECT item, event, price_before, price_now FROM e"""
 
 

@@ -188,7 +188,7 @@ def refresh_health(spark, sf):
 
 def coverage_status(spark, sf):
     s = _supplier_counts(spark, sf)
-    return s.select("source", G.coverage_status(F.col("collected"), F.col("expected"), F.col("source") % 2 == 0, least=0.67).alias("status"), G.retained(F.col("collected"), F.col("expected"), 0.66).alias("retained"))
+    return s.select("source", G.coverage_status(F.col("collected"), F.when(F.col("source") % 5 != 0, F.col("expected")), F.col("source") % 2 == 0, least=0.67).alias("status"), G.retained(F.col("collected"), F.col("expected"), 0.66).alias("retained"))
 
 
 def marketplace_gate(spark, sf):
@@ -224,21 +224,22 @@ SELECT doc_id, CASE WHEN kv AND c >= 0.5 THEN v WHEN kt THEN t WHEN kv THEN v EL
 
 
 def stability_classes(spark, sf):
-    e = _read(spark, sf, "events").withColumn("run", F.col("event_id") % 3).withColumn("kind", F.when(F.col("value") > 20, "high").otherwise("low"))
+    e = _read(spark, sf, "events").withColumn("run", F.col("event_id") % 3)
+    seen = e.groupBy("user_id", "event_type", "run").agg(F.when(F.max("value") > 30, "YES").otherwise("NO").alias("value"))
     users = e.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, ("click", "view", "purchase", "error", "absent")))))
-    s = V.stability(e, users, ["user_id", "event_type"], "run", "kind", 3)
-    return s.select("user_id", "event_type", F.col("runs").cast("long").alias("runs"), "verdict")
+    return V.stability(seen, users, ["user_id", "event_type"], "run", "value", 3).select("user_id", "event_type", "runs", "verdict")
 
 
 _STABILITY_SQL = """
 WITH u AS (SELECT DISTINCT user_id, unnest(['click','view','purchase','error','absent']) AS event_type FROM events),
-s AS (SELECT user_id, event_type, count(DISTINCT event_id % 3) AS runs, count(DISTINCT value > 20) AS vals FROM events GROUP BY ALL)
-SELECT user_id, event_type, coalesce(runs, 0) AS runs, CASE WHEN runs IS NULL THEN 'MISSING' WHEN vals > 1 THEN 'UNSTABLE' WHEN runs < 3 THEN 'PARTIAL' ELSE 'STABLE' END AS verdict FROM u LEFT JOIN s USING (user_id, event_type)"""
+r AS (SELECT user_id, event_type, event_id % 3 AS run, max(value) > 30 AS yes FROM events GROUP BY ALL),
+s AS (SELECT user_id, event_type, count(*) AS runs, bool_and(yes) AS y, bool_or(yes) AS o FROM r GROUP BY ALL)
+SELECT user_id, event_type, coalesce(runs, 0) AS runs, CASE WHEN runs IS NULL OR runs < 3 THEN 'INCOMPLETE_RUN' WHEN y THEN 'STABLE_YES' WHEN NOT o THEN 'STABLE_NO' ELSE 'UNSTABLE' END AS verdict FROM u LEFT JOIN s USING (user_id, event_type)"""
 
 
 def _combos(spark, sf):
-    p = _read(spark, sf, "part").withColumn("size", X.height_group(F.col("p_size") / 5.0)).withColumn("word", F.element_at(F.split("p_name", " "), 1))
-    return D.combinations(p, [("p_type", "size"), ("p_type", "word"), ("p_type", "size", "word")], ["p_partkey", "p_name", "p_brand"])
+    dims = {"CATEGORY": F.col("p_type"), "HEEL_TYPE": X.height_group(F.col("p_size") / 5.0), "MATERIAL": F.element_at(F.split("p_name", " "), 1)}
+    return D.combinations(_read(spark, sf, "part"), dims, [("CATEGORY", "HEEL_TYPE"), ("CATEGORY", "MATERIAL"), ("CATEGORY", "HEEL_TYPE", "MATERIAL")], ["p_partkey", "p_name", "p_brand"])
 
 
 def cluster_buckets(spark, sf):
@@ -246,16 +247,16 @@ def cluster_buckets(spark, sf):
 
 
 _COMBO_SQL = f"""
-p AS (SELECT p_partkey, p_name, p_brand, 'p_type=' || p_type AS a, 'size=' || {_SIZE_SQL} AS b, 'word=' || split_part(p_name, ' ', 1) AS c FROM part),
-combos AS (SELECT p_partkey, p_name, p_brand, unnest([a || '+' || b, a || '+' || c, a || '+' || b || '+' || c]) AS combo FROM p),
+p AS (SELECT p_partkey, p_name, p_brand, 'CATEGORY:' || p_type AS a, 'HEEL_TYPE:' || {_SIZE_SQL} AS b, 'MATERIAL:' || split_part(p_name, ' ', 1) AS c FROM part),
+combos AS (SELECT p_partkey, p_name, p_brand, unnest([a || '|' || b, a || '|' || c, a || '|' || b || '|' || c]) AS combo FROM p),
 bucket AS (SELECT combo, count(DISTINCT p_partkey) AS products, count(DISTINCT p_name) AS families, count(DISTINCT p_brand) AS brands FROM combos GROUP BY combo HAVING count(DISTINCT p_brand) >= 2 AND count(DISTINCT p_name) >= 2)"""
 
 
 def _scored(spark, sf):
     combos = _combos(spark, sf)
-    total = _read(spark, sf, "part").count()
-    share = combos.select("p_partkey", F.explode(F.split("combo", r"\+")).alias("attribute")).groupBy("attribute").agg((F.countDistinct("p_partkey") / F.lit(total)).alias("share"))
-    return D.distinctiveness(D.buckets(combos, "p_partkey", "p_name", "p_brand"), share), combos
+    totals = _read(spark, sf, "part").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("b")).first()
+    share = combos.select("p_partkey", F.explode(F.split("combo", r"\|")).alias("attribute")).groupBy("attribute").agg((F.countDistinct("p_partkey") / F.lit(totals["n"])).alias("share"))
+    return D.distinctiveness(D.buckets(combos, "p_partkey", "p_name", "p_brand"), share, totals["b"], totals["n"]), combos
 
 
 def cluster_scores(spark, sf):
@@ -264,10 +265,16 @@ def cluster_scores(spark, sf):
 
 _SCORES_SQL = f"""
 WITH {_COMBO_SQL},
-share AS (SELECT attribute, count(DISTINCT p_partkey) / (SELECT count(*) FROM part) AS share FROM (SELECT p_partkey, unnest(string_split(combo, '+')) AS attribute FROM combos) GROUP BY attribute),
-pen AS (SELECT combo, least(45.0, sum(CASE WHEN share > 0.45 THEN 12.0 WHEN share > 0.3 THEN 6.0 ELSE 0.0 END) + CASE WHEN min(share) > 0.3 THEN 10.0 ELSE 0.0 END)::DOUBLE AS penalty FROM (SELECT combo, unnest(string_split(combo, '+')) AS attribute FROM bucket) JOIN share USING (attribute) GROUP BY combo)
-SELECT combo, products, penalty, greatest(0.0, least(100.0, floor(30.0 + brands * 4.0 + least(products, 20) * 1.5 - penalty + 0.5)))::DOUBLE AS score,
-  CASE WHEN products >= 12 AND brands >= 4 THEN 'STRONG' WHEN products >= 5 AND brands >= 2 THEN 'MEDIUM' ELSE 'WEAK' END AS strength FROM bucket JOIN pen USING (combo)"""
+t AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT p_brand)::DOUBLE AS b FROM part),
+share AS (SELECT attribute, count(DISTINCT p_partkey) / (SELECT n FROM t) AS share FROM (SELECT p_partkey, unnest(string_split(combo, '|')) AS attribute FROM combos) GROUP BY attribute),
+pen AS (SELECT combo, least(45.0, sum(CASE WHEN share > 0.45 THEN 12.0 WHEN share > 0.3 THEN 6.0 ELSE 0.0 END) + CASE WHEN count(*) = 2 AND min(share) > 0.3 THEN 10.0 ELSE 0.0 END)::DOUBLE AS penalty FROM (SELECT combo, unnest(string_split(combo, '|')) AS attribute FROM bucket) JOIN share USING (attribute) GROUP BY combo),
+s AS (SELECT combo, products, families, brands, penalty, products / n AS cov,
+  least(brands / b, 1.0::DOUBLE) * 46.0::DOUBLE + least(families / 5.0::DOUBLE, 1.0::DOUBLE) * 14.0::DOUBLE + least(brands / products, 1.0::DOUBLE) * 12.0::DOUBLE + products / n * 10.0::DOUBLE
+  + CASE WHEN len(string_split(combo, '|')) = 3 THEN 8 + 8 + 10 + 12 WHEN contains(combo, 'HEEL_TYPE:') THEN 8 + 8 + 8 ELSE 8 END - penalty - CASE WHEN brands <= 2 THEN 10.0 ELSE 0.0 END AS raw FROM bucket JOIN pen USING (combo) CROSS JOIN t),
+g AS (SELECT *, CASE WHEN brands >= 5 THEN 'STRONG' WHEN brands >= 3 THEN 'MEDIUM' ELSE 'WEAK' END AS s1 FROM s),
+h AS (SELECT *, CASE WHEN s1 = 'STRONG' AND (families < 4 OR cov < 0.12::DOUBLE) THEN 'MEDIUM' ELSE s1 END AS s2 FROM g),
+i AS (SELECT *, CASE WHEN s2 = 'MEDIUM' AND (families < 2 OR cov < 0.06::DOUBLE) THEN 'WEAK' ELSE s2 END AS s3 FROM h)
+SELECT combo, products, penalty, greatest(0.0, least(100.0, floor(raw::DOUBLE + 0.5)))::DOUBLE AS score, CASE WHEN s3 = 'WEAK' AND brands >= 3 AND families >= 3 AND cov >= 0.1::DOUBLE THEN 'MEDIUM' ELSE s3 END AS strength FROM i WHERE floor(raw::DOUBLE + 0.5) >= 20"""
 
 
 def cluster_select(spark, sf):
@@ -318,7 +325,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "material_family": (material_families, _material_sql()),
     "detail_tags": (text_details, _details_sql()),
     "refresh_health": (refresh_health, f"WITH s AS {_SUPPLIER_SQL}, c AS (SELECT *, floor(collected / expected * 100.0 * 10.0 + 0.5) / 10.0 AS coverage, CASE WHEN previous > 0 THEN greatest(0.0, floor((previous - collected) / previous * 100.0 * 10.0 + 0.5) / 10.0) ELSE 0.0 END AS \"drop\" FROM s) SELECT source, coverage::DOUBLE AS coverage, \"drop\"::DOUBLE AS \"drop\", CASE WHEN collected = 0 THEN 'FAILED' WHEN duplicates > 0 THEN 'INVALID_DUPLICATES' WHEN bad_prices > 0 THEN 'INVALID_PRICES' WHEN coverage < 66 THEN 'PARTIAL' WHEN \"drop\" > 40 THEN 'REJECTED_DROP' ELSE 'HEALTHY' END AS status FROM c"),
-    "coverage_status": (coverage_status, f"WITH s AS {_SUPPLIER_SQL} SELECT source, CASE WHEN collected = 0 THEN 'FAILED' WHEN collected / expected > 1.25 THEN 'NEEDS_REVIEW' WHEN collected / expected >= 0.67 THEN 'FULL' ELSE 'PARTIAL' END AS status, collected >= ceil(expected * 0.66::DOUBLE) AS retained FROM s"),
+    "coverage_status": (coverage_status, f"WITH s AS {_SUPPLIER_SQL} SELECT source, CASE WHEN collected = 0 THEN 'FAILED' WHEN source % 5 <> 0 AND source % 2 = 0 AND collected >= expected * 0.67::DOUBLE AND collected <= expected * 1.25 THEN 'FULL' ELSE 'PARTIAL' END AS status, collected >= ceil(expected * 0.66::DOUBLE) AS retained FROM s"),
     "marketplace_gate": (marketplace_gate, f"WITH s AS {_SUPPLIER_SQL}, r AS (SELECT source, list_filter([CASE WHEN collected < 0.66::DOUBLE * expected THEN 'LOW_COVERAGE' END, CASE WHEN duplicates > 0 THEN 'DUPLICATE_IDS' END, CASE WHEN previous > collected THEN 'SHRUNK' END, CASE WHEN expected < 500 THEN 'TOO_FEW' END], lambda x: x IS NOT NULL) AS l FROM s) SELECT source, coalesce(array_to_string(l, ','), '') AS reasons, len(l) = 0 AS accepted FROM r"),
     "gate_report": (gate_report, "WITH p AS (SELECT p_type, CASE WHEN p_size > 40 THEN 'EXCLUDE' WHEN p_size > 30 THEN 'UNCERTAIN' ELSE 'ACCEPT' END AS v, p_name || '-' || lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_type, v ORDER BY name) AS k FROM p) SELECT p_type, count(*) FILTER (v = 'ACCEPT') AS accept, count(*) FILTER (v = 'EXCLUDE') AS exclude, count(*) FILTER (v = 'UNCERTAIN') AS uncertain, coalesce(array_to_string(list(name ORDER BY name) FILTER (v = 'EXCLUDE' AND k <= 10), ','), '') AS first_excluded FROM r GROUP BY p_type"),
     "missing_previous": (lanes_missing, "SELECT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'"),

@@ -73,8 +73,22 @@ def collection_verdicts(spark, sf):
 
 def seasons(spark, sf):
     now = _ts("2001-06-30")
-    s = _read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
-    return s.select("l_partkey", G.season(F.col("a")).alias("season"), G.lifecycle(F.col("a"), F.col("b"), now).alias("lifecycle"))
+    ships = _read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    p = _read(spark, sf, "part").join(ships, "p_partkey")
+    text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") == 7, "SS 27"), F.when(F.col("p_size") == 9, "FW-26"), F.when(F.col("p_size") == 11, "outlet"), F.when(F.col("p_size") % 5 == 0, "snow"), F.when(F.col("p_size") % 6 == 0, "straw"))
+    category = F.when(F.col("p_type") == "SMALL", "SANDAL").when(F.col("p_type") == "LARGE", "BOOT").otherwise(F.col("p_type"))
+    seen = F.when(F.col("p_size") % 2 == 0, F.col("b")).otherwise(F.col("a"))
+    stage = G.lifecycle(text, F.col("p_size") % 4 == 0, F.col("b"), now)
+    season, score = G.season(text, category, stage, seen, now)
+    return p.select("p_partkey", season.alias("season"), score.cast("int").alias("score"), stage.alias("lifecycle"))
+
+
+_SEASON_SQL = """
+WITH s AS (SELECT l_partkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_partkey),
+p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 2 = 0 THEN b ELSE a END AS seen, p_size = 7 AS sl, p_size = 9 AS wl, CASE WHEN p_size = 11 THEN 'SALE' WHEN p_size % 4 = 0 THEN 'NEW_ARRIVAL' WHEN epoch_us(TIMESTAMP '2001-06-30') - epoch_us(b) > 120 * 86400000000 THEN 'ARCHIVE' ELSE 'CURRENT' END AS lifecycle,
+  p_type = 'SMALL' AS sc, p_type = 'LARGE' AS wc, p_size % 6 = 0 AS st, p_size % 5 = 0 AS wt FROM part JOIN s ON l_partkey = p_partkey),
+r AS (SELECT *, CASE WHEN sl THEN 1 WHEN wl THEN 2 WHEN lifecycle <> 'NEW_ARRIVAL' AND epoch_us(TIMESTAMP '2001-06-30') - epoch_us(seen) > 180 * 86400000000 THEN 3 WHEN (sc OR st) AND NOT (wc OR wt) THEN 4 WHEN (wc OR wt) AND NOT (sc OR st) THEN 5 WHEN lifecycle = 'NEW_ARRIVAL' AND month(seen) BETWEEN 3 AND 8 THEN 6 WHEN lifecycle = 'NEW_ARRIVAL' THEN 7 ELSE 8 END AS k FROM p)
+SELECT p_partkey, CASE WHEN k IN (1, 4, 6) THEN 'SS27' WHEN k IN (2, 5, 7) THEN 'AW26_27' ELSE 'CARRY_OVER' END AS season, CASE k WHEN 1 THEN 100 WHEN 2 THEN 100 WHEN 3 THEN 88 WHEN 4 THEN CASE WHEN sc AND st THEN 92 ELSE 84 END WHEN 5 THEN CASE WHEN wc AND wt THEN 92 ELSE 84 END WHEN 6 THEN 68 WHEN 7 THEN 68 ELSE 55 END AS score, lifecycle FROM r"""
 
 
 def lock_pairs(spark, sf):
@@ -98,7 +112,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "family_report": (family_report, f"WITH f AS (SELECT p_brand, {_FAMILY_KEY} AS k, count(*) AS v FROM part GROUP BY 1, 2) SELECT count(*) AS families, sum(v)::BIGINT AS items, count(*) FILTER (v > 1) AS multi, floor((1 - count(*) / sum(v)) * 100.0 * 10.0 + 0.5) / 10.0 AS reduction_percent, max(v) AS largest FROM f"),
     "source_report": (source_report, "WITH s AS (SELECT source, count(*) AS \"rows\", count(*) FILTER (n_chars > 50) AS complete, count(*) FILTER (quality = 1) AS usable FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source) SELECT *, CASE WHEN complete = \"rows\" THEN 'success' WHEN usable > 0 THEN 'partial' ELSE 'failed' END AS status FROM s"),
     "collection_discovery": (collection_verdicts, "WITH p AS (SELECT p_name, count(*) AS products, avg((p_size < 36)::INT::DOUBLE) AS share FROM part GROUP BY p_name) SELECT p_name, products, floor(share * 10000.0 + 0.5) / 10000.0 AS share, CASE WHEN share >= 0.8::DOUBLE THEN 'VERIFIED' WHEN share > 0.5 THEN 'AUTO_DISCOVERED' ELSE 'REJECT' END AS verdict FROM p"),
-    "season_lifecycle": (seasons, "WITH s AS (SELECT l_partkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_partkey) SELECT l_partkey, CASE WHEN month(a) BETWEEN 2 AND 7 THEN 'SS' ELSE 'FW' END AS season, CASE WHEN date_diff('day', b::DATE, DATE '2001-06-30') > 90 THEN 'GONE' WHEN date_diff('day', a::DATE, DATE '2001-06-30') <= 45 THEN 'NEW' WHEN date_diff('day', a::DATE, b::DATE) > 365 THEN 'CARRYOVER' ELSE 'CURRENT' END AS lifecycle FROM s"),
+    "season_lifecycle": (seasons, _SEASON_SQL),
     "lock_conflicts": (lock_pairs, "SELECT a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_nationkey - b.s_nationkey) <= 1"),
     "paged_source": (paged_reads, "WITH e AS (SELECT user_id, day(ts) AS page, count(*) AS n FROM events GROUP BY ALL), z AS (SELECT user_id, page, CASE WHEN n = 1 THEN 0 ELSE n END AS n FROM e), o AS (SELECT *, max((n = 0)::INT) OVER (PARTITION BY user_id ORDER BY page) AS ended FROM z) SELECT user_id, count(*) FILTER (ended = 0) AS pages, coalesce(sum(n) FILTER (ended = 0), 0)::BIGINT AS \"rows\", max(ended) = 1 AS exhausted FROM o GROUP BY user_id"),
 }
