@@ -68,3 +68,23 @@ def test_rules(spark):
     assert one(spark, R.toe_shape("a", "b", "n"), a=None, b=None, n="Pointed Toe pump") == "POINTED"
     assert one(spark, R.construction("c", "n"), c="MULE", n="slingback mule") == ["BACKLESS", "SLINGBACK"]
     assert one(spark, R.details("n"), n="woven buckle bow") == ["WOVEN", "BUCKLE", "BOW"]
+
+
+def test_style_codes(spark):
+    from trendloom.functions import styles as Y
+
+    code = lambda sku, source="x": one(spark, Y.verified_style("k", "s"), k=sku, s=source)
+    assert code("S2217900140013") == "S221790014" and code("L415-STEL-5.0-TEAL-3054") == "L415-STEL"
+    assert code("F12A3456-red", "Staud") == "F12A3456" and code("12-3456-x", "staud") == "12-3456"
+    assert code("S123456-0001", "alohas") == "S123456" and code("nothing", "alohas") is None
+    assert one(spark, Y.base_sku("k"), k="abcde-38.5") == "ABCDE" and one(spark, Y.base_sku("k"), k="abc") is None
+    got, sure = Y.style_identity("k", "s", "u")
+    assert one(spark, F.struct(got.alias("a"), sure.alias("b")), k="zz", s="zara", u="http://z/shoe-p12345.html") == ("ZARA-12345", True)
+
+
+def test_model_names(spark):
+    from trendloom.operators.identity import model_name
+
+    drop, kinds = ("teal", "suede", "ecru"), ("pump", "heel", "sneaker")
+    name = lambda n: one(spark, model_name(F.col("n"), drop, kinds), n=n)
+    assert [name("Julie Suede Pump"), name("Teddy Heel - Ecru"), name("Stella Sneaker Teal Suede"), name("Stella Sneakers")] == ["julie pump", "teddy heel", "stella sneaker", "stella sneaker"]
