@@ -27,7 +27,7 @@ BUCKET_BITS = 18
 DIM, RATE, BATCH = 8, 4.0, 16
 #: Gradient steps aimed at; small samples are gone through more often.
 STEPS, EPOCHS = 1000, (3, 60)
-MAX_TRAIN = 4000
+MAX_TRAIN = 1200
 PART = 1 << 20
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -83,6 +83,8 @@ def hashed_features(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
         while made < n:
             h = h[:-1] * np.uint64(0x100000001B3) + data[made:].astype(np.uint64)
             made += 1
+        if not len(h):
+            return
         inside = count[n - 2 : len(data) - 1] == count[: len(data) - n + 1]  # no space strictly inside: counts up to the second last and the first byte
         at = np.flatnonzero(inside[: len(h)] & ~space[1 : len(h) + 1])
         yield owner[at + 1], _bucket(h[at], n)
@@ -136,12 +138,12 @@ def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts as sparse rows: where each begins, buckets, and shares of its features."""
     starts, cols, vals = [0], [], []
     for t in texts:
-        found = [b for p in _cut(t) for _, b in hashed_features([p])]
-        bucket, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        found = [b.astype(np.int32) for p in _cut(t) for _, b in hashed_features([p])]
+        bucket, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
         cols.append(bucket)
-        vals.append(n / max(1, n.sum()))
+        vals.append((n / max(1, n.sum())).astype(np.float32))
         starts.append(starts[-1] + len(bucket))
-    return np.array(starts), np.concatenate(cols) if cols else np.empty(0, np.int64), np.concatenate(vals) if vals else np.empty(0)
+    return np.array(starts), np.concatenate([np.empty(0, np.int32), *cols]), np.concatenate([np.empty(0, np.float32), *vals])
 
 
 def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed: int = 7) -> Model:
@@ -151,8 +153,7 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed:
         return Model(np.zeros(buckets), float(np.log((ones + 1) / (len(good) - ones + 1))))
     rng = np.random.default_rng(seed)
     starts, cols, vals = _rows(texts)
-    used, col = np.unique(cols, return_inverse=True)
-    embed = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM))
+    embed = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM))
     layer, bias = np.zeros((DIM, 2)), np.log(np.array([len(good) - ones, ones]) / len(good))
     label = np.stack([1 - good, good], 1).astype(float)
     batches = -(-len(texts) // BATCH)
@@ -167,7 +168,7 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed:
             span = [np.arange(starts[d], starts[d + 1]) for d in docs]
             flat = np.concatenate(span)
             row = np.repeat(np.arange(len(docs)), [len(s) for s in span])
-            c, v = col[flat], vals[flat]
+            c, v = cols[flat], vals[flat]
             hidden = np.zeros((len(docs), DIM))
             gathered = embed[c] * v[:, None]
             for j in range(DIM):
@@ -180,8 +181,9 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed:
             layer -= rate * hidden.T @ error
             bias -= 0.1 * rate * error.sum(0)
             np.add.at(embed, c, -rate * len(docs) * v[:, None] * back[row])
-    weight = np.zeros(buckets)
-    weight[used] = embed @ (layer[:, 1] - layer[:, 0])
+    seen = np.zeros(buckets, bool)
+    seen[cols] = True  # a bucket that training never saw has no say
+    weight = np.where(seen, embed @ (layer[:, 1] - layer[:, 0]), 0.0)
     return Model(weight, float(bias[1] - bias[0]))
 
 
