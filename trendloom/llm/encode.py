@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from trendloom.llm.common import give_back
+
 #: Fixed value: the pre-token pattern of byte-level BPE files (as the tokenizer's documentation states it).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 600_000
-SLICE_BYTES = 12 << 20
+CACHE_PIECES = 400_000
+SLICE_BYTES = 8 << 20
 PUNCTUATION = frozenset(".,;:!?")
 
 
@@ -148,6 +150,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
 _encoders: dict[str, DocEncoder] = {}
 
 
+def end_of_task(most: int = 100_000) -> None:
+    """A reused worker keeps its encoders, but not large caches."""
+    for e in _encoders.values():
+        if len(e.cache) > most:
+            e.cache.clear()
+    give_back()
+
+
 def encoder(path: str) -> DocEncoder:
     """One encoder for each file and Python worker."""
     if path not in _encoders:

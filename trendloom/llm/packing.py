@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stash
-from trendloom.llm.encode import encoder, slices
+from trendloom.llm.encode import encoder, end_of_task, slices
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,6 +57,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
                     cols.append(pa.array([ids[i : i + k].astype(np.int32) for i, k in zip(at, length)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        end_of_task()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))

@@ -4,8 +4,8 @@ A document is the average of learned vectors of its hashed features: words, word
 one feature of its own), and the 3- to 5-byte n-grams of words with their borders. A softmax layer over the average
 gives the two classes. Vectors and layer are trained together by numpy stochastic gradient descent on a bounded sample
 (`MAX_TRAIN` labelled documents with the smallest hash of their id, whole texts) on the driver. Since the layer is
-linear, a trained feature is one number at scoring time; every task sums these numbers over whole texts, a megabyte of
-bytes at a time, whatever the length of a document.
+linear, a trained feature is one number at scoring time; every task sums these numbers over whole texts, half a megabyte
+of bytes at a time, whatever the length of a document.
 
 Defined cases: null, empty and blank texts have no features and score by the bias alone; labels that are null, or that
 contradict each other for one doc_id, are not learned; without labels of both classes every score is the smoothed share
@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import give_back
+from trendloom.llm.encode import slices
+
 BUCKET_BITS = 18
 DIM, RATE, BATCH = 8, 4.0, 16
 #: Gradient steps aimed at; small samples are gone through more often.
 STEPS, EPOCHS = 1000, (3, 60)
 MAX_TRAIN = 1200
-PART = 1 << 20
+PART = 1 << 19
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -206,9 +209,10 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = where.value
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(1), 8 * PART)):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(texts), pa.float64()), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     kinds = "doc_id long, score double" + "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

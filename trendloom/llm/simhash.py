@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import shuffle_partitions, stash
+from trendloom.llm.common import give_back, shuffle_partitions, stash
 from trendloom.llm.graph import connected_components
 
 MAX_BITS = 3
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             texts = batch.column(1).cast(pa.large_binary())
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 

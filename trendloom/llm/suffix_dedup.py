@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendloom.llm.common import shuffle_partitions, stash
+from trendloom.llm.common import give_back, shuffle_partitions, stash
 from trendloom.llm.encode import slices
 
 ANCHOR = 32
@@ -152,6 +152,7 @@ def _anchor_rows(threshold: int):
             # 0: alone with its name here, 1: its name has other contents here, 2: repeats an earlier run for certain
             settled = np.where(again, 2, np.where(many, 1, 0)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(name)), pa.array(_signed(content)), pa.array(dd), pa.array(tt), pa.array(word), pa.array(settled)], ["key", "name", "content", "d", "tag", "word", "settled"])
+        give_back()
 
     return run
 
@@ -186,6 +187,7 @@ def _string_rows(threshold: int):
             again = np.r_[False, (name[1:] == name[:-1]) & (check[1:] == check[:-1])]
             name[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + d[doc[again]].view(np.uint64) * M1
             yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(d[doc]), pa.array(tag[doc]), pa.array((start << CHECK_BITS) | check), pa.array(again)], ["key", "d", "tag", "word", "settled"])
+        give_back()
 
     return run
 
@@ -231,6 +233,7 @@ def _removed(threshold: int, with_text: bool):
                 names.append("kept")
             extra = [c for c in batch.schema.names if c.startswith("c_")]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(n) for n in extra)], [*names, *extra])
+        give_back()
 
     return run
 

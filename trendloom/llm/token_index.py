@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import new_dir
-from trendloom.llm.encode import encoder, slices
+from trendloom.llm.encode import encoder, end_of_task, slices
 
 GAMMA = 2.0
 MAGIC = b"TLMPH001"
@@ -198,6 +198,7 @@ def write_token_index(docs: DataFrame, tokenizer_path: str, end_id: int = 0, sha
 
         name = f"shard-{task.partitionId():05d}-{task.taskAttemptId()}"
         _write_file(folder, f"{name}.bin", chunks())
+        end_of_task()
         if sizes:
             index = ShardIndex.build(np.concatenate(keys), np.concatenate(has), np.concatenate(sizes))
             _write_file(folder, f"{name}.idx", iter([index.dump()]))
