@@ -126,6 +126,31 @@ def test_suffix_dedup_periodic_shared_and_long_texts(spark):
     assert got == brute_repeats(rows)
 
 
+def test_suffix_dedup_does_not_depend_on_batches(spark, sf_dir, real):
+    """A text alone in one Arrow batch; its copy in another one, beside a third text that shares a passage with it."""
+    from trendloom.llm import suffix_dedup
+
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = []
+    for i in range(0, 64, 4):
+        shared = text(150)
+        first = text(80) + shared + text(80)
+        rows += [(i, first), (i + 1, text(50)), (i + 2, first), (i + 3, text(80) + shared + text(80))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in (1, 2, 1000):
+            spark.conf.set(key, str(size))
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+            assert got == brute_repeats(rows), size
+        spark.conf.set(key, "7")
+        want = brute_repeats([(i, t) for i, t, _ in real])
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op2_suffix_dedup(spark, sf_dir).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_suffix_dedup_odd_rows(odd, empty):
     from trendloom.llm.suffix_dedup import remove_repeats
 

@@ -256,9 +256,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = Fals
     dealt = anchors.repartition(n, "key")
     by_content = Window.partitionBy("key", "name", "content").orderBy("d", "tag", "word")
     by_name = Window.partitionBy("key")
-    ranked = dealt.withColumn("rank", F.row_number().over(by_content)).withColumn("lo", F.min("content").over(by_name)).withColumn("hi", F.max("content").over(by_name))
+    ranked = dealt.withColumn("rank", F.row_number().over(by_content)).withColumn("lo", F.min("content").over(by_name)).withColumn("hi", F.max("content").over(by_name)).withColumn("several", F.max(F.col("settled") == 1).over(by_name))
     repeats = (F.col("settled") == 2) | (F.col("rank") > 1)
-    goes_on = ~repeats & ((F.col("settled") == 1) | (F.col("lo") != F.col("hi")))
+    # A batch that saw several contents kept only the least of them under the name: one such row opens the name.
+    goes_on = ~repeats & (F.col("several") | (F.col("lo") != F.col("hi")))
     live = ranked.filter(repeats | goes_on).select("d", "tag", "word", repeats.alias("repeats"))
     runs = stash(live.groupBy("d", "tag").agg(F.collect_set(F.when(~F.col("repeats"), F.col("word"))).alias("open"), F.collect_set(F.when(F.col("repeats"), F.col("word"))).alias("runs")), "runs")
 
