@@ -1,0 +1,176 @@
+"""Near-duplicates by exact similarity of word shingles: an all-pairs set join with prefix filtering.
+
+A text is the set of its five-word shingles (lower case A-Z, words between ASCII white space, 64-bit hashes). Two texts
+link if their sets' Jaccard similarity is at least 0.8. With any common order of shingles, sets that link share one of
+the first n - ceil(0.8 n) + 1 of each; only these are posted. The order puts shingles that are frequent in a bounded
+sample last, so lists of shared passages stay out of the prefixes of other texts; it decides the cost, never the result.
+
+A list of n postings has n^2 pairs, nearly all of them inside groups of copies. So lists first link neighbours by size;
+what that verifies becomes components, and only pairs of different components are made from the lists then. Pairs pass
+bounds on size and position that no linked pair fails, and are verified on the texts themselves.
+
+Defined cases: texts of fewer words are one shingle; null and blank texts have no shingle and equal each other; rows
+that share a doc_id are one document; rows with a null doc_id link nothing; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trendloom.llm.common import give_back, shuffle_partitions, stash
+from trendloom.llm.graph import connected_components
+
+WIDTH = 5
+SAMPLE, FREQUENT, KNOWN_WORDS = 5_000, 100_000, 200_000
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+
+
+class Shingles:
+    """Sorted different shingle hashes of texts; hashes of words are kept between texts."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width, self.known = width, {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").lower().split()  # of bytes: ASCII only
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh64_intdigest
+        for w in set(words).difference(known):
+            known[w] = digest(w, 42)
+        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        width = min(self.width, len(words))
+        out = np.full(len(words) - width + 1, width, np.uint64)
+        for i in range(width):
+            out = (out * M1) ^ h[i : i + len(out)]
+            out = (out ^ (out >> np.uint64(29))) * M2
+        return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sorted sets is at least 0.8; empty sets equal each other."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
+    return (t.as_py() for t in batch.column(name).cast(pa.large_binary()))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = Shingles()
+    for batch in batches:
+        parts = [cut(t) for t in _texts(batch, "text")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))], ["h"])
+    give_back()
+
+
+def _prefixes(often: np.ndarray, count: np.ndarray):
+    """(doc_id, text) in; doc_id, n, a hash of the set and its prefix out. often: sorted frequent shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingles()
+        for batch in batches:
+            size, whole, prefix = [], [], []
+            for t in _texts(batch, "text"):
+                s = cut(t)
+                n = len(s)
+                weight = np.zeros(n, np.int64)
+                if len(often) and n:
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    weight = np.where(often[at] == s, count[at], 0)
+                size.append(n)
+                whole.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                prefix.append(s[np.lexsort((s, weight))[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
+            ends = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *prefix])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "whole", "prefix"])
+        give_back()
+
+    return run
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = Shingles()
+    for batch in batches:
+        ok = [any(similar(x, y) for x in map(cut, a) for y in map(cut, b)) for a, b in ((batch.column("a")[i].as_py(), batch.column("b")[i].as_py()) for i in range(len(batch)))]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    give_back()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, at_once: int) -> DataFrame:
+    """Those of the written pairs (u, v) whose texts are similar. A pair moves two texts, so only about `at_once` pairs
+    are dealt before their result is written and the shuffle files go; all of them get their turn."""
+    turns = max(1, -(-pairs.count() // at_once))
+    turn = F.pmod(F.xxhash64("u", "v"), F.lit(turns))
+    done = [stash(_similar_pairs(pairs.filter(turn == k), texts), "links") for k in range(turns)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ends = pairs.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(True).alias("first")), F.struct(F.col("v").alias("doc_id"), F.lit(False).alias("first")))).alias("e")).select("u", "v", "e.*")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sides = texts.join(ends, "doc_id").groupBy("u", "v").agg(F.collect_list(F.when(F.col("first"), raw)).alias("a"), F.collect_list(F.when(~F.col("first"), raw)).alias("b"))
+    return sides.mapInArrow(_verify, "u long, v long")
+
+
+def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Bounds on sets of n and m shingles that share the one at the given places: sizes, and the overlap still possible."""
+    most = F.least(pos, at) + 1 + F.least(n - pos, m - at) - 1
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id reachable over links; null for a null doc_id)."""
+    parts = shuffle_partitions(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.count()
+    every, at_once = max(1, rows // SAMPLE), max(10_000, rows // 8)
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(every)) == 0)
+    seen = sample.mapInArrow(_sampled, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    often = np.array([r["h"] for r in seen], np.int64).view(np.uint64)
+    count = np.array([r["count"] for r in seen], np.int64)
+    order = np.argsort(often)
+    marked = stash(texts.mapInArrow(_prefixes(often[order], count[order]), "doc_id long, n int, whole long, prefix array<long>"), "prefixes")
+
+    # A class of equal sets is one node, named by its smallest doc_id.
+    named = marked.filter("doc_id is not null")
+    nodes = named.groupBy("whole", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    lists = Window.partitionBy("token").orderBy("n", "rep")
+    posted = nodes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition(parts, "token")
+    before = {c: F.lag(c).over(lists) for c in ("rep", "n", "pos")}
+    after = F.lead("rep").over(lists)
+    listed = stash(posted.withColumns({f"last_{c}": x for c, x in before.items()} | {"next": after}).filter("last_rep is not null or next is not null").drop("next"), "lists")
+    pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    fits = _may_link(F.col("n"), F.col("pos"), F.col("last_n"), F.col("last_pos")) & (F.col("rep") != F.col("last_rep"))
+    tried = stash(listed.filter(fits).select(*pair("rep", "last_rep")).distinct(), "pairs")
+    # Rows that repeat a doc_id with different sets join their classes.
+    ids = named.groupBy("doc_id").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x <> y").select("doc_id")
+    several = named.join(ids, "doc_id").join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    links = stash(_verified(tried, texts, at_once).unionByName(several), "links")
+
+    # Pairs of different components that share a list.
+    grown = stash(connected_components(links), "components")
+    placed = listed.join(grown, listed.rep == grown.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
+    open_ = stash(placed.join(mixed, "token"), "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.c") < F.col("b.c")) & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+    rest = a.join(b, meet).select(*pair("a.rep", "b.rep")).distinct()
+    more = stash(_verified(stash(rest.join(tried, ["u", "v"], "left_anti"), "pairs"), texts, at_once), "links")
+    if more.limit(1).count():
+        grown = connected_components(links.unionByName(more))
+    classes = nodes.select("whole", "n", "rep")
+    labelled = classes.join(grown, classes.rep == grown.node, "left").select("whole", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = marked.select("doc_id", "whole", "n").join(labelled, ["whole", "n"], "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
