@@ -190,6 +190,32 @@ def test_permutation_index_recall_and_scores(spark, sf_dir):
     assert hits / n >= 0.9
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_permutation_index_recall_where_the_share_cuts(spark, hot):
+    """Files of far more than 1,460 rows, so that the footrule cut acts; a third of the rows in one cluster if hot."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from trendloom.llm.permutation_index import search
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(24_000, 64))
+    if hot:
+        x[:8000] = rng.normal(size=64) + 0.1 * rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))})).repartition(8)
+    found = defaultdict(set)
+    for r in search(frame, F.col("vec_id") % 200 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for i in range(0, len(x), 200):
+        score = x @ x[i]
+        score[i] = -np.inf
+        recall.append(len(found[i] & set(np.argsort(-score)[:20].tolist())) / 20)
+    print("recall", np.mean(recall[:40]), np.mean(recall[40:]))
+    assert min(np.mean(recall[:40]), np.mean(recall[40:])) >= 0.9
+
+
 def test_permutation_index_odd_vectors(spark):
     from pyspark.sql import functions as F
 

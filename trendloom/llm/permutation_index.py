@@ -1,6 +1,7 @@
 """Operator 3: approximate nearest neighbours by a permutation index.
 
-Pivots are up to 64 different vectors of a bounded sample (`SAMPLE` rows with the smallest hash of their id). A vector
+Pivots are up to 64 vectors of a bounded sample (`SAMPLE` rows with the smallest hash of their id), each the farthest
+from those before it. A vector
 is represented by the order of the pivots by nearness. Its nearest `PREFIX` pivots are the inverted files it is posted
 in; a query probes the files of its own nearest pivots. Candidates of a query are ranked by the Spearman footrule
 distance of the two full orders, the best `SHARE` of them (and `LEAST` at least) are reranked by inner product on the
@@ -41,13 +42,25 @@ def usable(vector: Column) -> Column:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Different vectors of the sample; fewer for small tables, so that every file still holds about a hundred rows."""
+    """Vectors of the sample that are far apart; fewer for small tables, so that every file still holds about a hundred
+    rows. Greedy, farthest first by angle: a plain sample of a table with a hot cluster has many near-identical pivots,
+    whose order says nothing about the vectors outside it."""
     sample = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
     if not sample:
         return np.empty((0, 0))
     size = Counter(len(r.vector) for r in sample).most_common(1)[0][0]
     seen = list(dict.fromkeys(tuple(r.vector) for r in sample if len(r.vector) == size))
-    return np.array(seen[: min(pivots, max(1, len(sample) // 10))], float)
+    x = np.array(seen, float)
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    picked, near = [0], unit @ unit[0]
+    near[0] = np.inf
+    while len(picked) < min(pivots, max(1, len(sample) // 10), len(seen)):
+        i = int(near.argmin())
+        picked.append(i)
+        near = np.maximum(near, unit @ unit[i])
+        near[i] = np.inf
+    return x[picked]
 
 
 def _orders(pivots: np.ndarray, prefix: int):
