@@ -77,6 +77,13 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6}
 
 
+def test_components_of_a_long_chain(spark):
+    """The smallest node hangs at the far end of 1, 2 ... 39."""
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 39)] + [(39, 0)], "u long, v long").coalesce(1)
+    assert {r.component for r in identity.components(nodes, edges, "node").collect()} == {0}
+
+
 def test_large_blocks_link_as_stars(spark):
     items = spark.range(10).select(F.col("id").alias("item"), F.lit("x").alias("block"))
     assert identity.pairs_within(items, ["block"], "item", most=5).count() == 9

@@ -1,44 +1,13 @@
-"""Connected components of an edge table, in rounds of joins and minima."""
+"""Connected components of an edge table; every round is a written table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from trendloom import stars
 from trendloom.llm.common import stash
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(u, v: long) -> node, component (the smallest node it reaches), for nodes that have an edge.
-
-    Alternating star contraction: each round links the larger neighbours of a node to its smallest neighbour, then the
-    smaller ones. Minima are pre-aggregated before the shuffle, the join back splits hot nodes (adaptive skew join), and
-    every round is a written table. The driver only sees a count and a checksum.
-    """
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(e: DataFrame, larger: bool) -> DataFrame:
-        # e holds (u, v) with u > v
-        if larger:
-            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = e.join(least, "u")
-        if larger:
-            return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-
-    now = stash(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = mark(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        now = stash(star(star(now, True), False), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """edges(u, v: long) -> node, component (the smallest node it reaches), for nodes that have an edge."""
+    return stars.connected_components(edges, lambda e: stash(e, "edges"), rounds)

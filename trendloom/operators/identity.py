@@ -1,4 +1,4 @@
-"""Entity resolution: equality blocks first, pair predicates only inside them, components by label rounds."""
+"""Entity resolution: equality blocks first, pair predicates only inside them, components by alternating stars."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trendloom import stars
+
 SEASON_WORDS = ("spring", "summer", "fall", "winter", "resort", "ss", "fw", "new")
 
 
@@ -45,24 +47,14 @@ def pairs_within(items: DataFrame, block: list[str], item: str, match: Column |
     return pairs.unionByName(star)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 20) -> DataFrame:
-    """The smallest node that each node reaches. Labels are halved by pointer jumps, so rounds grow with log of the
-    diameter; each is cut from its lineage by a reliable checkpoint where the session has a folder for it."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = nodes.select(F.col(node).alias("n"), F.col(node).alias("label"))
+def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 60) -> DataFrame:
+    """The smallest node that each node reaches, by alternating stars; raises if they do not settle. Rounds are cut from
+    their lineage by a reliable checkpoint where the session has a folder for it."""
     durable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    before = None
-    for _ in range(rounds):
-        least = both.join(labels.select(F.col("n").alias("v"), "label"), "v").groupBy(F.col("u").alias("n")).agg(F.min("label").alias("seen"))
-        labels = labels.join(least, "n", "left").select("n", F.least("label", F.coalesce("seen", "label")).alias("label"))
-        jump = labels.select(F.col("n").alias("m"), F.col("label").alias("next"))
-        labels = labels.join(jump, F.col("label") == F.col("m"), "left").select("n", F.least("label", F.coalesce("next", "label")).alias("label"))
-        labels = labels.checkpoint() if durable else labels.persist()
-        now = labels.agg(F.sum(F.xxhash64("n", "label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels.select(F.col("n").alias(node), F.col("label").alias("component"))
+    labels = nodes.select(F.col(node).alias("n"))
+    known = edges.select("u", "v").join(labels.select(F.col("n").alias("u")), "u", "left_semi").join(labels.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
+    found = stars.connected_components(known, lambda e: e.checkpoint() if durable else e.persist(), rounds).select(F.col("node").alias("n"), "component")
+    return labels.join(found, "n", "left").select(F.col("n").alias(node), F.coalesce("component", "n").alias("component"))
 
 
 def reanchor(fresh: DataFrame, prior: DataFrame, overlap: list[str], old_id: str) -> DataFrame:
