@@ -385,7 +385,8 @@ def test_license_expressions_and_odd_rows(odd, empty):
     from trendloom.llm import license_scan as s
 
     assert s.parse_expression("MIT OR Apache-2.0 AND BSD WITH x") == ["mit", "apache-2.0", "bsd", "x", "with", "and", "or"]
-    assert s.expression_allows("(MIT OR GPL-2.0) AND BSD", {"mit", "bsd"}) and not s.expression_allows("MIT AND GPL-2.0", {"mit"})
+    assert s.allows(s.parse_expression("(MIT OR GPL-2.0) AND BSD"), {"mit", "bsd"}) and not s.allows(s.parse_expression("MIT AND GPL-2.0"), {"mit"})
+    assert s.parse_expression("MIT AND (") == ["mit"] == s.parse_expression("((MIT OR (") and s.parse_expression("MIT OR (BSD AND (") == ["mit", "bsd", "or"]
     assert s.parse_expression("MIT OR") == ["mit"] and s.parse_expression("") == [] and s.parse_expression(") MIT (") == []
     assert s.identifiers(s.parse_expression("GPL-2.0 WITH Classpath-exception-2.0")) == {"gpl-2.0"}
     by = {r.doc_id: r for r in s.scan_licenses(odd).collect()}
@@ -394,6 +395,51 @@ def test_license_expressions_and_odd_rows(odd, empty):
     assert s.scan_licenses(empty).count() == 0
 
 
+def random_expression(rng, depth=0):
+    """A licence expression with the brackets it needs and some it does not: text, and a function of the allowed set."""
+    kind = rng.integers(0, 4) if depth < 4 else 0
+    if kind == 0:
+        name = rng.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "x.y+z"])
+        return name, 9, lambda ok, n=name.lower(): n in ok
+    if kind == 1:
+        a, _, f = random_expression(rng, 9)
+        return f"{a} WITH some-exception", 3, f
+    (a, ra, f), (b, rb, g) = random_expression(rng, depth + 1), random_expression(rng, depth + 1)
+    word, rank = (("AND", 2), ("or", 1))[kind - 2]
+    a, b = (f"({x})" if r < rank or rng.integers(0, 4) == 0 else x for x, r in ((a, ra), (b, rb)))
+    both = (lambda ok: f(ok) and g(ok)) if rank == 2 else (lambda ok: f(ok) or g(ok))
+    return f"{a} {word} {b}", rank, both
+
+
+def test_license_expressions_evaluate_as_their_trees_do():
+    from trendloom.llm import license_scan as s
+
+    rng = np.random.default_rng(3)
+    found = s.automaton()
+    for _ in range(300):
+        text, _, tree = random_expression(rng)
+        for ok in ({"mit"}, {"apache-2.0", "gpl-2.0-only"}, {"mit", "x.y+z"}):
+            assert s.allows(s.parse_expression(text), ok) == tree(ok)
+            assert s.allows(s.parse_expression(f"{text} and"), ok) == s.allows(s.parse_expression(f"{text} ("), ok) == tree(ok)
+        # Any cut leaves something that evaluates.
+        cut = text[: rng.integers(0, len(text) + 1)]
+        s.identifiers(s.parse_expression(cut)), s.allows(s.parse_expression(cut), {"mit"})
+        got = s.scan(f"x\nSPDX-License-Identifier: {text} */ see below", found)
+        assert got[7] == tree(s.PERMISSIVE) and "see" not in got[5].split(",")
+
+
+def test_license_scan_time_grows_with_the_text():
+    import time
+
+    from trendloom.llm import license_scan as s
+
+    found = s.automaton()
+    text = "MIT license " * 90_000 + "SPDX-License-Identifier: " * 4_000
+    began = time.process_time()
+    got = s.scan(text, found)
+    assert (got[1], got[2], got[3]) == (90_000, 0, 179_998) and time.process_time() - began < 3
+
+
 # 8
 
 
