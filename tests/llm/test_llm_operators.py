@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import compare
 
@@ -506,6 +507,51 @@ def test_quality_rules_counts_and_verdicts(spark, sf_dir, real):
     assert np.mean([k == bool(q) for k, q in judged]) >= 0.9
 
 
+def plain_expectation_maximisation(x, rounds, start, pseudo):
+    """On a matrix of votes, document by document."""
+    share, alarm, hit = start
+    good, a, h = share, np.full(x.shape[1], alarm), np.full(x.shape[1], hit)
+    for _ in range(rounds):
+        odds = np.log(good / (1 - good)) + np.where(x == -1, np.log(a / h), np.where(x == 1, np.log((1 - a) / (1 - h)), 0)).sum(1)
+        p = 1 / (1 + np.exp(-odds))
+        good = (p.sum() + pseudo * share) / (len(x) + pseudo)
+        against, cast = x == -1, x != 0
+        a = (p @ against + pseudo * share * alarm) / (p @ cast + pseudo * share)
+        h = ((1 - p) @ against + pseudo * (1 - share) * hit) / ((1 - p) @ cast + pseudo * (1 - share))
+    return good, a, h
+
+
+def test_quality_rules_estimate_as_plain_expectation_maximisation_does(spark):
+    from trendloom.llm import quality_rules as q
+    from trendloom.llm.common import stash
+
+    rng = np.random.default_rng(5)
+    bad = rng.random(3000) < 0.12
+    x = np.stack([np.where(rng.random(3000) < np.where(bad, 0.6, 0.01), -1, 1) for _ in range(4)] + [np.where(rng.random(3000) < 0.2, -1, 1)], 1)
+    x[rng.random(x.shape) < 0.1] = 0
+    votes = [f"v{i}" for i in range(5)]
+    patterns = stash(spark.createDataFrame(x.tolist(), ", ".join(f"{v} int" for v in votes)).groupBy(*votes).count(), "votes")
+    got = q.estimate(patterns, votes, rounds=12)
+    good, a, h = plain_expectation_maximisation(x, 12, q.START, q.PSEUDO)
+    assert abs(got.good - good) < 1e-9 and np.allclose(got.alarm, a) and np.allclose(got.hit, h)
+    assert abs(good - 0.88) < 0.03 and abs(a[4] - 0.2) < 0.03 and h[0] > 0.5
+
+
+def test_a_rule_that_often_errs_is_overruled(spark):
+    from trendloom.llm import quality_rules as q
+    from trendloom.llm.common import stash
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(k), bool(b)) for i, (k, b) in enumerate(zip(rng.random(4000) < 0.15, rng.random(4000) < 0.1))]
+    table = spark.createDataFrame(rows, "doc_id long, noise double, junk boolean").withColumns({"n_words": F.lit(100), "n_repeat_words": F.lit(0)})
+    seen = [q.Rule(f"sees{i}", F.col("junk") & (F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(10)) < 7), ~F.col("junk")) for i in range(3)]
+    errs = q.Rule("errs", F.col("noise") > 0, F.col("noise") == 0)
+    out = q.judge(stash(table, "features"), [*seen, errs]).collect()
+    alone = [r.kept for r in out if r.vote_errs == -1 and not r.junk]
+    assert len(alone) > 400 and all(alone)  # kept against a vote
+    assert not any(r.kept for r in out if r.junk and min(r.vote_sees0, r.vote_sees1, r.vote_sees2) == -1)
+
+
 def test_quality_rules_odd_rows(odd, empty):
     from trendloom.llm import quality_rules as q
     from trendloom.llm.common import stash

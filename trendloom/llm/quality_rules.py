@@ -1,16 +1,18 @@
 """Operator 9: quality rules as weak supervision, with DataFrame functions only.
 
-Every rule votes good (1), bad (-1) or abstains (0). Rules are taken as independent given the true quality, each with
-accuracies of its own: how often it votes against bad documents and against good ones, and how much likelier it votes
-for good ones. Expectation-maximisation estimates them and the share of good documents, within ranges that say what a
-rule is: it may miss most junk (rules know one kind each) but seldom condemns a good document, and abstaining says
-nothing. It runs
-over counts of vote patterns (at most 3 to the number of rules, whatever the corpus holds), each round one small
-aggregation of which the driver reads one row of sums. A document is kept if its posterior probability of being good
-is at least 0.5, unless a base rule failed.
-
-Defined cases: null text has no words; an empty table gives no rows; rows that repeat a doc_id are judged each for
-itself; extra columns are ignored. Documents without any vote get the prior.
+Every rule votes good (1), bad (-1) or abstains (0). Given the true quality, rules are taken as independent; each has
+two accuracies, how often it votes against among the bad and among the good documents that it votes on, and abstaining
+says nothing. Expectation-maximisation estimates them and the share of good documents from the votes alone. Nothing
+bounds the estimates: a rule that fires on many documents which all other rules praise loses its weight, and a document
+is then kept against its vote; a kind of junk is recognised because several rules see it. `START` only says which class
+is the good one, and `PSEUDO` documents that vote as the start says keep estimates of small corpora away from 0 and 1.
+It runs over counts of vote patterns (at most 3 to the number of rules, whatever the corpus holds), each round one
+small aggregation of which the driver reads one row of sums. A document is kept if its posterior probability of being
+good is at least 0.5, unless a base rule failed.
+
+Defined cases: null and empty texts have no words and all counts 0; an empty table gives no rows; rows that repeat a
+doc_id are judged each for itself; very long texts are read whole, in one row; extra columns are ignored. Documents
+without any vote get the share of good documents.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from trendloom.llm.common import stash, words
 
 WINDOW = 5
 SPACE_CHAR = r"[\x20\x09-\x0D]"
-ROUNDS, PRIOR = 15, 0.85
-#: Of votes against: their shares on good and on bad documents; of votes for: their odds. Start, least, most.
-ALARM, HIT, PRAISE = (0.002, 0.0005, 0.005), (0.3, 0.2, 0.9), (1.1, 1.0, 1.2)
+ROUNDS, SETTLED = 40, 1e-4
+#: Before the first round: share of good documents, and of votes against among good and among bad ones.
+START = (0.85, 0.01, 0.4)
+PSEUDO = 50.0
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -42,6 +45,8 @@ def features(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.regexp_count("text", F.lit(SPACE_CHAR))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count("text", F.lit(r"[^\p{L}\x20\x09-\x0D]")).cast("long").alias("n_marks"),
+        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).cast("long").alias("n_mark_words"),
         F.regexp_count("text", F.lit(r"[.!?…][\x20\x09-\x0D]*(\n|$)")).cast("long").alias("n_ended"),
         F.filter(F.split("text", "\n"), has_word).alias("lines"),
     )
@@ -51,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
     same = lambda x, i, step: F.coalesce(F.get("sorted", i + step)["h"] == x["h"], F.lit(False))
     found = placed.withColumn("places", F.sort_array(F.transform(F.filter("sorted", lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["p"])))
     covered = F.aggregate(F.transform("places", lambda p, i: F.coalesce(F.least(F.lit(WINDOW), p - F.get("places", i - 1)), F.lit(WINDOW))), F.lit(0).cast("long"), lambda a, n: a + n)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", F.size("lines").cast("long").alias("n_lines"), "n_ended")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_marks", "n_mark_words", F.size("lines").cast("long").alias("n_lines"), "n_ended")
 
 
 @dataclass(frozen=True)
@@ -67,7 +72,7 @@ class Rule:
 def rules() -> list[Rule]:
     n, lines, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "word_chars"))
     repeated, symbols, twice, upper = F.col("n_repeat_words") / n, F.col("n_symbols") / n, F.col("n_dup_lines") / lines, F.col("n_upper") / chars
-    mean = F.col("word_chars") / n
+    mean, marks, bare = F.col("word_chars") / n, F.col("n_marks") / chars, F.col("n_mark_words") / n
     return [
         Rule("length", F.col("n_words") < 10, F.col("n_words") >= 50),
         Rule("repeated_windows", repeated > 0.2, (repeated < 0.05) & (F.col("n_words") >= 20)),
@@ -75,19 +80,52 @@ def rules() -> list[Rule]:
         Rule("repeated_lines", twice > 0.3, (twice < 0.05) & (F.col("n_lines") > 1)),
         Rule("word_length", (mean < 2) | (mean > 15), mean.between(3, 11)),
         Rule("capitals", upper > 0.5, upper < 0.2),
+        Rule("letters", marks > 0.13, marks <= 0.07),
+        Rule("words_without_letters", bare > 0.1, bare < 0.03),
         Rule("line_ends", (F.col("n_ended") / lines < 0.1) & (F.col("n_words") >= 50), F.col("n_ended") / lines > 0.5),
     ]
 
 
-def _posterior(votes: list[str], accuracies: list[tuple[float, float, float]], prior: float) -> Column:
-    log_odds = F.lit(math.log(prior / (1 - prior)))
-    for v, (alarm, hit, praise) in zip(votes, accuracies):
-        log_odds = log_odds + F.when(F.col(v) == 1, math.log(praise)).when(F.col(v) == -1, math.log(alarm / hit)).otherwise(0.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
+@dataclass(frozen=True)
+class Accuracies:
+    """The share of good documents, and each rule's share of votes against among good and among bad ones."""
+
+    good: float
+    alarm: tuple[float, ...]
+    hit: tuple[float, ...]
 
+    def posterior(self, votes: list[str]) -> Column:
+        odds = F.lit(math.log(self.good / (1 - self.good)))
+        for v, a, h in zip(votes, self.alarm, self.hit):
+            odds = odds + F.when(F.col(v) == -1, math.log(a / h)).when(F.col(v) == 1, math.log((1 - a) / (1 - h))).otherwise(0.0)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
-def _within(value: float, bounds: tuple[float, float, float]) -> float:
-    return min(bounds[2], max(bounds[1], value))
+    def moved(self, other: Accuracies) -> float:
+        return max(abs(a - b) for a, b in zip((self.good, *self.alarm, *self.hit), (other.good, *other.alarm, *other.hit)))
+
+
+def estimate(patterns: DataFrame, votes: list[str], rounds: int = ROUNDS, start: tuple[float, float, float] = START, pseudo: float = PSEUDO) -> Accuracies:
+    """Expectation-maximisation over a written table of vote patterns and their `count`."""
+    share, alarm, hit = start
+    now = Accuracies(share, (alarm,) * len(votes), (hit,) * len(votes))
+    n, p = F.col("count"), F.col("p")
+    sums = [F.sum(n).alias("n"), F.sum(n * p).alias("good")]
+    for i, v in enumerate(votes):
+        for kind, weight in (("good", p), ("bad", 1 - p)):
+            sums += [F.sum(n * weight * test.cast("int")).alias(f"{kind}{i}{name}") for name, test in (("against", F.col(v) == -1), ("votes", F.col(v) != 0))]
+    for _ in range(rounds):
+        row = patterns.withColumn("p", now.posterior(votes)).agg(*sums).first()
+        if not row["n"]:
+            break
+        rate = lambda kind, i, weight, first: (row[f"{kind}{i}against"] + weight * first) / (row[f"{kind}{i}votes"] + weight)
+        before, now = now, Accuracies(
+            (row["good"] + pseudo * share) / (row["n"] + pseudo),
+            tuple(rate("good", i, pseudo * share, alarm) for i in range(len(votes))),
+            tuple(rate("bad", i, pseudo * (1 - share), hit) for i in range(len(votes))),
+        )
+        if now.moved(before) < SETTLED:
+            break
+    return now
 
 
 def judge(table: DataFrame, chosen: list[Rule] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -96,19 +134,7 @@ def judge(table: DataFrame, chosen: list[Rule] | None = None, rounds: int = ROUN
     votes = [f"vote_{r.name}" for r in chosen]
     voted = table.select("*", *(r.vote().alias(v) for r, v in zip(chosen, votes)))
     patterns = stash(voted.groupBy(*votes).count().coalesce(1), "votes")
-    accuracies, prior = [(ALARM[0], HIT[0], PRAISE[0])] * len(votes), PRIOR
-    n, p = F.col("count"), F.col("p")
-    for _ in range(rounds):
-        sums = [F.sum(n).alias("n"), F.sum(n * p).alias("good")]
-        sums += [F.sum(n * weight * (F.col(v) == x).cast("int")).alias(f"{kind}{i}{x}") for i, v in enumerate(votes) for kind, weight in (("good", p), ("bad", 1 - p)) for x in (-1, 1)]
-        row = patterns.withColumn("p", _posterior(votes, accuracies, prior)).agg(*sums).first()
-        if not row["n"]:
-            break
-        good, bad = row["good"] + 1.0, row["n"] - row["good"] + 1.0
-        share = lambda kind, i, x, of: row[f"{kind}{i}{x}"] / of
-        accuracies = [(_within(share("good", i, -1, good), ALARM), _within(share("bad", i, -1, bad), HIT), _within(share("good", i, 1, good) / max(1e-9, share("bad", i, 1, bad)), PRAISE)) for i in range(len(votes))]
-        prior = _within(good / (good + bad), (PRIOR, 0.5, 0.99))
-    quality = _posterior(votes, accuracies, prior)
+    quality = estimate(patterns, votes, rounds).posterior(votes)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return voted.select("*", failed.alias("base_failed"), quality.alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
