@@ -452,6 +452,7 @@ def test_mixing_equals_sql(spark, sf_dir):
 
 def test_mixing_targets_and_odd_rows(spark, odd, empty):
     from trendloom.llm import mixing
+    from trendloom.llm.common import stash
 
     sizes = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate([("a", 100), ("b", 1000), ("c", 10), (None, 50)])], "doc_id long, source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -468,16 +469,48 @@ def test_mixing_targets_and_odd_rows(spark, odd, empty):
         if not over:
             break
     assert got == pytest.approx(want)
-    rows = mixing.mix_sizes(mixing.sizes_of(odd)).collect()
+    stashed = stash(mixing.sizes_of(odd), "sizes")
+    rows = mixing.mix_sizes(stashed).collect()
     assert len(rows) == len(ODD) and all(0 <= r.taken <= 2 * r["size"] for r in rows)
     by = defaultdict(lambda: [0, 0.0])
     for r in rows:
         by[r.source][0] += r.taken
         by[r.source][1] = r.target
-    assert all(abs(t - goal) < 1 for t, goal in by.values())
-    assert mixing.mix_sizes(mixing.sizes_of(empty)).count() == 0
-    whole = mixing.mix_sizes(mixing.sizes_of(odd), whole=True).collect()
-    assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in whole)
+    assert all(abs(t - goal) < 3 * mixing.PACKET for t, goal in by.values())
+    assert sum(t for t, _ in by.values()) == int(sum(goal for _, goal in by.values()) + 1e-6)
+    assert mixing.mix_sizes(stash(mixing.sizes_of(empty), "sizes")).count() == 0
+    whole = mixing.mix_sizes(stashed, packet=None).collect()
+    assert all(r.taken == len(r.finish) * r["size"] for r in whole)
+
+
+@pytest.mark.parametrize("packet", [None, 7])
+def test_mixing_equals_a_plain_queue(spark, packet):
+    """Every packet in one list, sorted by finish time and cut at the budget."""
+    from trendloom.llm import mixing
+    from trendloom.llm.common import stash
+
+    rng = np.random.default_rng(2)
+    docs = [(int(i) if i % 11 else None, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 5 else None, int(n)) for i, n in enumerate(rng.integers(0, 60, 400))]
+    frame = spark.createDataFrame([(i, s, " ".join(f"w{i}x{k}" for k in range(n))) for i, s, n in docs], "doc_id long, source string, text string")
+    sizes = stash(mixing.sizes_of(frame), "sizes")
+    got = {r.row: r for r in mixing.mix_sizes(sizes, packet=packet).collect()}
+    line = []
+    for source in {r.source for r in got.values()}:
+        own = [r for r in got.values() if r.source == source]
+        clock = 0
+        for p in range(2):
+            for r in sorted(own, key=lambda r: (hashlib.md5(f"mix{p}:{'null' if r.doc_id is None else r.doc_id}:{r.hash}".encode()).hexdigest(), r["size"])):
+                for words in [min(packet or 10**9, r["size"] - k) for k in range(0, r["size"], packet or 10**9)]:
+                    clock += words
+                    line.append((clock / r.target, source is None, source or "", p, words, r.row))
+    budget = int(sum({r.source: r.target for r in got.values()}.values()) + 1e-6)
+    taken = Counter()
+    for _, _, _, _, words, row in sorted(line):
+        room = max(0, budget - sum(taken.values()))
+        taken[row] += min(words, room) if packet else words * (room > 0 and 2 * room >= words)
+        if words > room:
+            break
+    assert {k: r.taken for k, r in got.items()} == {k: taken[k] for k in got}
 
 
 # 9

@@ -11,8 +11,8 @@ fingerprints differ in 24 bits at most, so it has a proven bound whatever the da
 its links, never all pairs: connected components need no more, and no link between different texts is lost. Lists up
 to `SMALL` compare all members in memory; longer ones probe the 2,324 patterns of up to 3 of the 24 bits.
 
-Defined cases: null and blank texts have fingerprint zero and link like any other; rows that share a doc_id are one
-document; rows with a null doc_id have a fingerprint, link nothing and get a null component; an empty table gives no
+Defined cases: null and blank texts have fingerprint zero and link like any other; very long texts are hashed whole,
+`BLOCK` shingles at a time; rows that share a doc_id are one document; rows with a null doc_id have a fingerprint, link nothing and get a null component; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -143,15 +143,29 @@ def _links_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield solve(columns(held))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    n = shuffle_partitions(docs.sparkSession)
-    marked = stash(fingerprints(docs, width), "fingerprints")
-    # A class of equal fingerprints is one node, named by its smallest doc_id.
+def index_links(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written table of fingerprints -> its classes (fp, rep: the smallest doc_id of those with one fingerprint) and
+    the links (u, v) between classes that the index finds."""
+    n = shuffle_partitions(marked.sparkSession)
     nodes = marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     lists = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in map(_mask, SETS)])
     postings = nodes.select("fp", "rep", F.posexplode(lists).alias("k", "bytes")).select(F.col("k").cast("int").alias("k"), "bytes", "fp", "rep")
-    links = postings.repartition(n, "k", "bytes").sortWithinPartitions("k", "bytes", "fp").mapInArrow(_links_in_lists, "u long, v long")
+    return nodes, postings.repartition(n, "k", "bytes").sortWithinPartitions("k", "bytes", "fp").mapInArrow(_links_in_lists, "u long, v long")
+
+
+def candidate_pairs(docs: DataFrame, width: int) -> DataFrame:
+    """docs(doc_id, text) -> pairs (u, v) of documents that the index joins: links of classes, and each document of a
+    class with the first one. For callers that have a test of their own."""
+    marked = stash(fingerprints(docs, width), "fingerprints")
+    nodes, links = index_links(marked)
+    same = marked.join(nodes, "fp").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    return stash(links.unionByName(same).distinct(), "candidates")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    marked = stash(fingerprints(docs, width), "fingerprints")
+    nodes, links = index_links(marked)
     # Rows that repeat a doc_id are one document: their fingerprints' classes are joined.
     ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b")
     several = marked.join(ids.select("doc_id"), "doc_id").distinct().join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

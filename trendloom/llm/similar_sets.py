@@ -1,12 +1,16 @@
-"""Near-duplicates by exact similarity of word shingles: an all-pairs set join with prefix filtering.
+"""The exact test behind operator 4 in the pipeline, where near-duplicates are texts of similarity 0.8.
+
+Three bits of a SimHash reach little beyond exact copies, and no bound that reaches 0.8 leaves a byte in common. So the
+pairs that operator 4's index finds are verified here by the similarity of their word shingles, and what the index
+cannot see is found by a set join with prefix filtering.
 
 A text is the set of its five-word shingles (lower case A-Z, words between ASCII white space, 64-bit hashes). Two texts
 link if their sets' Jaccard similarity is at least 0.8. With any common order of shingles, sets that link share one of
 the first n - ceil(0.8 n) + 1 of each; only these are posted. The order puts shingles that are frequent in a bounded
 sample last, so lists of shared passages stay out of the prefixes of other texts; it decides the cost, never the result.
 
-A list of n postings has n^2 pairs, nearly all of them inside groups of copies. So lists first link neighbours by size;
-what that verifies becomes components, and only pairs of different components are made from the lists then. Pairs pass
+A list of n postings has n^2 pairs, nearly all of them inside groups of copies. So the pairs of the index and those of
+neighbours by size in a list come first; what that verifies becomes components, and only pairs of different components are made from the lists then. Pairs pass
 bounds on size and position that no linked pair fails, and are verified on the texts themselves.
 
 Defined cases: texts of fewer words are one shingle; null and blank texts have no shingle and equal each other; rows
@@ -130,8 +134,9 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id reachable over links; null for a null doc_id)."""
+def similar_groups(docs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id reachable over links; null for a null doc_id).
+    candidates: pairs (u, v) of doc_ids to try first."""
     parts = shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.count()
@@ -153,7 +158,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     listed = stash(posted.withColumns({f"last_{c}": x for c, x in before.items()} | {"next": after}).filter("last_rep is not null or next is not null").drop("next"), "lists")
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     fits = _may_link(F.col("n"), F.col("pos"), F.col("last_n"), F.col("last_pos")) & (F.col("rep") != F.col("last_rep"))
-    tried = stash(listed.filter(fits).select(*pair("rep", "last_rep")).distinct(), "pairs")
+    near = listed.filter(fits).select(*pair("rep", "last_rep"))
+    if candidates is not None:
+        first = named.join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select("doc_id", "rep")
+        a, b = (first.select(F.col("doc_id").alias(end), F.col("rep").alias(f"{end}_rep")) for end in ("u", "v"))
+        near = near.unionByName(candidates.join(a, "u").join(b, "v").filter("u_rep <> v_rep").select(*pair("u_rep", "v_rep")))
+    tried = stash(near.distinct(), "pairs")
     # Rows that repeat a doc_id with different sets join their classes.
     ids = named.groupBy("doc_id").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x <> y").select("doc_id")
     several = named.join(ids, "doc_id").join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
