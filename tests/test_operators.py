@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trendloom.operators import identity, market, merge, snapshots, trend
+from trendloom.operators import identity, market, merge, radar, registry, schedule, snapshots, trend
 from trendloom.sources import extract, files
 
 NOW = datetime(2026, 8, 18, 12)
@@ -84,10 +84,61 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in identity.components(nodes, edges, "node").collect()} == {0}
 
 
-def test_large_blocks_link_as_stars(spark):
+def test_links_of_blocks(spark):
     items = spark.range(10).select(F.col("id").alias("item"), F.lit("x").alias("block"))
-    assert identity.pairs_within(items, ["block"], "item", most=5).count() == 9
-    assert identity.pairs_within(items, ["block"], "item", most=50).count() == 45
+    assert identity.star_links(items, ["block"], "item").count() == 9
+    apart = F.abs(F.col("a.item") - F.col("b.item")) == 3
+    many = spark.range(1000).select(F.col("id").alias("item"), F.lit("x").alias("block"))
+    assert identity.pairs_within(items, ["block"], "item", apart).count() == 7
+    assert identity.pairs_within(many, ["block"], "item", apart).count() == 997  # a large block asks the predicate too
+
+
+def test_rows_are_numbered_like_one_sorted_list(spark):
+    t = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("b"))
+    got = [r.id for r in schedule.numbered(t, {"a": F.col("a")}, [F.col("b"), F.col("id")]).orderBy("place").collect()]
+    assert got == [r.id for r in t.orderBy("a", "b", "id").collect()]
+
+
+def test_conflict_free_choice_goes_on_beyond_a_block(spark):
+    rows = [(i, [0, 1000 + i]) for i in range(50)] + [(50 + i, [1 + i % 3]) for i in range(9)] + [(99, [])]
+    tasks = spark.createDataFrame(rows, "key long, locks array<long>")
+    got = sorted(r.key for r in schedule.without_conflicts(tasks, ["key"], "key", "locks", 5, block=4).collect())
+    assert got == [0, 50, 51, 52, 99]
+    assert [r.key for r in schedule.without_conflicts(tasks, ["key"], "key", "locks", 1).collect()] == [0]
+
+
+def test_last_place_goes_to_a_fresh_candidate(spark):
+    queue = spark.createDataFrame([(i, i, i == 7) for i in range(10)], "key long, rank long, fresh boolean")
+    got = {r.key for r in schedule.select_candidates(queue, [F.col("rank")], 3, F.col("fresh")).collect()}
+    assert got == {0, 1, 7}
+    early = {r.key for r in schedule.select_candidates(queue, [F.col("rank")], 3, F.col("key") < 2).collect()}
+    assert early == {0, 1, 2}
+
+
+def test_path_locks_bar_what_lies_below(spark):
+    tasks = spark.createDataFrame([(1, ["src/a/x"]), (2, ["src/ab"]), (3, ["src"]), (4, ["src/a"])], "key long, locks array<string>")
+    running = spark.createDataFrame([(["src/a"],)], "locks array<string>")
+    assert sorted(r.key for r in registry.conflicts_of(tasks, running, "key", "locks").collect()) == [1, 4]
+    assert [(r.lock, r.tasks) for r in registry.lock_holders(tasks.union(tasks.limit(0)), "key", "locks").collect()] == []
+
+
+def test_radar_choice(spark):
+    rows = [("CATEGORY:A|COLOR:X", 90.0), ("CATEGORY:A|COLOR:X|TOE:P", 80.0), ("CATEGORY:A|COLOR:Y", 70.0), ("CATEGORY:B|COLOR:X", 60.0), ("CATEGORY:B|COLOR:Z", 50.0)]
+    own = {rows[0][0]: range(0, 10), rows[1][0]: range(0, 8), rows[2][0]: range(5, 40), rows[3][0]: range(5, 39), rows[4][0]: range(100, 110)}
+    scored = spark.createDataFrame(rows, "key string, score double").withColumns({"label": F.col("key"), "attributes": radar.meaningful(F.split("key", r"\|")), "brands": F.lit(3), "families": F.lit(3), "coverage": F.lit(0.1)})
+    members = spark.createDataFrame([(k, m) for k, ms in own.items() for m in ms], "key string, member long")
+    want = ["CATEGORY:A|COLOR:Y", "CATEGORY:B|COLOR:Z"]
+    for block in (1, 2, 64):
+        got = [r.key for r in radar.select_distinct(scored, members, block=block).orderBy("place").collect()]
+        # The second has 0.8 of the first's members: too much in common; the fourth has nearly all of the third's.
+        assert got == [rows[0][0], *want]
+    special = radar.choose([{"key": "w", "label": "w", "attributes": ["a", "b"], "size": 10, "brands": 3, "families": 3}, {"key": "p", "label": "p", "attributes": ["a", "b", "c"], "size": 6, "brands": 3, "families": 3}], {("p", "w"): 6}, [], 12)
+    assert [c["key"] for c in special] == ["p"]  # the more special one replaces its whole
+
+
+def test_implied_attributes_say_nothing(spark):
+    a = spark.createDataFrame([(["CATEGORY:MULE", "CONSTRUCTION:BACKLESS", "COLOR:RED"],), (["CONSTRUCTION:BACKLESS", "COLOR:RED"],)], "a array<string>")
+    assert [r.m for r in a.select(radar.meaningful(F.col("a")).alias("m")).collect()] == [["CATEGORY:MULE", "COLOR:RED"], ["CONSTRUCTION:BACKLESS", "COLOR:RED"]]
 
 
 def test_resolution(spark):
@@ -115,6 +166,8 @@ def test_publish_is_compare_and_set(spark, tmp_path):
     assert not files.publish(spark.range(9), path, "s2", "other")
     assert files.read_published(spark, path).count() == 3
     assert files.publish(spark.range(4), path, "s2", "s1") and files.current_snapshot(spark, path) == "s2"
+    assert not files._claim(spark, path, 2, "s3")  # another writer has been there
+    assert files.current_snapshot(spark, path) == "s2"
 
 
 def test_missing_file_is_an_empty_table(spark, tmp_path):

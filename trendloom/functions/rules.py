@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trendloom.functions.expr import col, color_from_name, combine_text, has_word
+from trendloom.functions.expr import col, color_from_name, combine_text
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -95,26 +96,44 @@ CONSTRUCTIONS: Rules = (
 CONSTRUCTION_OF_CATEGORY = {"SLINGBACK": "SLINGBACK", "MULE": "BACKLESS", "THONG": "OPEN_TOE"}
 
 
-def _any(text: Column, keywords: Sequence[str], by_word: bool) -> Column:
-    tests = [has_word(text, k) if by_word else text.contains(k) for k in keywords]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
+def bound(text: Column, body: Callable[[Column], Column]) -> Column:
+    """body(text) with the text computed once, however often body reads it."""
+    return F.get(F.transform(F.array(text), body), F.lit(0))
+
+
+def _any(text: Column, keywords: Sequence[str]) -> Column:
+    out = text.contains(keywords[0])
+    for k in keywords[1:]:
+        out = out | text.contains(k)
     return out
 
 
-def first_match(text: str | Column, rules: Rules, by_word: bool = False) -> Column:
+def first_match(text: str | Column, rules: Rules) -> Column:
     """The tag of the first rule with a keyword in the text; null if there is none."""
-    out = None
-    for tag, keywords in rules:
-        hit = _any(col(text), keywords, by_word)
-        out = F.when(hit, tag) if out is None else out.when(hit, tag)
-    return out
+
+    def chain(t: Column) -> Column:
+        out = None
+        for tag, keywords in rules:
+            out = F.when(_any(t, keywords), tag) if out is None else out.when(_any(t, keywords), tag)
+        return out
+
+    return bound(col(text), chain)
+
+
+def first_word_match(text: str | Column, rules: Rules) -> Column:
+    """The tag of the first rule with a keyword that stands between white space, slashes, commas, dashes or the ends;
+    case does not matter. One pass of one pattern finds all keywords, a map gives each the place of its rule."""
+    place = {k.lower(): i for i, (_, keywords) in reversed(list(enumerate(rules))) for k in keywords}
+    words = "|".join(re.escape(k) for k in sorted(place, key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?<=^|[\s/,-])(?=({words})(?:$|[\s/,-]))"), F.lit(1))
+    places = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    least = F.array_min(F.transform(found, lambda k: F.element_at(places, k)))
+    return F.get(F.array(*[F.lit(tag) for tag, _ in rules]), least)
 
 
 def all_matches(text: str | Column, rules: Rules) -> Column:
     """The tags of all rules with a keyword in the text, in rule order."""
-    return F.array_compact(F.array(*[F.when(_any(col(text), keywords, False), F.lit(tag)) for tag, keywords in rules]))
+    return bound(col(text), lambda t: F.array_compact(F.array(*[F.when(_any(t, keywords), F.lit(tag)) for tag, keywords in rules])))
 
 
 def color_family(color: str | Column, name: str | Column) -> Column:
@@ -122,9 +141,9 @@ def color_family(color: str | Column, name: str | Column) -> Column:
 
     def of(text: Column) -> Column:
         parts = F.filter(F.transform(F.split(text, "/"), F.trim), lambda p: p != "")
-        families = F.array_distinct(F.array_compact(F.transform(parts, lambda p: first_match(p, COLOR_FAMILIES, by_word=True))))
-        split = F.when(F.size(parts) >= 2, F.when(F.size(families) >= 2, F.lit("MULTICOLOR")).when(F.size(families) == 1, F.get(families, F.lit(0))))
-        return F.coalesce(split, first_match(text, COLOR_FAMILIES, by_word=True))
+        families = F.array_distinct(F.array_compact(F.transform(parts, lambda p: first_word_match(p, COLOR_FAMILIES))))
+        split = F.when(text.contains("/") & (F.size(parts) >= 2), F.when(F.size(families) >= 2, F.lit("MULTICOLOR")).when(F.size(families) == 1, F.get(families, F.lit(0))))
+        return F.coalesce(split, first_word_match(text, COLOR_FAMILIES))
 
     return F.coalesce(of(col(color)), of(color_from_name(name)), of(col(name)), F.lit("UNKNOWN"))
 

@@ -52,13 +52,18 @@ def search(table: DataFrame, query: str, *columns: str) -> DataFrame:
     return table.filter(hit)
 
 
+def marked(state: DataFrame, mark: str) -> DataFrame:
+    """Rows of the state whose mark is set: neither null nor empty."""
+    return state.filter(F.col(mark).isNotNull() & (F.col(mark).cast("string") != ""))
+
+
 def without_state(items: DataFrame, state: DataFrame, key: str, mark: str) -> DataFrame:
     """Items whose state has no mark yet."""
-    return items.join(state.filter(F.col(mark).isNotNull()).select(key).distinct(), key, "left_anti")
+    return items.join(marked(state, mark).select(key).distinct(), key, "left_anti")
 
 
 def with_state(items: DataFrame, state: DataFrame, key: str, mark: str) -> DataFrame:
-    return items.join(state.filter(F.col(mark).isNotNull()).select(key).distinct(), key, "left_semi")
+    return items.join(marked(state, mark).select(key).distinct(), key, "left_semi")
 
 
 def facet_counts(items: DataFrame, fields: Mapping[str, Column], active: Mapping[str, object]) -> DataFrame:

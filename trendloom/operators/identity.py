@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trendloom import stars
 
@@ -33,27 +32,29 @@ def families(keyed: DataFrame, brand: str, item: str) -> DataFrame:
     return keyed.groupBy(brand, "family_key").agg(F.min(item).alias("representative"), F.count("*").alias("variants"), F.first("confidence").alias("confidence"))
 
 
-def pairs_within(items: DataFrame, block: list[str], item: str, match: Column | None = None, most: int = 200) -> DataFrame:
-    """Pairs of one block that satisfy `match` over columns of a and b. Blocks above `most` link to their smallest item
-    only, which keeps them connected without all their pairs; use it for relations that are transitive in a block."""
-    sized = items.withColumn("block_size", F.count("*").over(Window.partitionBy(*block))).withColumn("block_min", F.min(item).over(Window.partitionBy(*block)))
-    small = sized.filter(F.col("block_size").between(2, most))
-    a, b = small.alias("a"), small.alias("b")
+def pairs_within(items: DataFrame, block: list[str], item: str, match: Column) -> DataFrame:
+    """Pairs of one block that satisfy `match`, a condition on columns of a and b; only these leave the join. Where `match`
+    needs more equalities, name them in `block`: they make it small. Hot blocks are split by the adaptive skew join."""
+    a, b = items.alias("a"), items.alias("b")
     same = F.col(f"a.{item}") < F.col(f"b.{item}")
     for c in block:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    pairs = a.join(b, same if match is None else same & match).select(F.col(f"a.{item}").alias("u"), F.col(f"b.{item}").alias("v"))
-    star = sized.filter((F.col("block_size") > most) & (F.col(item) != F.col("block_min"))).select(F.col("block_min").alias("u"), F.col(item).alias("v"))
-    return pairs.unionByName(star)
+    return a.join(b, same & match).select(F.col(f"a.{item}").alias("u"), F.col(f"b.{item}").alias("v")).distinct()
+
+
+def star_links(items: DataFrame, block: list[str], item: str) -> DataFrame:
+    """Links that join all items of a block, where being in one block is the relation itself: each to the smallest."""
+    first = items.groupBy(*block).agg(F.min(item).alias("u"))
+    return items.join(first, block).filter(F.col(item) != F.col("u")).select("u", F.col(item).alias("v")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 60) -> DataFrame:
     """The smallest node that each node reaches, by alternating stars; raises if they do not settle. Rounds are cut from
-    their lineage by a reliable checkpoint where the session has a folder for it."""
-    durable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    their lineage by a checkpoint in spark.checkpoint.dir; a session on one machine without it gets a folder of its own."""
+    stars.durable(nodes.sparkSession)
     labels = nodes.select(F.col(node).alias("n"))
     known = edges.select("u", "v").join(labels.select(F.col("n").alias("u")), "u", "left_semi").join(labels.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
-    found = stars.connected_components(known, lambda e: e.checkpoint() if durable else e.persist(), rounds).select(F.col("node").alias("n"), "component")
+    found = stars.connected_components(known, lambda e: e.checkpoint(), rounds).select(F.col("node").alias("n"), "component")
     return labels.join(found, "n", "left").select(F.col("n").alias(node), F.coalesce("component", "n").alias("component"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trendloom import stars
 from trendloom.functions.expr import clamp, half_up
 
 
@@ -80,27 +79,88 @@ def distinctiveness(bucket: DataFrame, attribute_share: DataFrame, total_brands:
     return bucket.join(penalty, "combo").withColumn("score", clamp(half_up(raw))).withColumn("strength", strength(brands, families, coverage)).filter(F.col("score") >= least)
 
 
-def select_distinct(candidates: DataFrame, members: str, most: int = 12, overlap: float = 0.7, pool: int = 200) -> DataFrame:
-    """Greedy choice in score order: a candidate that shares too many members with one already chosen is passed over.
-
-    The order is the meaning, so the choice is sequential, over a bounded pool of the best candidates in one group.
+#: What a category already says, so that the attribute adds nothing beside it.
+IMPLIED = {
+    "THONG": ("OPEN_TOE", "THONG", "THONG_DETAIL"),
+    "MULE": ("BACKLESS",),
+    "SLINGBACK": ("SLINGBACK", "ANKLE_STRAP"),
+    "WEDGE": ("WEDGE",),
+    "BALLERINA": ("CLOSED_TOE",),
+}
+#: Fixed values of the selection: members shared by two equals, and by a part and its whole; how many are chosen.
+SAME, PART, MOST = 0.7, 0.6, 12
+
+
+def meaningful(attributes: Column) -> Column:
+    """The attributes (DIM:value) without those that the category implies."""
+    category = F.get(F.filter(attributes, lambda a: a.startswith("CATEGORY:")), F.lit(0))
+    implied = F.create_map(*[x for c, values in IMPLIED.items() for x in (F.lit(f"CATEGORY:{c}"), F.array(*map(F.lit, values)))])
+    said = F.coalesce(F.element_at(implied, category), F.array().cast("array<string>"))
+    return F.filter(attributes, lambda a: a.startswith("CATEGORY:") | ~F.array_contains(said, F.substring_index(a, ":", -1)))
+
+
+def choose(ordered: list[dict], shared: dict[tuple[str, str], int], chosen: list[dict], most: int) -> list[dict]:
+    """Go through candidates in order: one with a label or most members of a chosen one is passed over; a more special
+    one takes the place of its chosen whole if it adds something, and is passed over if not; a whole whose chosen part
+    covers it is passed over too. `shared` has the common members of pairs of keys."""
+
+    def common(a: dict, b: dict) -> int:
+        return shared.get((a["key"], b["key"]), shared.get((b["key"], a["key"]), 0))
+
+    def part_of(a: dict, b: dict) -> bool:
+        return len(b["attributes"]) < len(a["attributes"]) and set(b["attributes"]) <= set(a["attributes"])
+
+    def adds(part: dict, whole: dict) -> bool:
+        gains = part["size"] <= 0.85 * max(whole["size"], 1), part["brands"] > whole["brands"], part["families"] >= whole["families"] + 2, len(part["attributes"]) > len(whole["attributes"])
+        return part["brands"] >= 2 and any(gains)
+
+    chosen = list(chosen)
+    for c in ordered:
+        if len(chosen) >= most:
+            break
+        either = lambda x, c=c: c["size"] + x["size"] - common(c, x)
+        if any(x["label"] == c["label"] or (either(x) and common(c, x) >= SAME * either(x)) for x in chosen):
+            continue
+        whole = next((x for x in chosen if part_of(c, x) and x["size"] and common(c, x) >= PART * x["size"]), None)
+        if whole and not adds(c, whole):
+            continue
+        if whole:
+            chosen.remove(whole)
+        if any(part_of(x, c) and c["size"] and common(c, x) >= PART * c["size"] and adds(x, c) for x in chosen):
+            continue
+        chosen.append(c)
+    return chosen
+
+
+def select_distinct(candidates: DataFrame, members: DataFrame, most: int = MOST, block: int = 64) -> DataFrame:
+    """The greedy choice among scored candidates (key, label, attributes, score, brands, families, coverage), with the
+    members (key, member) they stand on.
+
+    The order is the meaning, so candidates are taken block by block from the best on, until enough are chosen or none
+    is left: Spark counts the members that a block and the chosen ones have in common, the driver holds the numbers of
+    one block. Candidates beyond a block are never lost.
     """
-    ranked = candidates.orderBy(F.desc("score"), "combo").limit(pool)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[set] = []
-        rows = []
-        for i, row in pdf.sort_values(["score", "combo"], ascending=[False, True]).iterrows():
-            own = set(np.asarray(row[members]).tolist())
-            if all(len(own & c) / max(1, len(own | c)) < overlap for c in chosen):
-                chosen.append(own)
-                rows.append(i)
-            if len(rows) == most:
-                break
-        return pdf.loc[rows].drop(columns=[members]).assign(place=range(1, len(rows) + 1))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields if f.name != members)
-    return ranked.groupBy(F.lit("all").alias("pool")).applyInPandas(pick, f"{kinds}, place int")
+    spark = candidates.sparkSession
+    sizes = members.groupBy("key").agg(F.countDistinct("member").alias("size"))
+    order = [F.desc("score"), F.desc("brands"), F.desc(F.size("attributes")), F.desc("families"), F.desc("coverage"), F.asc("key")]
+    stars.durable(spark)
+    ranked = candidates.join(sizes, "key").checkpoint().orderBy(*order)
+    chosen: list[dict] = []
+    start = 0
+    while len(chosen) < most:
+        rows = [r.asDict() for r in ranked.offset(start).limit(block).collect()]
+        if not rows:
+            break
+        start += block
+        keys = [r["key"] for r in (*chosen, *rows)]
+        own = members.filter(F.col("key").isin(keys)).distinct()
+        # A member is in a few candidates only (one for each family of dimensions), so this does not pair members.
+        pairs = own.alias("a").join(own.alias("b"), (F.col("a.member") == F.col("b.member")) & (F.col("a.key") < F.col("b.key")))
+        shared = {(r[0], r[1]): r[2] for r in pairs.groupBy("a.key", "b.key").count().collect()}
+        chosen = choose(rows, shared, chosen, most)
+    kinds = "key string, place int"
+    places = spark.createDataFrame([(c["key"], i + 1) for i, c in enumerate(chosen)], kinds)
+    return ranked.join(places, "key").select("place", "key", "label", "score", "brands", "families", "size")
 
 
 def early_and_commercial(table: DataFrame, group: str, order: list[Column], k: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendloom.functions.expr import days_between, half_up, ladder
+from trendloom.operators.schedule import numbered
 
 
 def enrich(products: DataFrame, sidecar: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -39,10 +40,10 @@ def discover(products: DataFrame, universe: DataFrame, by: list[str]) -> DataFra
     return out
 
 
-def append_to_queue(queue: DataFrame, candidates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Candidates not in the queue by any key, placed after its last position."""
+def append_to_queue(queue: DataFrame, candidates: DataFrame, keys: list[str], coarse: dict[str, Column], order: list[Column]) -> DataFrame:
+    """Candidates not in the queue by any key, placed after its last position, by `coarse`, then `order`."""
     last = queue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last")).first()["last"]
-    fresh = discover(candidates, queue, keys).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    fresh = numbered(discover(candidates, queue, keys), coarse, order)
     return fresh.withColumn("position", (F.lit(last) + F.col("place")).cast("long")).drop("place")
 
 
@@ -122,11 +123,19 @@ def season(text: Column, category: Column, stage: Column, seen: Column, now: Col
     return ladder(*[(c, v) for c, v, _ in rungs], default="CARRY_OVER"), ladder(*[(c, n) for c, _, n in rungs], default=55)
 
 
-def overlapping_locks(tasks: DataFrame, key: str, locks: str) -> DataFrame:
-    """Pairs of tasks that share a lock: joined on the exploded lock, so only tasks with a lock in common meet."""
+def lock_holders(tasks: DataFrame, key: str, locks: str) -> DataFrame:
+    """Locks that several tasks want: how many, and the first of them. Tasks that share a lock conflict, so a row for each
+    lock says all conflicts without a row for each pair; a task that half of all others bar stays one row."""
     each = tasks.select(key, F.explode(F.array_distinct(locks)).alias("lock"))
-    a, b = each.alias("a"), each.alias("b")
-    return a.join(b, (F.col("a.lock") == F.col("b.lock")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second")).distinct()
+    return each.groupBy("lock").agg(F.count("*").alias("tasks"), F.min(key).alias("first")).filter("tasks > 1")
+
+
+def conflicts_of(tasks: DataFrame, running: DataFrame, key: str, locks: str) -> DataFrame:
+    """Tasks that a running task's lock bars, with the number of those locks. A lock that is a path bars all below it."""
+    held = running.select(F.explode(F.array_distinct(locks)).alias("held")).distinct()
+    each = tasks.select(key, F.explode(F.array_distinct(locks)).alias("lock"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("lock", "/"))), lambda n: F.array_join(F.slice(F.split("lock", "/"), F.lit(1), n), "/")))
+    return each.select(key, "lock", above.alias("held")).join(held, "held").groupBy(key).agg(F.countDistinct("lock").alias("barred"))
 
 
 def page_runs(pages: DataFrame, source: str, page: str, rows: str) -> DataFrame:

@@ -17,16 +17,35 @@ def removed_rows(current: DataFrame, previous: DataFrame, key: list[str]) -> Dat
     return previous.join(current.select(*key).distinct(), key, "left_anti")
 
 
-def signal_changes(current: DataFrame, previous: DataFrame, key: list[str]) -> DataFrame:
+def signal_changes(current: DataFrame, previous: DataFrame, key: list[str], brand: str, most: int = 24) -> DataFrame:
     """Counts per signal on both sides of a full outer join; a side without the signal counts zero.
 
-    Both frames: key, products, brands (array). Adds deltas, the change in percent (null if new) and brand sets."""
-    a = current.select(*key, F.col("products").alias("now"), F.col("brands").alias("brands_now"))
-    b = previous.select(*key, F.col("products").alias("before"), F.col("brands").alias("brands_before"))
-    none = F.array().cast("array<string>")
-    both = a.join(b, key, "full").withColumns({"now": F.coalesce("now", F.lit(0)), "before": F.coalesce("before", F.lit(0)), "brands_now": F.coalesce("brands_now", none), "brands_before": F.coalesce("brands_before", none)})
+    Frames hold a row per product: key and brand. Rows are counted by (signal, brand) and side first, so a signal that
+    most rows share is pre-aggregated and no brand set is built; the report names the first `most` new and gone brands,
+    their numbers are whole."""
+    both = current.select(*key, brand, F.lit(1).alias("is_now")).unionByName(previous.select(*key, brand, F.lit(0).alias("is_now")))
+    pairs = both.groupBy(*key, brand).agg(F.sum("is_now").alias("n"), F.sum(1 - F.col("is_now")).alias("p"))
+    fresh, gone = (F.col("n") > 0) & (F.col("p") == 0), (F.col("n") == 0) & (F.col("p") > 0)
+    kind = F.when(fresh, "new").when(gone, "gone")
+    place = F.row_number().over(Window.partitionBy(*key, kind).orderBy(brand))
+    named = pairs.withColumn("named", F.when(kind.isNotNull() & (place <= most), F.col(brand)))
+    out = named.groupBy(*key).agg(
+        F.sum("n").alias("now"),
+        F.sum("p").alias("before"),
+        (F.count_if(F.col("n") > 0) - F.count_if(F.col("p") > 0)).alias("brand_delta"),
+        F.count_if(fresh).alias("new_brands"),
+        F.count_if(gone).alias("gone_brands"),
+        F.sort_array(F.collect_list(F.when(fresh, F.col("named")))).alias("first_new"),
+        F.sort_array(F.collect_list(F.when(gone, F.col("named")))).alias("first_gone"),
+    )
     percent = F.when(F.col("before") > 0, half_up((F.col("now") - F.col("before")) / F.col("before") * 100.0, 1))
-    return both.select(*key, "now", "before", (F.col("now") - F.col("before")).alias("delta"), (F.size("brands_now") - F.size("brands_before")).alias("brand_delta"), percent.alias("change_percent"), F.sort_array(F.array_except("brands_now", "brands_before")).alias("new_brands"), F.sort_array(F.array_except("brands_before", "brands_now")).alias("gone_brands"))
+    return out.withColumns({"delta": F.col("now") - F.col("before"), "change_percent": percent})
+
+
+def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key: one aggregation, so a key that many rows share is pre-aggregated."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("first")).select(*key, "first.*")
 
 
 def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], model: str, color: str, seen: DataFrame | None = None, baseline: bool = False) -> DataFrame:

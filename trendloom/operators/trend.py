@@ -1,8 +1,7 @@
 """The trend engine: deduplicated evidence, component scores, stage and decision, one row per trend.
 
 Observations have the columns of `OBSERVATION`; sources have source_id, weight, role and is_active. Everything after
-the dedupe is one aggregation by trend with conditional aggregates (and one by entity and one by segment for the two
-set differences), so the plan has two shuffles of observations whatever the number of scores.
+the dedupe is one aggregation in two steps, so observations are scanned once whatever the number of scores.
 """
 
 from __future__ import annotations
@@ -64,38 +63,62 @@ def acceleration(recent: Column, previous: Column) -> Column:
 
 
 def evidence(trend_obs: DataFrame, now: Column) -> DataFrame:
-    """All sums and counts that the scores read, one row per trend. trend_obs: `eligible(dedupe_observations(..))`."""
+    """All sums and counts that the scores read, one row per trend. trend_obs: `eligible(dedupe_observations(..))`.
+
+    One scan: an observation becomes one fact for the sums and one for each thing that is counted once per trend
+    (country, unit, signature, brand, segment). Facts are aggregated by thing first, so hot trends are pre-aggregated
+    before they meet, then by trend.
+    """
     seen = lambda oldest, newest: in_window("observed_at", now, oldest, newest)
+    fact = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    things = {"country": F.col("country"), "unit": F.col("unit"), "signature": F.col("signature"), "brand": token("brand"), "segment": F.col("segment")}
+    facts = F.array(fact("row", F.lit("")), *(fact(k, v) for k, v in things.items()))
     c = trend_obs.withColumn("first_age", days_between("first_seen", now)).withColumn("age", days_between("observed_at", now))
+    c = c.withColumn("fact", F.explode(F.filter(facts, lambda f: f["value"].isNotNull()))).withColumn("kind", F.col("fact.kind")).withColumn("value", F.col("fact.value"))
     weighed = F.col("confidence") * F.col("weight")
-    entity = token("brand")
     recent30, previous30 = seen(30, 0), seen(60, 30)
-    main = c.groupBy("trend").agg(
-        F.count("*").alias("n"),
-        F.sum(weighed).cast("double").alias("weighed"),
-        F.sum("weight").cast("double").alias("weights"),
-        F.countDistinct("country").alias("countries"),
-        F.countDistinct("unit").alias("units"),
-        F.countDistinct("signature").alias("signatures"),
-        F.sum(F.when(F.col("role") == LEADER_ROLE, F.col("confidence"))).cast("double").alias("leader_confidence"),
-        F.sum(F.when(F.col("role").isin(*VALIDATION_ROLES), F.col("confidence"))).cast("double").alias("validation_confidence"),
-        F.count_if(F.col("role").isin(*EARLY_ROLES)).alias("early"),
-        F.sum(F.when(F.col("role").isin(*EARLY_ROLES), weighed)).cast("double").alias("early_weighed"),
-        F.sum(F.unix_seconds(F.col("first_seen").cast("timestamp"))).alias("first_seen_sum"),
-        F.max("age").alias("oldest"),
-        F.min("age").alias("newest"),
-        F.count_if(recent30).alias("recent30"),
-        F.count_if(previous30).alias("in_30_60"),
-        F.count_if(previous30 & ~recent30).alias("previous30"),
-        F.count_if(seen(90, 0)).alias("recent90"),
-        F.count_if(seen(180, 90)).alias("in_90_180"),
-        F.count_if(seen(180, 90) & ~seen(90, 0)).alias("previous90"),
+    row = F.col("kind") == "row"
+    number = lambda test: F.sum(F.when(row & test, 1).otherwise(0))
+    total = lambda value, test=F.lit(True): F.sum(F.when(row & test, value))
+    early = F.col("role").isin(*EARLY_ROLES)
+    sums = {
+        "n": number(F.lit(True)),
+        "weighed": total(weighed),
+        "weights": total(F.col("weight")),
+        "leader_confidence": total(F.col("confidence"), F.col("role") == LEADER_ROLE),
+        "validation_confidence": total(F.col("confidence"), F.col("role").isin(*VALIDATION_ROLES)),
+        "early": number(early),
+        "early_weighed": total(weighed, early),
+        "first_seen_sum": total(F.unix_seconds(F.col("first_seen").cast("timestamp"))),
+        "recent30": number(recent30),
+        "in_30_60": number(previous30),
+        "previous30": number(previous30 & ~recent30),
+        "recent90": number(seen(90, 0)),
+        "in_90_180": number(seen(180, 90)),
+        "previous90": number(seen(180, 90) & ~seen(90, 0)),
+    }
+    flags = {"was_recent": recent30, "was_previous": previous30, "during": F.col("first_age").between(0, 90), "before": F.col("first_age") > 90}
+    extremes = [F.max(F.when(row, F.col("age"))).alias("oldest"), F.min(F.when(row, F.col("age"))).alias("newest")]
+    by_thing = c.groupBy("trend", "kind", "value").agg(*(v.alias(k) for k, v in sums.items()), *extremes, *(F.max(v).alias(k) for k, v in flags.items()))
+    of = lambda kind, test=F.lit(True): F.count_if((F.col("kind") == kind) & test)
+    segment = F.when(F.col("kind") == "segment", F.col("value").cast("int"))
+    money = ("weighed", "weights", "leader_confidence", "validation_confidence", "early_weighed")
+    out = by_thing.groupBy("trend").agg(
+        *(F.sum(k).cast("double").alias(k) if k in money else F.sum(k).alias(k) for k in sums),
+        F.max("oldest").alias("oldest"),
+        F.min("newest").alias("newest"),
+        of("country").alias("countries"),
+        of("unit").alias("units"),
+        of("signature").alias("signatures"),
+        of("brand").alias("brands"),
+        of("brand", F.col("was_recent") & ~F.col("was_previous")).alias("novel_brands"),
+        of("brand", F.col("was_previous")).alias("previous_brands"),
+        of("segment").alias("segments"),
+        F.max(segment).alias("highest"),
+        F.max(segment == MASS_SEGMENT).alias("mass"),
+        of("segment", F.col("during") & ~F.col("before")).alias("novel_segments"),
     )
-    by_entity = c.groupBy("trend", entity.alias("entity")).agg(F.max(recent30).alias("r"), F.max(previous30).alias("p"))
-    entities = by_entity.groupBy("trend").agg(F.count("*").alias("brands"), F.count_if(F.col("r") & ~F.col("p")).alias("novel_brands"), F.count_if("p").alias("previous_brands"))
-    by_segment = c.filter(F.col("segment").isNotNull()).groupBy("trend", "segment").agg(F.max(F.col("first_age").between(0, 90)).alias("during"), F.max(F.col("first_age") > 90).alias("before"))
-    segments = by_segment.groupBy("trend").agg(F.count("*").alias("segments"), F.max("segment").alias("highest"), F.max(F.col("segment") == MASS_SEGMENT).alias("mass"), F.count_if(F.col("during") & ~F.col("before")).alias("novel_segments"))
-    return main.join(entities, "trend").join(segments, "trend", "left").withColumn("mean_first_age", (F.unix_seconds(now) - F.col("first_seen_sum") / F.col("n")) / 86400.0)
+    return out.withColumn("mean_first_age", (F.unix_seconds(now) - F.col("first_seen_sum") / F.col("n")) / 86400.0)
 
 
 def strength_components() -> dict[str, Column]:

@@ -32,21 +32,21 @@ def removed_products(spark, sf):
 
 
 def signal_changes(spark, sf):
-    def signals(bounds):
-        o = _orders(spark, sf, bounds)
-        return o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("products"), F.collect_set(F.col("o_custkey").cast("string")).alias("brands"))
+    def rows(bounds):
+        return _orders(spark, sf, bounds).select("o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string").alias("brand"))
 
-    c = S.signal_changes(signals(NOW_MONTH), signals(BEFORE_MONTH), ["o_orderpriority", "o_orderstatus"])
-    return c.select("o_orderpriority", "o_orderstatus", F.col("now").alias("products_now"), F.col("before").alias("products_before"), "delta", F.col("brand_delta").cast("long").alias("brand_delta"), "change_percent", F.array_join("new_brands", ",").alias("new_brands"), F.array_join("gone_brands", ",").alias("gone_brands"))
+    c = S.signal_changes(rows(NOW_MONTH), rows(BEFORE_MONTH), ["o_orderpriority", "o_orderstatus"], "brand")
+    return c.select("o_orderpriority", "o_orderstatus", F.col("now").alias("products_now"), F.col("before").alias("products_before"), "delta", "brand_delta", "change_percent", "new_brands", "gone_brands", F.substring(F.sha2(F.array_join("first_new", ","), 256), 1, 8).alias("first_new"))
 
 
 _SIGNAL_SQL = f"""
 WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, list(DISTINCT o_custkey::VARCHAR) AS b FROM {_month(NOW_MONTH)} GROUP BY ALL),
 p AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, list(DISTINCT o_custkey::VARCHAR) AS b FROM {_month(BEFORE_MONTH)} GROUP BY ALL),
 j AS (SELECT o_orderpriority, o_orderstatus, coalesce(c.n, 0) AS a, coalesce(p.n, 0) AS z, coalesce(c.b, []::VARCHAR[]) AS ab, coalesce(p.b, []::VARCHAR[]) AS zb FROM c FULL JOIN p USING (o_orderpriority, o_orderstatus))
-SELECT o_orderpriority, o_orderstatus, a AS products_now, z AS products_before, a - z AS delta, len(ab) - len(zb) AS brand_delta,
+SELECT o_orderpriority, o_orderstatus, a::BIGINT AS products_now, z::BIGINT AS products_before, (a - z)::BIGINT AS delta, (len(ab) - len(zb))::BIGINT AS brand_delta,
   CASE WHEN z > 0 THEN floor((a - z)::DOUBLE / z * 100.0 * 10.0 + 0.5) / 10.0 END AS change_percent,
-  coalesce(array_to_string(list_sort(list_filter(ab, lambda x: NOT list_contains(zb, x))), ','), '') AS new_brands, coalesce(array_to_string(list_sort(list_filter(zb, lambda x: NOT list_contains(ab, x))), ','), '') AS gone_brands FROM j"""
+  len(list_filter(ab, lambda x: NOT list_contains(zb, x)))::BIGINT AS new_brands, len(list_filter(zb, lambda x: NOT list_contains(ab, x)))::BIGINT AS gone_brands,
+  sha256(array_to_string(list_sort(list_filter(ab, lambda x: NOT list_contains(zb, x)))[1:24], ','))[1:8] AS first_new FROM j"""
 
 
 def _catalog(spark, sf, lo, hi):
@@ -122,10 +122,7 @@ def newness_states(spark, sf):
 
 
 def global_dedupe(spark, sf):
-    from pyspark.sql.window import Window
-
-    d = _read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))).filter("place = 1").select("doc_id")
+    return S.first_of_each(_read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h")), ["h"], "doc_id").select("doc_id")
 
 
 def canonical_urls(spark, sf):
@@ -184,19 +181,10 @@ _FAMILY_KEY = """CASE WHEN p_size % 3 = 0 THEN 'style:' || p_type[1:2] || '-' ||
 
 
 def families_components(spark, sf):
-    lines = _read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    parts = _read(spark, sf, "part").filter(F.col("p_size") < 4).select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    items = lines.join(parts, "l_partkey").filter(F.col("l_partkey") % 4 == 0)
-    edges = I.pairs_within(items, ["l_suppkey", "p_brand"], "l_partkey")
+    """Parts that one supplier and brand deliver belong together; the whole table, so there is no SQL for the closure."""
+    items = _read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(_read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     nodes = items.select(F.col("l_partkey").alias("node")).distinct()
-    return I.components(nodes, edges, "node")
-
-
-_COMPONENT_SQL = """
-WITH RECURSIVE i AS (SELECT DISTINCT l_suppkey, l_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 4 AND l_partkey % 4 = 0),
-e AS (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM i a JOIN i b USING (l_suppkey, p_brand)),
-r AS (SELECT DISTINCT l_partkey AS node, l_partkey AS reach FROM i UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach)
-SELECT node, min(reach) AS component FROM r GROUP BY node"""
+    return I.components(nodes, I.star_links(items, ["l_suppkey", "p_brand"], "l_partkey"), "node")
 
 
 def reanchored(spark, sf):
@@ -273,7 +261,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "json_props": (json_props, "SELECT event_type, count(k) AS known, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, (props::JSON->>'$.k')::BIGINT AS k FROM events) GROUP BY event_type"),
     "model_name_normalize": (model_names, _MODEL_SQL),
     "families_blocking": (families_blocking, f"SELECT p_brand, {_FAMILY_KEY} AS family_key, min(p_partkey) AS representative, count(*) AS variants, CASE min(p_size % 3) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM part GROUP BY 1, 2"),
-    "families_components": (families_components, _COMPONENT_SQL),
+    "families_components": (families_components, None),
     "reanchor_ids": (reanchored, f"WITH p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS anchor FROM {_month(BEFORE_MONTH)} GROUP BY ALL), f AS (SELECT DISTINCT o_custkey, o_orderpriority FROM {_month(NOW_MONTH)}) SELECT o_custkey, o_orderpriority, anchor, anchor IS NOT NULL AS anchored FROM f LEFT JOIN p USING (o_custkey, o_orderpriority)"),
     "conversation_sequence": (conversation_sequence, "SELECT conv_id, count(*) AS turns, count(*) FILTER (b <> role) AS changes, arg_min(role, turn) AS opens FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) GROUP BY conv_id"),
     "cluster_jaccard": (jaccard_overlap, "WITH p AS (SELECT p_brand, list(DISTINCT p_name) AS n, regexp_extract(p_brand, '(\\d+)$', 1)::INT AS k FROM part GROUP BY p_brand) SELECT a.p_brand, b.p_brand AS next, floor(len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) * 1000000.0 + 0.5) / 1000000.0 AS jaccard, floor(len(list_intersect(a.n, b.n)) / len(a.n) * 1000000.0 + 0.5) / 1000000.0 AS containment FROM p a JOIN p b ON b.k = a.k + 1"),

@@ -279,18 +279,28 @@ SELECT combo, products, penalty, greatest(0.0, least(100.0, floor(raw::DOUBLE +
 
 def cluster_select(spark, sf):
     scored, combos = _scored(spark, sf)
-    members = combos.groupBy("combo").agg(F.collect_set("p_partkey").alias("members"))
-    return D.select_distinct(scored.join(members, "combo").select("combo", "score", "strength", "members"), "members")
+    totals = _read(spark, sf, "part").count()
+    candidates = scored.select(F.col("combo").alias("key"), F.col("combo").alias("label"), D.meaningful(F.split("combo", r"\|")).alias("attributes"), "score", "brands", "families", (F.col("products") / F.lit(totals)).alias("coverage"))
+    members = combos.select(F.col("combo").alias("key"), F.col("p_partkey").alias("member"))
+    return D.select_distinct(candidates, members).select("place", "key", "score", "size")
 
 
 def task_order(spark, sf):
-    o = _read(spark, sf, "orders").filter(F.col("o_orderdate") < _ts("1995-03-01")).select("o_orderkey", "o_orderdate", F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("p"))
+    o = _read(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("p"))
     return S.task_order(o, S.priority_rank(F.col("p")), "o_orderdate", "o_orderkey").select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 def queue_select(spark, sf):
-    o = _read(spark, sf, "orders").filter(F.col("o_orderdate") < _ts("1995-03-01")).select(F.col("o_orderkey").alias("key"), "o_orderdate", F.array(F.col("o_custkey"), F.col("o_custkey") % 5).alias("locks"))
-    return S.without_conflicts(o, ["o_orderdate", "key"], "locks", 20).select("key", "o_orderdate")
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_orderdate", F.array(F.col("o_custkey"), F.col("o_custkey") % 40 - 40).alias("locks"))
+    return S.without_conflicts(o, ["o_orderdate", "key"], "key", "locks", 20).select("key", "o_orderdate")
+
+
+_QUEUE_SQL = """
+WITH RECURSIVE t AS (SELECT o_orderkey AS key, o_orderdate, [o_custkey, o_custkey % 40 - 40] AS locks FROM orders),
+g AS (SELECT 0 AS n, []::BIGINT[] AS taken, NULL::BIGINT AS key, NULL::TIMESTAMP AS o_orderdate
+  UNION ALL
+  SELECT n + 1, taken || best.locks, best.key, best.o_orderdate FROM (SELECT g.n, g.taken, min({'o_orderdate': t.o_orderdate, 'key': t.key, 'locks': t.locks}) AS best FROM g, t WHERE g.n < 20 AND NOT list_has_any(t.locks, g.taken) GROUP BY g.n, g.taken))
+SELECT key, o_orderdate FROM g WHERE n > 0"""
 
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {
@@ -334,6 +344,6 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "cluster_buckets": (cluster_buckets, f"WITH {_COMBO_SQL} SELECT * FROM bucket"),
     "cluster_scores": (cluster_scores, _SCORES_SQL),
     "cluster_select": (cluster_select, None),
-    "task_order": (task_order, "SELECT o_orderkey, row_number() OVER (ORDER BY least(4, o_orderpriority[1]::INT - 1), o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01'"),
-    "queue_select": (queue_select, None),
+    "task_order": (task_order, "SELECT o_orderkey, row_number() OVER (ORDER BY least(4, o_orderpriority[1]::INT - 1), o_orderdate, o_orderkey) AS place FROM orders"),
+    "queue_select": (queue_select, _QUEUE_SQL),
 }

@@ -43,7 +43,7 @@ def discovered_parts(spark, sf):
 def queued_customers(spark, sf):
     c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
     queue = c.filter(F.col("id") % 2 == 0).select("id", "name", F.col("id").alias("position"))
-    return G.append_to_queue(queue, c, ["id", "name"], [F.desc("c_acctbal"), F.asc("id")]).select("id", "position")
+    return G.append_to_queue(queue, c, ["id", "name"], {"hundreds": -F.floor(F.col("c_acctbal") / 100)}, [F.desc("c_acctbal"), F.asc("id")]).select("id", "position")
 
 
 def link_coverage(spark, sf):
@@ -93,7 +93,7 @@ SELECT p_partkey, CASE WHEN k IN (1, 4, 6) THEN 'SS27' WHEN k IN (2, 5, 7) THEN
 
 def lock_pairs(spark, sf):
     s = _read(spark, sf, "supplier").select("s_suppkey", F.array(F.col("s_nationkey"), F.col("s_nationkey") + 1).alias("locks"))
-    return G.overlapping_locks(s, "s_suppkey", "locks")
+    return G.lock_holders(s, "s_suppkey", "locks")
 
 
 def paged_reads(spark, sf):
@@ -113,6 +113,6 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "source_report": (source_report, "WITH s AS (SELECT source, count(*) AS \"rows\", count(*) FILTER (n_chars > 50) AS complete, count(*) FILTER (quality = 1) AS usable FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source) SELECT *, CASE WHEN complete = \"rows\" THEN 'success' WHEN usable > 0 THEN 'partial' ELSE 'failed' END AS status FROM s"),
     "collection_discovery": (collection_verdicts, "WITH p AS (SELECT p_name, count(*) AS products, avg((p_size < 36)::INT::DOUBLE) AS share FROM part GROUP BY p_name) SELECT p_name, products, floor(share * 10000.0 + 0.5) / 10000.0 AS share, CASE WHEN share >= 0.8::DOUBLE THEN 'VERIFIED' WHEN share > 0.5 THEN 'AUTO_DISCOVERED' ELSE 'REJECT' END AS verdict FROM p"),
     "season_lifecycle": (seasons, _SEASON_SQL),
-    "lock_conflicts": (lock_pairs, "SELECT a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_nationkey - b.s_nationkey) <= 1"),
+    "lock_conflicts": (lock_pairs, "SELECT lock, count(*) AS tasks, min(s_suppkey) AS first FROM (SELECT s_suppkey, unnest([s_nationkey, s_nationkey + 1]) AS lock FROM supplier) GROUP BY lock HAVING count(*) > 1"),
     "paged_source": (paged_reads, "WITH e AS (SELECT user_id, day(ts) AS page, count(*) AS n FROM events GROUP BY ALL), z AS (SELECT user_id, page, CASE WHEN n = 1 THEN 0 ELSE n END AS n FROM e), o AS (SELECT *, max((n = 0)::INT) OVER (PARTITION BY user_id ORDER BY page) AS ended FROM z) SELECT user_id, count(*) FILTER (ended = 0) AS pages, coalesce(sum(n) FILTER (ended = 0), 0)::BIGINT AS \"rows\", max(ended) = 1 AS exhausted FROM o GROUP BY user_id"),
 }

@@ -11,6 +11,8 @@ from trendloom.functions.expr import half_up
 from trendloom.operators import trend as T
 
 NOW = "2001-06-30 00:00:00"
+#: A trend of its own for each name and size: many thin ones, where scores do not reach their limits.
+MODEL = "p_name || '-' || p_size"
 ROLES = ("LEADER", "EARLY_ADOPTER", "MARKET", "RETAIL", "SOCIAL", "PRODUCTION_SIGNAL")
 
 
@@ -32,7 +34,7 @@ def observations(spark: SparkSession, sf: str, trend: str = "p_type", since: str
     joined = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(nations, "c_nationkey").join(parts, "l_partkey")
     segment = F.array_position(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), F.col("c_mktsegment")) - 1
     return joined.select(
-        F.col(trend).alias("trend"),
+        F.expr(trend).alias("trend"),
         F.col("l_suppkey").alias("source_id"),
         F.col("p_brand").alias("brand"),
         F.lit(None).cast("string").alias("corporate_group"),
@@ -81,17 +83,17 @@ def momentum_parts(spark, sf):
 
 
 def novelty_parts(spark, sf):
-    m = _metrics(spark, sf, "p_name", "2001-01-01")
+    m = _metrics(spark, sf, MODEL)
     return m.select("trend", *(half_up(c, 4).alias(c) for c in ("leader_early", "low_mass", "construction", "recency", "novelty")))
 
 
 def saturation_parts(spark, sf):
-    m = _metrics(spark, sf, "p_name", "2001-01-01")
+    m = _metrics(spark, sf, MODEL)
     return m.select("trend", *(half_up(c, 4).alias(c) for c in ("mass_saturation", "brand_penetration", "proliferation", "lifecycle", "plateau", "transitions", "saturation")))
 
 
 def production_pressure(spark, sf):
-    p = T.production_pressure(observations(spark, sf, "p_name", "2001-05-01"), sources(spark, sf))
+    p = T.production_pressure(observations(spark, sf, MODEL), sources(spark, sf))
     return p.select("trend", "observations", "sources", "brands", half_up("pressure", 4).alias("pressure"))
 
 
@@ -171,14 +173,14 @@ def _metrics_sql(trend="p_type", since=None):
 QUERIES: dict[str, tuple[Callable, str]] = {
     "trend_metrics": (trend_metrics, _metrics_sql()),
     "trend_metrics_by_name": (lambda s, d: trend_metrics(s, d, "p_name"), _metrics_sql("p_name")),
-    "trend_metrics_recent": (lambda s, d: trend_metrics(s, d, "p_name", "2001-03-01"), _metrics_sql("p_name", "2001-03-01")),
+    "trend_metrics_by_model": (lambda s, d: trend_metrics(s, d, MODEL), _metrics_sql(MODEL)),
     "strength_components": (strength_parts, f"WITH {_metrics_cte()} SELECT trend, {_r(*T.STRENGTH)} FROM g"),
     "momentum_components": (momentum_parts, f"WITH {_metrics_cte('p_name')} SELECT trend, {_r('change_30d', 'change_90d', 'brand_acquisition', 'segment_transition', 'momentum')} FROM g"),
-    "novelty_components": (novelty_parts, f"WITH {_metrics_cte('p_name', '2001-01-01')} SELECT trend, {_r('leader_early', 'low_mass', 'construction', 'recency', 'novelty')} FROM g"),
-    "saturation_components": (saturation_parts, f"WITH {_metrics_cte('p_name', '2001-01-01')} SELECT trend, {_r('mass_saturation', 'brand_penetration', 'proliferation', 'lifecycle', 'plateau', 'transitions', 'saturation')} FROM g"),
+    "novelty_components": (novelty_parts, f"WITH {_metrics_cte(MODEL)} SELECT trend, {_r('leader_early', 'low_mass', 'construction', 'recency', 'novelty')} FROM g"),
+    "saturation_components": (saturation_parts, f"WITH {_metrics_cte(MODEL)} SELECT trend, {_r('mass_saturation', 'brand_penetration', 'proliferation', 'lifecycle', 'plateau', 'transitions', 'saturation')} FROM g"),
     "production_pressure": (
         production_pressure,
-        f"WITH {_cte('p_name', '2001-05-01')} SELECT trend, count(*) AS observations, count(DISTINCT source_id) AS sources, count(DISTINCT brand) AS brands, floor(least(100.0, count(*) * 15 + sum(confidence * weight)::DOUBLE * 40) * 10000.0 + 0.5) / 10000.0 AS pressure FROM obs JOIN src USING (source_id) WHERE is_active AND role = 'PRODUCTION_SIGNAL' GROUP BY trend",
+        f"WITH {_cte(MODEL)} SELECT trend, count(*) AS observations, count(DISTINCT source_id) AS sources, count(DISTINCT brand) AS brands, floor(least(100.0, count(*) * 15 + sum(confidence * weight)::DOUBLE * 40) * 10000.0 + 0.5) / 10000.0 AS pressure FROM obs JOIN src USING (source_id) WHERE is_active AND role = 'PRODUCTION_SIGNAL' GROUP BY trend",
     ),
     "adoption_units": (adoption_units, f"WITH {_cte()} SELECT trend, count(*) AS observations, count(DISTINCT unit) AS units FROM ded GROUP BY trend"),
     "adoption_units_color": (lambda s, d: adoption_units(s, d, "color"), f"""WITH {_cte(scope="|| '::color::' || p_size")} SELECT trend, count(*) AS observations, count(DISTINCT unit) AS units FROM ded GROUP BY trend"""),

@@ -31,27 +31,48 @@ def write_sorted_shards(table: DataFrame, path: str, key: str, shard_bytes: int
     return int(shards)
 
 
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The numbered pointers of a store and the snapshot each names (empty if its writer was lost half-way)."""
+    if not exists(spark, f"{path}/pointers"):
+        return []
+    fs, p = _fs(spark, f"{path}/pointers")
+    names = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().isdigit())
+    out = []
+    for name in names:
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers/{name}"))
+        out.append((int(name), "".join(map(chr, stream.readAllBytes()))))
+        stream.close()
+    return out
+
+
 def publish(table: DataFrame, path: str, snapshot: str, expected: str | None) -> bool:
-    """Publish a snapshot only over the one expected: data first, then the pointer by rename."""
+    """Publish a snapshot only over the one expected: data first, then the next numbered pointer, created without
+    overwriting. Of two writers who saw the same state only one creates it, and readers always find a pointer."""
     spark = table.sparkSession
-    pointer = f"{path}/CURRENT"
+    pointers = _pointers(spark, path)
     if current_snapshot(spark, path) != expected:
         return False
     table.write.mode("overwrite").parquet(f"{path}/snapshot={snapshot}")
-    fs, p = _fs(spark, f"{pointer}.tmp-{snapshot}")
-    out = fs.create(p, True)
+    return _claim(spark, path, max((n for n, _ in pointers), default=0) + 1, snapshot)
+
+
+def _claim(spark: SparkSession, path: str, number: int, snapshot: str) -> bool:
+    from py4j.protocol import Py4JJavaError
+
+    fs, p = _fs(spark, f"{path}/pointers/{number:012d}")
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()) or "already exists" in str(e.java_exception.getMessage()):
+            return False
+        raise
     out.write(bytearray(snapshot.encode()))
     out.close()
-    target = _fs(spark, pointer)[1]
-    if fs.exists(target):
-        fs.delete(target, False)
-    return fs.rename(p, target)
+    return True
 
 
 def current_snapshot(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, f"{path}/CURRENT"):
-        return None
-    return "".join(r.value for r in spark.read.text(f"{path}/CURRENT").collect())
+    return next((name for _, name in reversed(_pointers(spark, path)) if name), None)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame | None:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def durable(spark: SparkSession) -> None:
+    """See to a checkpoint folder: the one of spark.checkpoint.dir; a local session without it gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="trendloom-")
+    sc.setCheckpointDir(where)
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
     """edges(u, v) -> node, component (the smallest node it reaches), for nodes that have an edge.
 

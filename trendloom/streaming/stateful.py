@@ -25,25 +25,30 @@ def unseen(events: DataFrame, key: list[str], ts: str, late: str = "2 days") ->
 
 
 def seen_range(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """First and last time each key was seen, updated as batches arrive; state is two instants and a count per key."""
+    """First and last time each key was seen, updated as batches arrive; state is two instants and a count per key, and is
+    kept for good, as the history is. Rows without a time are counted only."""
 
     def update(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last, n = state.get if state.exists else (None, None, 0)
         for pdf in rows:
-            lo, hi = pdf[ts].min().value // 1000, pdf[ts].max().value // 1000
-            first, last, n = min(first or lo, lo), max(last or hi, hi), n + len(pdf)
+            known = pdf[ts].dropna()
+            n += len(pdf)
+            if len(known):
+                lo, hi = known.min().value // 1000, known.max().value // 1000
+                first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
         state.update((first, last, n))
-        yield pd.DataFrame({key: [k[0]], "first_seen": [pd.Timestamp(first * 1000)], "last_seen": [pd.Timestamp(last * 1000)], "sightings": [n]})
+        yield pd.DataFrame({key: [k[0]], "first_seen": [None if first is None else pd.Timestamp(first * 1000)], "last_seen": [None if last is None else pd.Timestamp(last * 1000)], "sightings": [n]})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, first_seen timestamp, last_seen timestamp, sightings long", "first long, last long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def last_good_sink(publish, accept):
-    """A foreachBatch function: publish a batch only if it is accepted; the batch id makes repeats harmless."""
+def last_good_sink(publish, accept, done):
+    """A foreachBatch function: publish a batch only if it is accepted. `done(batch_id)` says whether a batch has been
+    published before, from what `publish(batch, batch_id)` has kept, so a batch that comes again after a restart is left."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if accept(batch):
+        if not done(batch_id) and accept(batch):
             publish(batch, batch_id)
 
     return run
