@@ -61,8 +61,9 @@ def publish_decision(status: Column, accepted: Column, previous: Column, share:
 def country_refresh(candidates: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """For each candidate: PUBLISH if its coverage is complete, KEEP_LAST_GOOD if not and there is a previous state, else
     DROP. Columns: status, total, excluded, collected."""
-    expected = F.greatest(F.lit(0), F.col("total") - F.greatest(F.lit(0), F.coalesce("excluded", F.lit(0))))
-    missing = F.greatest(F.lit(0), expected - F.greatest(F.lit(0), F.col("collected")))
+    stated = lambda c: F.when(F.col("total").isNotNull(), c)
+    expected = stated(F.greatest(F.lit(0), F.col("total") - F.greatest(F.lit(0), F.coalesce("excluded", F.lit(0)))))
+    missing = stated(F.greatest(F.lit(0), expected - F.greatest(F.lit(0), F.col("collected"))))
     complete = (F.col("status") == "source_unavailable") | ((F.col("status") == "ok") & F.coalesce(missing == 0, F.lit(False)))
     percent = F.when(expected.isNull(), None).when(expected == 0, 100.0).otherwise(F.least(F.lit(100.0), half_up(F.col("collected") / expected * 100.0, 2)))
     known = previous.select(key).distinct().withColumn("was", F.lit(True))
