@@ -365,6 +365,30 @@ def test_long_texts_score_as_their_parts_do():
     assert abs(model.scores([text])[0] - model.scores([b"x", text, b"y"])[1]) < 1e-12
 
 
+@pytest.mark.parametrize("part", [1, 7, 40, 1000])
+def test_cut_texts_have_the_features_of_whole_ones(part):
+    from trendloom.llm import quality_classifier as q
+
+    rng = np.random.default_rng(4)
+    words = ["a", "bb", "ünï", "日本語" * 9, "x" * 130, "x" * 129 + "y", "the"]
+    for gap in (" ", " \n\t ", "  "):
+        text = (gap.join(rng.choice(words, 60)) + gap).encode()
+        whole = Counter((k, b) for k, (_, bs) in enumerate(q.hashed_features([(q._codes(text), 0)])) for b in bs.tolist())
+        cut = Counter((k, b) for p in q._cut(text, part) for k, (_, bs) in enumerate(q.hashed_features([p])) for b in bs.tolist())
+        assert cut == whole
+    one, other = (q._word_hashes(q._codes(w), np.array([0]), np.array([len(w)]))[0] for w in (b"x" * 150 + b"y" + b"x" * 150, b"x" * 150 + b"z" + b"x" * 150))
+    assert one != other
+
+
+def test_classifier_sample_is_bounded(spark):
+    from trendloom.llm import quality_classifier as q
+
+    docs = spark.createDataFrame([(i, f"good words {i} " * 5 if i % 2 else f"bad stuff {i} " * 5) for i in range(60)] + [(1, "good again")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert q.fit(docs, labels).scores([b"good words", b"bad stuff"]).round().tolist() == [1, 0]
+    assert q.fit(docs, labels, max_features=1).scores([b"good"]).tolist() == [0.5]
+
+
 # 7
 
 

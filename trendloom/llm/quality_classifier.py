@@ -1,16 +1,18 @@
 """Operator 6: a quality classifier of supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed features: words, word pairs (a word followed by itself is
-one feature of its own), and the 3- to 5-byte n-grams of words with their borders. A softmax layer over the average
-gives the two classes. Vectors and layer are trained together by numpy stochastic gradient descent on a bounded sample
-(`MAX_TRAIN` labelled documents with the smallest hash of their id, whole texts) on the driver. Since the layer is
-linear, a trained feature is one number at scoring time; every task sums these numbers over whole texts, half a megabyte
-of bytes at a time, whatever the length of a document.
+one feature of its own), and the 3- to 5-character n-grams of words with their borders. A softmax layer over the average
+gives the two classes. Vectors and layer are trained together by numpy stochastic gradient descent on a bounded sample:
+at most `MAX_TRAIN` labelled documents with the smallest hash of their id, whole texts, and of these as many as have
+`MAX_FEATURES` different features in all (a document has at most 2^18). Features are hashed and counted in tasks; the
+driver gets numbers, no texts. Since the layer is linear, a trained feature is one number at scoring time; every task
+sums these numbers over whole texts, half a million characters at a time, whatever the length of a document: a long
+text is cut between words, and the word before a cut is read again with what follows, so no pair is lost.
 
 Defined cases: null, empty and blank texts have no features and score by the bias alone; labels that are null, or that
-contradict each other for one doc_id, are not learned; without labels of both classes every score is the smoothed share
-of good labels (0.5 without any); an empty table gives no rows; extra columns are ignored. A text over `PART` bytes is
-cut at white space for hashing, which loses the one word pair at each cut.
+contradict each other for one doc_id, are not learned; of rows that share a labelled doc_id one is learned from;
+without labels of both classes every score is the smoothed share of good labels (0.5 without any); an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import give_back
+from trendloom.llm.common import give_back, stash
 from trendloom.llm.encode import slices
 
 BUCKET_BITS = 18
 DIM, RATE, BATCH = 8, 4.0, 16
 #: Gradient steps aimed at; small samples are gone through more often.
 STEPS, EPOCHS = 1000, (3, 60)
-MAX_TRAIN = 1200
+MAX_TRAIN, MAX_FEATURES = 1200, 12_000_000
+#: Characters hashed at once.
 PART = 1 << 19
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -44,38 +47,47 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h * M1) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+#: An odd base of polynomial hashes and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
 def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word, from the names of its first and last 2^k bytes (over 127 bytes: the outer 64 each)."""
-    out = np.zeros(len(start), np.uint64)
-    size = end - start
-    level = np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), 6)
-    h = (data.astype(np.uint64) + np.uint64(1)) * M2
-    for k in range(int(level.max(initial=0)) + 1):
-        if k:
-            half = 1 << (k - 1)
-            h = h[:-half] * M1 + h[half:]
-            h ^= h >> np.uint64(29)
-        at = np.flatnonzero(level == k)
-        out[at] = h[start[at]] * M2 + h[end[at] - (1 << k)] * M1 + size[at].astype(np.uint64)
-    return out
-
-
-def hashed_features(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(part, bucket) arrays of all features of texts, kind by kind."""
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8).copy()
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    """A hash of each word from all its characters: differences of one running polynomial, shifted to a common place."""
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(data), BASE, np.uint64)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(len(data), INVERSE, np.uint64)])
+    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])]
+    h = (total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    return h * M1
+
+
+def _codes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+
+
+def _spaces(codes: np.ndarray) -> np.ndarray:
+    return (codes == 32) | ((codes >= 9) & (codes <= 13))
+
+
+def hashed_features(parts: list[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(part, bucket) arrays of all features of parts, kind by kind. A part is characters and how many of the first are
+    only there for the pair with what follows."""
+    gap = np.array([32], np.uint32)
+    data = np.concatenate([gap, *(x for codes, _ in parts for x in (codes, gap))])
+    space = _spaces(data)
     data[space] = 32
-    length = np.array([len(p) + 1 for p in parts], np.int64)
-    owner = np.r_[np.repeat(np.arange(len(parts), dtype=np.int32), length), np.int32(len(parts) - 1)]  # of the byte before each text's first
-    owner = np.r_[owner[:1], owner[:-1]] if len(parts) else owner
+    length = np.array([len(codes) + 1 for codes, _ in parts], np.int64)
+    first = 1 + np.cumsum(length) - length + np.array([skip for _, skip in parts], np.int64)
+    owner = np.r_[np.int32(0), np.repeat(np.arange(len(parts), dtype=np.int32), length)]
     step = np.diff(space.astype(np.int8))
     start, end = np.flatnonzero(step == -1) + 1, np.flatnonzero(step == 1) + 1
     if not len(start):
         return
-    word = _word_hashes(data, start, end)
-    doc = owner[start]
-    yield doc, _bucket(word, 1)
-    pair = doc[1:] == doc[:-1]
+    word, doc = _word_hashes(data, start, end), owner[start]
+    fresh = start >= first[doc]
+    yield doc[fresh], _bucket(word[fresh], 1)
+    pair = (doc[1:] == doc[:-1]) & fresh[1:]
     same = word[1:] == word[:-1]
     both = np.where(same, np.uint64(PAIR_OF_SAME), word[:-1] * M2 + word[1:] * np.uint64(3))
     yield doc[1:][pair], _bucket(both[pair], 2)
@@ -88,18 +100,38 @@ def hashed_features(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
             made += 1
         if not len(h):
             return
-        inside = count[n - 2 : len(data) - 1] == count[: len(data) - n + 1]  # no space strictly inside: counts up to the second last and the first byte
+        inside = count[n - 2 : len(data) - 1] == count[: len(data) - n + 1]  # no space strictly inside: counts up to the second last and the first character
         at = np.flatnonzero(inside[: len(h)] & ~space[1 : len(h) + 1])
+        at = at[at + 1 >= first[owner[at + 1]]]
         yield owner[at + 1], _bucket(h[at], n)
 
 
-def _cut(text: bytes) -> list[bytes]:
-    out = []
-    while len(text) > PART:
-        at = max(text.rfind(b" ", 0, PART), text.rfind(b"\n", 0, PART)) + 1 or PART
-        out.append(text[:at])
-        text = text[at:]
-    return [*out, text]
+def _cut(text: bytes, part: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
+    """A text in parts of about `part` characters, cut between words; each begins with the last word of the one before."""
+    part = part or PART
+    codes = _codes(text)
+    if len(codes) <= part:
+        yield codes, 0
+        return
+    gaps = np.flatnonzero(_spaces(codes))
+    at = skip = 0
+    while at + skip < len(codes):
+        limit = at + skip + part
+        k = int(np.searchsorted(gaps, limit))
+        if limit >= len(codes):
+            end = len(codes)
+        elif k and gaps[k - 1] > at + skip:
+            end = int(gaps[k - 1])
+        else:  # a word longer than a part stays whole
+            end = int(gaps[k]) if k < len(gaps) else len(codes)
+        yield codes[at:end], skip
+        letters = np.flatnonzero(~_spaces(codes[at:end]))
+        if not len(letters):
+            at, skip = end, 0
+            continue
+        before = int(np.searchsorted(gaps, at + letters[-1]))
+        word = max(at, int(gaps[before - 1]) + 1 if before else 0)
+        at, skip = word, end - word
 
 
 @dataclass
@@ -111,7 +143,7 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
-        parts: list[bytes] = []
+        parts: list[tuple[np.ndarray, int]] = []
         owner: list[int] = []
         held = 0
 
@@ -129,7 +161,7 @@ class Model:
             for p in _cut(t):
                 parts.append(p)
                 owner.append(i)
-                held += len(p)
+                held += len(p[0])
                 if held >= PART:
                     flush()
         if parts:
@@ -137,45 +169,36 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + self.bias)))
 
 
-def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as sparse rows: where each begins, buckets, and shares of its features."""
-    starts, cols, vals = [0], [], []
-    for t in texts:
-        found = [b.astype(np.int32) for p in _cut(t) for _, b in hashed_features([p])]
-        bucket, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
-        cols.append(bucket)
-        vals.append((n / max(1, n.sum())).astype(np.float32))
-        starts.append(starts[-1] + len(bucket))
-    return np.array(starts), np.concatenate([np.empty(0, np.int32), *cols]), np.concatenate([np.empty(0, np.float32), *vals])
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text and the share of its features in each."""
+    sums = np.zeros(1 << BUCKET_BITS, np.int64)
+    for p in _cut(text):
+        for _, bucket in hashed_features([p]):
+            sums += np.bincount(bucket, minlength=len(sums))
+    bucket = np.flatnonzero(sums)
+    return bucket.astype(np.int32), (sums[bucket] / max(1, sums.sum())).astype(np.float32)
 
 
-def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed: int = 7) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, epochs: int | None = None, seed: int = 7) -> Model:
+    """rows: buckets and shares of each document, as `counted` gives them."""
     buckets = 1 << BUCKET_BITS
     ones = float(good.sum())
     if not 0 < ones < len(good):
         return Model(np.zeros(buckets), float(np.log((ones + 1) / (len(good) - ones + 1))))
     rng = np.random.default_rng(seed)
-    starts, cols, vals = _rows(texts)
-    embed = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM))
+    embed = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2)), np.log(np.array([len(good) - ones, ones]) / len(good))
     label = np.stack([1 - good, good], 1).astype(float)
-    batches = -(-len(texts) // BATCH)
+    batches = -(-len(rows) // BATCH)
     epochs = epochs or min(EPOCHS[1], max(EPOCHS[0], -(-STEPS // batches)))
     steps, step = epochs * batches, 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
-            span = [np.arange(starts[d], starts[d + 1]) for d in docs]
-            flat = np.concatenate(span)
-            row = np.repeat(np.arange(len(docs)), [len(s) for s in span])
-            c, v = cols[flat], vals[flat]
-            hidden = np.zeros((len(docs), DIM))
-            gathered = embed[c] * v[:, None]
-            for j in range(DIM):
-                hidden[:, j] = np.bincount(row, gathered[:, j], len(docs))
+            hidden = np.stack([v @ embed[c] for c, v in (rows[d] for d in docs)]).astype(float)
             logits = hidden @ layer + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -183,9 +206,12 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int | None = None, seed:
             back = error @ layer.T
             layer -= rate * hidden.T @ error
             bias -= 0.1 * rate * error.sum(0)
-            np.add.at(embed, c, -rate * len(docs) * v[:, None] * back[row])
+            for d, pull in zip(docs, (-rate * len(docs) * back).astype(np.float32)):
+                c, v = rows[d]  # a bucket stands once in a row
+                embed[c] += v[:, None] * pull
     seen = np.zeros(buckets, bool)
-    seen[cols] = True  # a bucket that training never saw has no say
+    for c, _ in rows:
+        seen[c] = True  # a bucket that training never saw has no say
     weight = np.where(seen, embed @ (layer[:, 1] - layer[:, 0]), 0.0)
     return Model(weight, float(bias[1] - bias[0]))
 
@@ -194,13 +220,27 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn labels.quality from at most max_train documents outside fold 0."""
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [counted(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([c for c, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["doc_id", "good", "buckets", "shares"])
+    give_back()
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
+    """Learn labels.quality from at most max_train documents outside fold 0 with max_features different features in all."""
     known = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).filter("a = b")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", F.col("a").alias("good"))
     # The sample has a proven size, so it may be broadcast; the texts are not shuffled.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_train).collect()
-    return train([(r.text or "").encode() for r in rows], np.array([r.good for r in rows], float))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stash(labelled.mapInArrow(_counted_rows, "doc_id long, good int, buckets array<int>, shares array<float>"), "features")
+    one = F.min_by(F.struct("buckets", "shares", "good"), F.xxhash64("buckets", "shares"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.size("buckets")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    within = np.cumsum([r.n for r in sizes]) <= max_features
+    ids = [r.doc_id for r, ok in zip(sizes, within) if ok]
+    got = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(one.alias("one")).select("doc_id", "one.*").orderBy("doc_id").toArrow()
+    column = lambda name: [np.asarray(x.values) for x in got[name].combine_chunks()] if len(got) else []
+    return train(list(zip(column("buckets"), column("shares"))), np.asarray(got["good"]).astype(float))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
