@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,21 @@ def test_suffix_dedup_does_not_depend_on_batches(spark, sf_dir, real):
         spark.conf.set(key, before)
 
 
+def test_settled_runs_are_joined(spark):
+    from trendloom.llm import suffix_dedup
+
+    rows = list(suffix_dedup._anchor_rows(100)(iter([pa.RecordBatch.from_pydict({"d": [1, 2], "tag": [0, 0], "text": ["x" * 300_000, "ab" * 50_000]})])))
+    assert sum(map(len, rows)) < 20
+    doc, word = suffix_dedup._merged(np.array([0, 0, 0, 1]), np.array([5, 0, 9, 3]), np.array([2, 4, 0, 1]))
+    assert list(zip(doc, word >> suffix_dedup.LEN_BITS, word & suffix_dedup.MOST)) == [(0, 0, 7), (0, 9, 0), (1, 3, 1)]
+    long = suffix_dedup._merged(np.array([0]), np.array([7]), np.array([3 * suffix_dedup.MOST]))[1]
+    assert sum((long & suffix_dedup.MOST) + 1) == 3 * suffix_dedup.MOST + 1
+    text = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 400))
+    same = spark.createDataFrame([(3, text), (3, text), (4, text[:250])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(same).collect())
+    assert got == [(3, 0), (3, 0), (4, 250)]  # rows that repeat a document are one document
+
+
 def test_suffix_dedup_odd_rows(odd, empty):
     from trendloom.llm.suffix_dedup import remove_repeats
 

@@ -14,9 +14,12 @@ own text, and equal strings have equal names everywhere. Spark sorts (name, posi
 * At 100 bytes, from the pair of 64-byte names at p and p + 36, for every string of those runs.
 
 A task first settles what repeats within its own batch, so a passage that a third of all documents hold sends one row
-from each batch, not from each document. Rows that need only to be kept apart get a key of their own.
+from each batch, not from each document, and joins settled runs that touch, so a very long text that repeats itself is
+a few intervals. Rows that need only to be kept apart get a key of their own. What is gathered for a document are
+intervals of it, fewer than its bytes.
 
-Defined cases: null text counts as empty; texts shorter than the threshold keep everything; rows that repeat a doc_id
+Defined cases: null text counts as empty; texts shorter than the threshold keep everything; very long texts are named in
+overlapping chunks of `CHUNK` bytes; rows that repeat a doc_id
 with the same text count as one document and get the same result; rows with one doc_id and different texts are
 ordered by a hash of the text; a null doc_id sorts first; an empty table gives no rows; extra columns are ignored.
 Names are 64 bits, compared together with a second name of 64 bits within an anchor and 24 bits at the last sort.
@@ -40,7 +43,9 @@ from trendloom.llm.encode import slices
 ANCHOR = 32
 NO_ID = -(1 << 63)
 CHUNK = 1 << 20
-LEN_BITS, CHECK_BITS = 7, 24
+#: A word is a place and, in its low bits, how many strings more follow it (or, while strings are compared, a check).
+LEN_BITS = CHECK_BITS = 24
+MOST = (1 << LEN_BITS) - 1
 SLICE = 48 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,6 +85,24 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of string starts joined where they touch: documents and words, so a text that repeats itself all along is a
+    few rows whatever its length."""
+    order = np.lexsort((start, doc))
+    doc, start, last = doc[order], start[order], start[order] + span[order]
+    if len(doc):
+        shift = doc.astype(np.int64) * (int(last.max()) + 2)  # documents apart on one line
+        reach = np.maximum.accumulate(last + shift)
+        head = np.flatnonzero(np.r_[True, (start[1:] + shift[1:] > reach[:-1] + 1) | (doc[1:] != doc[:-1])])
+        tail = np.r_[head[1:], len(doc)] - 1
+        doc, start, last = doc[head], start[head], reach[tail] - shift[tail]
+    pieces = (last - start) // (MOST + 1) + 1
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    doc, start, last = (np.repeat(x, pieces) for x in (doc, start, last))
+    start = start + nth * (MOST + 1)
+    return doc, (start << LEN_BITS) | np.minimum(last - start, MOST)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -148,9 +171,12 @@ def _anchor_rows(threshold: int):
             key = name.copy()
             apart = fresh & same_name
             key[apart] = content[apart] * M2 ^ name[apart]
-            key[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + dd[again].view(np.uint64) * M1
             # 0: alone with its name here, 1: its name has other contents here, 2: repeats an earlier run for certain
-            settled = np.where(again, 2, np.where(many, 1, 0)).astype(np.int32)
+            settled = np.where(many, 1, 0).astype(np.int32)
+            at, gone = _merged(doc[order][again], start[order][again], span[order][again])
+            lone = np.arange(len(at), dtype=np.uint64) * M2 + d[at].view(np.uint64) * M1
+            zero = np.zeros(len(at), np.uint64)
+            key, name, content, dd, tt, word, settled = (np.r_[a[fresh], b] for a, b in zip((key, name, content, dd, tt, word, settled), (lone, zero, zero, d[at], tag[at], gone, np.full(len(at), 2, np.int32))))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(name)), pa.array(_signed(content)), pa.array(dd), pa.array(tt), pa.array(word), pa.array(settled)], ["key", "name", "content", "d", "tag", "word", "settled"])
         give_back()
 
@@ -169,7 +195,7 @@ def _string_rows(threshold: int):
             at = offsets[np.repeat(np.arange(len(batch)), np.diff(np.asarray(runs.offsets)))] + (packed >> LEN_BITS)
             mark = np.zeros(len(data) + 1, np.int8)  # runs of a document do not overlap
             np.add.at(mark, at, 1)
-            np.add.at(mark, at + (packed & ((1 << LEN_BITS) - 1)) + 1, -1)
+            np.add.at(mark, at + (packed & MOST) + 1, -1)
             wanted = np.cumsum(mark, dtype=np.int8)[:-1] > 0
             got = []
             for part, doc, start, at in _text_parts(d, offsets, data, threshold):
@@ -185,8 +211,11 @@ def _string_rows(threshold: int):
             order = np.lexsort((start, tag[doc], d[doc], check, name))
             name, check, doc, start = name[order], check[order], doc[order], start[order]
             again = np.r_[False, (name[1:] == name[:-1]) & (check[1:] == check[:-1])]
-            name[again] = np.arange(again.sum(), dtype=np.uint64) * M2 + d[doc[again]].view(np.uint64) * M1
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(d[doc]), pa.array(tag[doc]), pa.array((start << CHECK_BITS) | check), pa.array(again)], ["key", "d", "tag", "word", "settled"])
+            at, gone = _merged(doc[again], start[again], np.zeros(int(again.sum()), np.int64))
+            lone = np.arange(len(at), dtype=np.uint64) * M2 + d[at].view(np.uint64) * M1
+            name, doc = np.r_[name[~again], lone], np.r_[doc[~again], at]
+            word, settled = np.r_[((start << CHECK_BITS) | check)[~again], gone], np.arange(len(doc)) >= len(doc) - len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(d[doc]), pa.array(tag[doc]), pa.array(word), pa.array(settled)], ["key", "d", "tag", "word", "settled"])
         give_back()
 
     return run
@@ -199,18 +228,14 @@ def _removed(threshold: int, with_text: bool):
         for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(1), SLICE)):
             offsets, data = _bytes_of(batch.column(1))
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            runs, starts = batch.column(2), batch.column(3)
-            ro, so = np.asarray(runs.offsets), np.asarray(starts.offsets)
-            rv, sv = np.asarray(runs.values), np.asarray(starts.values)
-            ok_r, ok_s = np.asarray(runs.is_valid()), np.asarray(starts.is_valid())
+            lists = [(np.asarray(c.offsets), np.asarray(c.values), np.asarray(c.is_valid())) for c in (batch.column(2), batch.column(3))]
             for i in range(len(batch)):
                 text = data[offsets[i] : offsets[i + 1]]
-                r = rv[ro[i] : ro[i + 1]] if ok_r[i] else rv[:0]
-                s = sv[so[i] : so[i + 1]] if ok_s[i] else sv[:0]
+                words = np.concatenate([v[o[i] : o[i + 1]] if ok[i] else v[:0] for o, v, ok in lists])
                 spans = 0
-                if len(r) or len(s):
-                    lo = np.r_[r >> LEN_BITS, s]
-                    hi = np.r_[(r >> LEN_BITS) + (r & ((1 << LEN_BITS) - 1)), s] + threshold
+                if len(words):
+                    lo = words >> LEN_BITS
+                    hi = lo + (words & MOST) + threshold
                     mark = np.zeros(len(text) + 1, np.int32)
                     np.add.at(mark, lo, 1)
                     np.add.at(mark, hi, -1)
@@ -241,18 +266,20 @@ def _removed(threshold: int, with_text: bool):
 def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, with `kept` (the text left, without characters
     cut in half) if with_text, and the columns in `carry` as they are. threshold: 2 * 32 to 128 bytes."""
-    if not 2 * ANCHOR <= threshold < ANCHOR + (1 << LEN_BITS):
+    if not 2 * ANCHOR <= threshold < 160:
         raise ValueError("threshold must be from 64 to 159")
     n = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     # Only where a doc_id has several texts do positions need more than the doc_id to name their document.
     hashed = F.xxhash64(text)
-    several = docs.groupBy(d.alias("d")).agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).filter("a <> b").limit(1).count()
+    by_id = docs.groupBy(d.alias("d")).agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"), F.count("*").alias("n"))
+    several, repeated = by_id.agg(F.max(F.col("a") != F.col("b")), F.max(F.col("n") > 1)).first()
     rows = docs.select(d.alias("d"), (hashed if several else F.lit(0).cast("long")).alias("tag"), text.alias("text"), F.col("doc_id").cast("long").alias("id"), *(F.col(c).alias(f"c_{c}") for c in carry))
 
     # Sort at 32 bytes.
-    anchors = rows.select("d", "tag", "text").mapInArrow(_anchor_rows(threshold), "key long, name long, content long, d long, tag long, word long, settled int")
+    once = rows.dropDuplicates(["d", "tag"]) if repeated else rows
+    anchors = once.select("d", "tag", "text").mapInArrow(_anchor_rows(threshold), "key long, name long, content long, d long, tag long, word long, settled int")
     dealt = anchors.repartition(n, "key")
     by_content = Window.partitionBy("key", "name", "content").orderBy("d", "tag", "word")
     by_name = Window.partitionBy("key")
@@ -268,11 +295,13 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = Fals
     placed = rows.repartition(n, *keys)
     used = ["id", *(f"c_{c}" for c in carry)]
     open_ = runs.filter(F.size("open") > 0).select(*keys, "open")
-    strings = placed.join(open_.hint("shuffle_hash"), keys).select("d", "tag", "text", "open", *used).mapInArrow(_string_rows(threshold), "key long, d long, tag long, word long, settled boolean")
+    compared = once.repartition(n, *keys) if repeated else placed
+    strings = compared.join(open_.hint("shuffle_hash"), keys).select("d", "tag", "text", "open", *used).mapInArrow(_string_rows(threshold), "key long, d long, tag long, word long, settled boolean")
     order = Window.partitionBy("key", "check").orderBy("d", "tag", "word")
     checked = strings.repartition(n, "key").withColumn("check", F.col("word").bitwiseAND((1 << CHECK_BITS) - 1))
     later = checked.withColumn("rank", F.row_number().over(order)).filter(F.col("settled") | (F.col("rank") > 1))
-    starts = later.groupBy("d", "tag").agg(F.collect_set(F.shiftright("word", CHECK_BITS)).alias("starts"))
+    place = F.when(F.col("settled"), F.col("word")).otherwise(F.shiftleft(F.shiftright("word", CHECK_BITS), CHECK_BITS))
+    starts = later.groupBy("d", "tag").agg(F.collect_set(place).alias("starts"))
     found = runs.filter(F.size("runs") > 0).select("d", "tag", "runs").join(starts, ["d", "tag"], "full")
     out = placed.join(found.select(*keys, "runs", "starts").hint("shuffle_hash"), keys, "left").select("id", "text", "runs", "starts", *used[1:])
     kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
