@@ -679,6 +679,14 @@ def test_packing_keeps_every_limit(spark, rule):
         best_fit(np.array([200]), (128, 3, 9000))
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    from trendloom.llm import packing
+
+    pieces = spark.createDataFrame([(i, 0, 0, 100 + i, i, "g", "x") for i in range(50)], "doc_id long, row long, piece int, length long, start long, `group` string, sequence string")
+    got = packing.pack(pieces).collect()
+    assert len(got) == 50 and {(r["group"], r["sequence"]) for r in got} == {("g", "x")}
+
+
 def test_packing_odd_rows(odd, empty):
     from trendloom.llm.packing import encode_pieces, pack
 

@@ -8,7 +8,8 @@ piece may enter a bin only if it fits every one of them, and goes to the feasibl
 largest weighted dot product of need and residual ("dot") or the smallest weighted norm of what would remain
 ("norm"). A group wastes at most about half a sequence, whatever its size.
 
-Defined cases: null and empty texts are one piece of the end id; repeated rows are packed each for itself; an empty
+Defined cases: null and empty texts are one piece of the end id; a very long text is encoded whole, its full pieces are
+sequences of their own; repeated rows are packed each for itself; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -102,6 +103,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, m
     part = pieces.filter(~alone)
     groups = max(1, -(-part.count() // group_pieces))
     keys = [c for c in ("doc_id", "row", "piece") if c in pieces.columns]
+    group = "_".join(["group", *pieces.columns])  # no column has this name
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *keys], ascending=[False, *[True] * len(keys)], kind="stable").reset_index(drop=True)
@@ -113,10 +115,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, m
         offset = np.empty(len(n), np.int64)
         offset[order] = before - before[np.maximum.accumulate(np.where(first, np.arange(len(n)), 0))]
         # group numbers are even, sequences of full pieces are odd
-        return pdf.assign(sequence_id=(where * groups + pdf["group"].to_numpy(np.int64)) * 2, offset=offset).drop(columns="group")
+        return pdf.assign(sequence_id=(where * groups + pdf[group].to_numpy(np.int64)) * 2, offset=offset).drop(columns=group)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    packed = part.withColumn("group", F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy("group").applyInPandas(place, kinds)
+    packed = part.withColumn(group, F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy(group).applyInPandas(place, kinds)
     full = pieces.filter(alone).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)
 

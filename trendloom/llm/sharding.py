@@ -6,7 +6,7 @@ every shard by a second seeded hash into buckets of about `bucket_bytes`; pass t
 (Fisher-Yates, seeded by the bucket) and writes it. A record's slot is the number of records in the shard's earlier
 buckets plus its place in its own; bucket sizes are read from the written table.
 
-Defined cases: null text counts 0 bytes (size 1) and has crc32 0; a null doc_id is a key like any other; rows
+Defined cases: null text counts 0 bytes (size 1) and has crc32 0; a very long text is one record of its bucket; a null doc_id is a key like any other; rows
 that repeat a doc_id go to one shard and are scattered over its buckets by their text; equal rows are
 interchangeable; empty shards have no files; extra columns are written along when asked for (`keep`), under names of
 their own.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendloom.llm.common import new_dir
+from trendloom.llm.common import new_dir, shuffle_partitions
 
 BUCKET_BYTES = 16 << 20
 
@@ -56,7 +56,8 @@ def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes:
         table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
         return table.take(pa.array(fisher_yates(len(table), [seed, *at]))).append_column("place", pa.array(np.arange(len(table)), pa.int64()))
 
-    scattered.groupBy("shard", "bucket").applyInArrow(shuffle, kinds).write.partitionBy("shard").parquet(folder)
+    parts = max(shuffle_partitions(spark), shards * int(buckets))  # a partition for each bucket: tasks do not grow
+    scattered.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffle, kinds).write.partitionBy("shard").parquet(folder)
     return spark.read.schema(kinds).parquet(folder)
 
 

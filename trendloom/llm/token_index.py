@@ -7,11 +7,15 @@ Documents are range-partitioned by doc_id; each partition becomes one shard, sor
 ``shard-NNNNN.idx``  keys in document order, their id counts, the bit levels of a minimal perfect hash over the
                      distinct keys, and for each hash slot a 32-bit fingerprint and the first record of the key
 
-A manifest (one small row per shard) has every shard's key range and the number of ids before it, so a key is found
-with one binary search over shards, one hash probe and one seek. The hash is built level by level: keys that fall
-alone on a bit of a level stay there, the others go on to the next; the slot is the rank of the key's bit.
+A manifest (a written table, one small row per shard) has every shard's key range and the number of ids before it, so a
+key is found with one binary search over shards, one hash probe and one seek. The fingerprint turns foreign keys away
+without a look at the keys. The hash is built level by level: keys that fall alone on a bit of a level stay there, the
+others go on to the next; the slot is the rank of the key's bit.
 
-Defined cases: null text has only the end id; a repeated doc_id keeps all its rows, in the order of a hash of their texts, and
+Shards hold `SHARD_BYTES` of text, larger ones where there would be over `MOST_SHARDS` of them, so what the driver samples
+and counts stays small. Files are written and read back in pieces: memory does not grow with a shard.
+
+Defined cases: null text has only the end id; very long texts are encoded whole; a repeated doc_id keeps all its rows, in the order of a hash of their texts, and
 the index leads to the first of them; rows with a null doc_id come first and have no key; an empty table has no shard.
 Extra columns of the input are ignored.
 """
@@ -29,14 +33,17 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trendloom.llm.common import new_dir
+from trendloom.llm.common import new_dir, stash
 from trendloom.llm.encode import encoder, end_of_task, slices
 
 GAMMA = 2.0
 MAGIC = b"TLMPH001"
-#: Text bytes aimed at for a shard; memory of a task is a small multiple.
-SHARD_BYTES = 24 << 20
+#: Text bytes aimed at for a shard, and the most shards of a store.
+SHARD_BYTES, MOST_SHARDS = 24 << 20, 50_000
+#: Bytes of ids read at once.
+PIECE = 32 << 20
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -162,14 +169,14 @@ def _read_file(folder: str, name: str) -> bytes:
 def write_token_index(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode docs(doc_id, text), write the shards, return their folder and the manifest.
 
-    Files carry the task attempt in their name, and the manifest names those of the attempts that counted, so a
-    retried task leaves no mixed shard. The driver only sees the manifest: a row per shard.
+    Files carry the task attempt in their name, and the manifest, written by the same job, names those of the attempts
+    that counted, so a retried task leaves no mixed shard. The driver sees none of it.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, -(-total // max(shard_bytes, -(-total // MOST_SHARDS))))
     # Range bounds are sampled to the driver, so they are made of numbers only.
     ordered = rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
@@ -205,13 +212,16 @@ def write_token_index(docs: DataFrame, tokenizer_path: str, end_id: int = 0, sha
             known = index.keys[index.has_key]
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [name], "width": [width.itemsize], "n_docs": [len(index.keys)], "n_tokens": [int(index.sizes.sum())], "first_key": pa.array([int(known[0]) if len(known) else None], pa.int64()), "last_key": pa.array([int(known[-1]) if len(known) else None], pa.int64())})
 
-    manifest = ordered.mapInArrow(write, "shard long, name string, width long, n_docs long, n_tokens long, first_key long, last_key long").collect()
-    before, out = 0, []
-    for m in sorted(manifest, key=lambda m: m["shard"]):
-        out.append((*m, before))
-        before += m["n_tokens"]
-    kinds = "shard long, name string, width long, n_docs long, n_tokens long, first_key long, last_key long, start long"
-    return folder, spark.createDataFrame(out, kinds)
+    manifest = stash(ordered.mapInArrow(write, "shard long, name string, width long, n_docs long, n_tokens long, first_key long, last_key long"), "manifest")
+    before = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # of one row per shard
+    return folder, manifest.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of records with about so many ids together; a long one may stand alone."""
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(sizes)]
+    return ((int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]) if a < b)
 
 
 def read_documents(folder: str, manifest: DataFrame) -> DataFrame:
@@ -221,12 +231,18 @@ def read_documents(folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for m in batch.to_pylist():
                 index = ShardIndex.load(_read_file(folder, f"{m['name']}.idx"))
-                ids = np.frombuffer(_read_file(folder, f"{m['name']}.bin"), f"<u{m['width']}")
                 found = index.find(index.keys)
                 again = np.r_[False, (index.keys[1:] == index.keys[:-1]) & index.has_key[1:] & index.has_key[:-1]]
                 rec = np.where(index.has_key & ~again, found, np.arange(len(index.keys)))
                 start, size = index.starts[rec], index.sizes[rec]
-                crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start, size)]
+                crc: list[int] = []
+                where, base = fs.FileSystem.from_uri(folder)
+                with where.open_input_file(f"{base}/{m['name']}.bin") as f:
+                    for a, b in _pieces(size, PIECE // m["width"]):
+                        f.seek(int(start[a]) * m["width"])
+                        ids = np.frombuffer(f.read(int(size[a:b].sum()) * m["width"]), f"<u{m['width']}")
+                        at = start[a:b] - start[a]
+                        crc += [zlib.crc32(ids[x : x + n].astype("<u4").tobytes()) for x, n in zip(at, size[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(index.keys, pa.int64(), mask=~index.has_key), pa.array(m["start"] + start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(rec), m["shard"]), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     spark = manifest.sparkSession
@@ -236,15 +252,18 @@ def read_documents(folder: str, manifest: DataFrame) -> DataFrame:
 
 
 class TokenStore:
-    """Keyed reads on a written folder, for one process: binary search over shards, hash probe, one ranged read."""
+    """Keyed reads on a written folder, for one process: binary search over shards, hash probe, one ranged read. The index
+    of a shard is loaded when it is first asked for and kept."""
 
     def __init__(self, folder: str, manifest: DataFrame):
-        self.folder, self.shards = folder, [m for m in manifest.orderBy("shard").collect() if m["first_key"] is not None]
+        self.folder, self.shards = folder, manifest.filter("first_key is not null").orderBy("shard").collect()
+        self._last = np.array([m["last_key"] for m in self.shards], np.int64)
         self._index: dict[str, ShardIndex] = {}
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids of a document, or None."""
-        for m in self.shards[max(0, np.searchsorted([s["last_key"] for s in self.shards], key)) :]:
+        for at in range(int(np.searchsorted(self._last, key)), len(self.shards)):
+            m = self.shards[at]
             if key < m["first_key"]:
                 return None
             if m["name"] not in self._index:
