@@ -11,7 +11,8 @@ sample last, so lists of shared passages stay out of the prefixes of other texts
 
 A list of n postings has n^2 pairs, nearly all of them inside groups of copies. So the pairs of the index and those of
 neighbours by size in a list come first; what that verifies becomes components, and only pairs of different components are made from the lists then. Pairs pass
-bounds on size and position that no linked pair fails, and are verified on the texts themselves.
+bounds on size and position that no linked pair fails, then a bound on sketches of 2,048 parities, which drops nearly all
+others, and are verified on the texts themselves.
 
 Defined cases: texts of fewer words are one shingle; null and blank texts have no shingle and equal each other; rows
 that share a doc_id are one document; rows with a null doc_id link nothing; an empty table gives no rows.
@@ -34,6 +35,7 @@ from trendloom.llm.graph import connected_components
 
 WIDTH = 5
 SAMPLE, FREQUENT, KNOWN_WORDS = 5_000, 100_000, 200_000
+SKETCH_BITS = 2048
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +69,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by place: two sketches differ in as many bits as the sets differ in shingles, or fewer."""
+    counts = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
     return (t.as_py() for t in batch.column(name).cast(pa.large_binary()))
 
@@ -80,12 +88,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(often: np.ndarray, count: np.ndarray):
-    """(doc_id, text) in; doc_id, n, a hash of the set and its prefix out. often: sorted frequent shingles."""
+    """(doc_id, text) in; doc_id, n, a hash of the set, its prefix and its sketch out. often: sorted frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingles()
         for batch in batches:
-            size, whole, prefix = [], [], []
+            size, whole, prefix, marks = [], [], [], []
             for t in _texts(batch, "text"):
                 s = cut(t)
                 n = len(s)
@@ -94,11 +102,12 @@ def _prefixes(often: np.ndarray, count: np.ndarray):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     weight = np.where(often[at] == s, count[at], 0)
                 size.append(n)
+                marks.append(sketch(s))
                 whole.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 prefix.append(s[np.lexsort((s, weight))[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
             ends = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *prefix])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "whole", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n", "whole", "prefix", "sketch"])
         give_back()
 
     return run
@@ -134,6 +143,13 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose sketches differ in no more bits than sets of similarity 0.8 differ in shingles, (n + m) / 9."""
+    a, b = (sketches.select(F.col("rep").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_s")) for end in ("u", "v"))
+    apart = F.aggregate(F.zip_with("u_s", "v_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    return pairs.join(a, "u").join(b, "v").filter(9 * apart <= F.col("u_n") + F.col("v_n")).select("u", "v")
+
+
 def similar_groups(docs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id reachable over links; null for a null doc_id).
     candidates: pairs (u, v) of doc_ids to try first."""
@@ -146,11 +162,12 @@ def similar_groups(docs: DataFrame, candidates: DataFrame | None = None) -> Data
     often = np.array([r["h"] for r in seen], np.int64).view(np.uint64)
     count = np.array([r["count"] for r in seen], np.int64)
     order = np.argsort(often)
-    marked = stash(texts.mapInArrow(_prefixes(often[order], count[order]), "doc_id long, n int, whole long, prefix array<long>"), "prefixes")
+    marked = stash(texts.mapInArrow(_prefixes(often[order], count[order]), "doc_id long, n int, whole long, prefix array<long>, sketch array<long>"), "prefixes")
 
     # A class of equal sets is one node, named by its smallest doc_id.
     named = marked.filter("doc_id is not null")
     nodes = named.groupBy("whole", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    sketches = stash(named.groupBy("whole", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).select("rep", "n", "sketch"), "sketches")
     lists = Window.partitionBy("token").orderBy("n", "rep")
     posted = nodes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition(parts, "token")
     before = {c: F.lag(c).over(lists) for c in ("rep", "n", "pos")}
@@ -159,15 +176,23 @@ def similar_groups(docs: DataFrame, candidates: DataFrame | None = None) -> Data
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     fits = _may_link(F.col("n"), F.col("pos"), F.col("last_n"), F.col("last_pos")) & (F.col("rep") != F.col("last_rep"))
     near = listed.filter(fits).select(*pair("rep", "last_rep"))
+    seeds, asked = None, None
     if candidates is not None:
-        first = named.join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select("doc_id", "rep")
-        a, b = (first.select(F.col("doc_id").alias(end), F.col("rep").alias(f"{end}_rep")) for end in ("u", "v"))
-        near = near.unionByName(candidates.join(a, "u").join(b, "v").filter("u_rep <> v_rep").select(*pair("u_rep", "v_rep")))
-    tried = stash(near.distinct(), "pairs")
+        first = named.join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select("doc_id", "rep", "n")
+        a, b = (first.select(F.col("doc_id").alias(end), F.col("rep").alias(f"{end}_rep"), F.col("n").alias(f"{end}_n")) for end in ("u", "v"))
+        alike = (F.col("u_rep") != F.col("v_rep")) & (5 * F.least("u_n", "v_n") >= 4 * F.greatest("u_n", "v_n"))
+        asked = stash(_plausible(candidates.join(a, "u").join(b, "v").filter(alike).select(*pair("u_rep", "v_rep")).distinct(), sketches), "pairs")
+        seeds = stash(_verified(asked, texts, at_once), "links")
+        # What the candidates have joined need not be tried again.
+        c = stash(connected_components(seeds), "components")
+        a, b = (c.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")) for end in ("u", "v"))
+        near = near.distinct().join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("u_c", "u") != F.coalesce("v_c", "v")).select("u", "v")
+    tried = stash(_plausible(near.distinct(), sketches), "pairs")
     # Rows that repeat a doc_id with different sets join their classes.
     ids = named.groupBy("doc_id").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x <> y").select("doc_id")
     several = named.join(ids, "doc_id").join(nodes.select("whole", "n", "rep"), ["whole", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    links = stash(_verified(tried, texts, at_once).unionByName(several), "links")
+    found = _verified(tried, texts, at_once).unionByName(several)
+    links = stash(found if seeds is None else found.unionByName(seeds), "links")
 
     # Pairs of different components that share a list.
     grown = stash(connected_components(links), "components")
@@ -177,7 +202,8 @@ def similar_groups(docs: DataFrame, candidates: DataFrame | None = None) -> Data
     a, b = open_.alias("a"), open_.alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.c") < F.col("b.c")) & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
     rest = a.join(b, meet).select(*pair("a.rep", "b.rep")).distinct()
-    more = stash(_verified(stash(rest.join(tried, ["u", "v"], "left_anti"), "pairs"), texts, at_once), "links")
+    known = tried if asked is None else tried.unionByName(asked)
+    more = stash(_verified(stash(_plausible(rest.join(known, ["u", "v"], "left_anti"), sketches), "pairs"), texts, at_once), "links")
     if more.limit(1).count():
         grown = connected_components(links.unionByName(more))
     classes = nodes.select("whole", "n", "rep")
