@@ -173,3 +173,55 @@ def test_publish_is_compare_and_set(spark, tmp_path):
 def test_missing_file_is_an_empty_table(spark, tmp_path):
     assert files.read_json(spark, f"file://{tmp_path}/none.json", "a int").count() == 0
     assert files.seal(spark.range(5)) == files.seal(spark.range(5).repartition(3))
+
+
+def test_turkish_order_and_folding(spark):
+    from trendloom.functions import names
+    from trendloom.operators import scopes
+
+    words = ["İnci", "Ipek", "Dal", "Çanta", "Cep", "Şal", "Su"]
+    t = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.w for r in t.orderBy(scopes.turkish("w")).collect()] == ["Cep", "Çanta", "Dal", "Ipek", "İnci", "Su", "Şal"]
+    row = spark.createDataFrame([("Ça\u0301vė Ōst",)], "w string").select(names.without_marks("w").alias("p"), names.brand_key("w").alias("k")).first()
+    assert (row.p, row.k) == ("Cave Ost", "caveost")
+
+
+def test_manifest_shards_and_single_file(spark, tmp_path):
+    path = f"file://{tmp_path}/set"
+    assert files.read_manifest(spark, path, "id long").count() == 0
+    assert files.write_sorted_shards(spark.range(1000), f"{path}/out", "id", shard_bytes=4000) > 1
+    (tmp_path / "set/b.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (tmp_path / "set/a.json").write_text('{"id": 3}\n')
+    (tmp_path / "set/all.json").write_text('[{"id": 9}]')
+    assert [(r.id, r.shard) for r in files.read_manifest(spark, path, "id long").collect()] == [(9, 0)]
+    (tmp_path / "set/manifest.json").write_text('{"shards": ["b.json", "a.json"]}')
+    assert sorted((r.id, r.shard) for r in files.read_manifest(spark, path, "id long").collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_paged_source(spark, tmp_path):
+    from trendloom.sources.paged import JsonPages
+
+    (tmp_path / "p1.json").write_text('[{"id": "a", "title": "x"}, {"id": "b"}]')
+    (tmp_path / "p2.json").write_text('[{"id": "c", "title": "y"}]')
+    spark.dataSource.register(JsonPages)
+    got = spark.read.format("json_pages").option("path", f"{tmp_path}/p{{page}}.json").option("pages", "5").load().collect()
+    assert sorted((r.page, r.id, r.title) for r in got) == [(1, "a", "x"), (1, "b", None), (2, "c", "y")]
+
+
+def test_fields_and_images_of_pages(spark):
+    html = """<html lang="en"><meta property="og:image" content="//c.d/m.jpg"><h1>A &amp; B</h1><img src="/i.jpg"><img src="/i.jpg"></html>"""
+    page = spark.createDataFrame([(html, "https://h.io/x", "Upper: Calf | Toe Shape: round\nHeel Height: 5 cm")], "h string, u string, d string")
+    fields = extract.described(F.col("d"))
+    row = extract.extract(page, "h", extract.SPECS["plain"]).select("title", "language", extract.product_images(F.col("h"), F.col("u")).alias("images"), *(c.alias(k) for k, c in fields.items())).first()
+    assert (row.title, row.language, row.images) == ("A & B", "en", ["https://c.d/m.jpg"])
+    assert (row.material, row.toe, row.height, row.details) == ("Calf", "round", "5 cm", None)
+
+
+def test_repeated_batches_are_left(spark):
+    from trendloom.streaming import stateful
+
+    seen: dict = {}
+    sink = stateful.last_good_sink(lambda b, i: seen.setdefault(i, b.count()), lambda b: b.count() > 0, seen.__contains__)
+    for batch, n in ((0, 3), (1, 0), (0, 9), (2, 2)):
+        sink(spark.range(n), batch)
+    assert seen == {0: 3, 2: 2}

@@ -40,10 +40,6 @@ def within_period(ts: str | Column, reference: Column, days: float) -> Column:
     return F.coalesce(days_between(ts, reference) <= days, F.lit(False))
 
 
-def parse_iso(c: str | Column) -> Column:
-    return F.try_to_timestamp(col(c))
-
-
 def is_strict_iso(c: str | Column) -> Column:
     """True if the text is exactly the millisecond UTC form of the instant it names."""
     form = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
-#: Kinds of evidence, strongest first.
-EVIDENCE = ("EXPLICIT_DATE", "NEW_ARRIVALS_COLLECTION", "CATALOG_DIFF", "NEW_BADGE")
 
 
 def known(c: Column) -> Column:
@@ -26,10 +24,6 @@ def conflicts(text: Column, vision: Column) -> Column:
     return known(text) & known(vision) & (text != vision)
 
 
-def evidence_rank(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for i, k in enumerate(EVIDENCE) for x in (k, i)])[kind], F.lit(len(EVIDENCE)))
-
-
 def stability(observed: DataFrame, expected: DataFrame, key: list[str], run: str, value: str, runs: int) -> DataFrame:
     """For each expected key: STABLE_YES or STABLE_NO if all runs agree, UNSTABLE if not, INCOMPLETE_RUN if one lacks it.
 

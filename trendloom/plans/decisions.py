@@ -170,3 +170,72 @@ def strongest_evidence(spark, sf):
     rows = _of(spark, sf, "lineitem", "l_suppkey", "CASE WHEN l_quantity > 25 THEN 'NEW_ARRIVALS_COLLECTION' END AS a", "CASE WHEN l_discount > 0.05 THEN 'CATALOG_DIFF' ELSE 'NEW_BADGE' END AS b")
     best = S.stronger(F.col("a"), F.col("b"))
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(best == "NEW_ARRIVALS_COLLECTION").alias("by_collection"))
+
+
+# Rules on what a part's name and stand-in fields say.
+_HEEL = "CASE p_size % 6 WHEN 0 THEN 'Block Heel' WHEN 1 THEN 'kitten' WHEN 2 THEN 'round' ELSE '' END"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, p_type, p_size % 6 AS k, {_HEEL} AS heel FROM part)
+SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'WEDGE' WHEN k = 0 THEN 'BLOCK' WHEN k = 1 THEN 'KITTEN' WHEN k = 2 THEN 'OTHER' ELSE 'UNKNOWN' END AS heel, CASE k WHEN 0 THEN 'POINTED' WHEN 1 THEN 'SQUARE' ELSE 'UNKNOWN' END AS toe,
+  array_to_string(list_filter([CASE WHEN p_type = 'PROMO' THEN 'BACKLESS' END, CASE WHEN k = 2 THEN 'SLINGBACK' END, CASE WHEN k = 3 THEN 'T_STRAP' END], lambda x: x IS NOT NULL), ',') AS construction FROM t""")
+def heel_toe_construction(spark, sf):
+    from trendloom.functions import rules as T
+
+    p = _of(spark, sf, "part", "p_partkey", "CASE WHEN p_type = 'PROMO' THEN 'WEDGE' END AS c", "CASE WHEN p_type = 'PROMO' THEN 'MULE' END AS m", f"{_HEEL} AS heel", "CASE p_size % 6 WHEN 0 THEN 'pointed toe' WHEN 1 THEN 'Square Toe' WHEN 2 THEN 'a Slingback' WHEN 3 THEN 't-strap' ELSE '' END AS said", "'' AS none")
+    return p.select("p_partkey", T.heel_type("heel", "none", "none", "c").alias("heel"), T.toe_shape("said", "none", "none").alias("toe"), F.array_join(T.construction("m", "said"), ",").alias("construction"))
+
+
+@query("""
+WITH q AS (SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'DONE' ELSE 'WAITING' END AS s, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS r, o_orderkey % 50 = 49 AS fresh, o_totalprice FROM orders), d AS (SELECT * FROM q WHERE s <> 'DONE' AND (r IS NULL OR r <= TIMESTAMP '1998-01-01')),
+b AS (SELECT * FROM d ORDER BY o_totalprice DESC, key LIMIT 9), l AS (SELECT * FROM d WHERE key NOT IN (SELECT key FROM b) ORDER BY (NOT (fresh AND NOT (SELECT bool_or(fresh) FROM b)))::INT, o_totalprice DESC, key LIMIT 1)
+SELECT key FROM b UNION ALL SELECT key FROM l""")
+def onboarding_candidates(spark, sf):
+    from trendloom.operators import schedule
+
+    q = _of(spark, sf, "orders", "o_orderkey AS key", "CASE o_orderstatus WHEN 'F' THEN 'DONE' ELSE 'WAITING' END AS s", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS r", "o_totalprice")
+    ready = q.filter(schedule.due(F.col("s"), F.col("r"), _ts("1998-01-01")))
+    return schedule.select_candidates(ready, [F.desc("o_totalprice"), F.asc("key")], 10, F.col("key") % 50 == 49).select("key")
+
+
+@query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)<img\b[^>]*?\bsrc\s*=\s*["'']([^"'']*)["'']', 1))) AS images FROM pages""")
+def html_images(spark, sf):
+    from trendloom.sources import extract
+
+    return _read(spark, sf, "pages").select("page_id", F.size(extract.images(F.col("html"))).cast("long").alias("images"))
+
+
+@query("SELECT o_custkey, array_to_string(list_distinct_in_order, ',') AS statuses FROM (SELECT o_custkey, list_filter(['F', 'O', 'P'], lambda x: list_contains(a, x) AND x <> 'P') || list_filter(['P', 'F', 'O'], lambda x: x = 'P') AS list_distinct_in_order FROM (SELECT o_custkey, list(DISTINCT o_orderstatus) AS a FROM orders GROUP BY 1))")
+def ordered_union(spark, sf):
+    from trendloom.functions.expr import union_keep_order
+
+    o = _read(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderstatus")).alias("a"))
+    own = F.filter("a", lambda x: x != "P")
+    return o.select("o_custkey", F.array_join(union_keep_order(own, F.array(F.lit("P")), own), ",").alias("statuses"))
+
+
+@query("SELECT direction, p_name, place FROM (SELECT CASE WHEN p_size > 25 THEN 'early' ELSE 'commercial' END AS direction, p_name, row_number() OVER (PARTITION BY p_size > 25 ORDER BY p_size DESC, p_partkey) AS place FROM part) WHERE place <= 6")
+def early_and_commercial(spark, sf):
+    from trendloom.operators import radar
+
+    p = _of(spark, sf, "part", "CASE WHEN p_size > 25 THEN 'early' ELSE 'commercial' END AS direction", "p_name", "p_size", "p_partkey")
+    return radar.early_and_commercial(p, "direction", [F.desc("p_size"), F.asc("p_partkey")]).select("direction", "p_name", "place")
+
+
+@query("SELECT user_id, CASE WHEN arg_max(event_type, ts) = 'signup' THEN 'VERIFIED_NEW' WHEN bool_or(event_type = 'signup') THEN 'FORMERLY_NEW' ELSE 'NOT_VERIFIED' END AS status, min(ts) FILTER (event_type = 'signup') AS first_verified FROM events GROUP BY user_id")
+def stream_newness(spark, sf):
+    from trendloom.plans.history import _drain
+    from trendloom.streaming import stateful
+
+    rows = _drain(spark, sf, "newness", lambda e: stateful.newness(e.withColumn("verified", F.col("event_type") == "signup"), "user_id", "ts", "verified"), "update")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("status", "first_verified"), F.col("latest")).alias("s")).select("user_id", "s.*")
+
+
+@query("SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY 1, 2) GROUP BY user_id")
+def sessions(spark, sf):
+    """The session windows of the stream on the whole table at once."""
+    from trendloom.streaming import stateful
+
+    e = _read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stateful.sessions(e, "ts", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))

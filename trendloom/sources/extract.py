@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,22 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)))
 
 
+def _found(html: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), decode_entities))
+
+
 def images(html: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""), F.lit(1)))
+    """Image sources in page order."""
+    return _found(html, r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']""")
+
+
+def product_images(html: Column, base: Column) -> Column:
+    """The images of a product page by the first strategy that finds any: structured data, a gallery's data attributes,
+    the page's own preview image, image tags. Full links, each once."""
+    structured = F.filter(F.transform(json_ld(html), lambda p: p["image"]), lambda u: u.isNotNull() & (u != ""))
+    gallery = _found(html, r"""(?i)\bdata-(?:zoom|large|full|gallery)[a-z-]*\s*=\s*["']([^"']+)["']""")
+    preview = _found(html, r"""(?i)<meta\b[^>]*?\bproperty\s*=\s*["']og:image["'][^>]*?\bcontent\s*=\s*["']([^"']+)["']""")
+    return F.array_distinct(F.transform(with_fallback(structured, gallery, preview, images(html)), lambda u: absolute(u, base)))
 
 
 def absolute(url: Column, base: Column) -> Column:
@@ -67,6 +82,34 @@ class Spec:
     link: str = ""
 
 
+# The labels that introduce a field in a product's description, first match wins.
+LABELS = {
+    "material": ("Materials", "Material", "Fab~", "Upper"),
+    "toe": ("Toe Style", "Toe-shape", "Toe~", "Toe Shape"),
+    "heel": ("Heel Style", "Heel Type", "Features", "Heel~"),
+    "height": ("Heel Height", "Heel:", "Sole height", "Heel~"),
+    "details": ("Closure Type", "Features", "Garment Details"),
+}
+
+
+def described(text: Column) -> dict[str, Column]:
+    """The fields of a description in plain text: what follows a label up to a line's end or a bar."""
+
+    def of(label: str) -> Column:
+        value = F.trim(F.regexp_extract(text, rf"(?i){re.escape(label)}\s*:?\s*([^\n|]+)", 1))
+        return F.when(value != "", value)
+
+    return {name: F.coalesce(*map(of, labels)) for name, labels in LABELS.items()}
+
+
+#: Specifications of common page layouts; a source that needs others adds its own.
+SPECS = {
+    "plain": Spec({"title": r"(?is)<h1[^>]*>(.*?)</h1>", "language": r"""(?i)<html[^>]*\blang=["']([^"']*)["']"""}, r"/p(?:roduct)?s?/"),
+    "open_graph": Spec({"title": r"""(?i)<meta\b[^>]*?og:title["'][^>]*?content=["']([^"']+)["']""", "image": r"""(?i)<meta\b[^>]*?og:image["'][^>]*?content=["']([^"']+)["']""", "price": r"""(?i)<meta\b[^>]*?price:amount["'][^>]*?content=["']([^"']+)["']"""}, r"/products/"),
+    "microdata": Spec({"title": r"""(?is)itemprop=["']name["'][^>]*>(.*?)<""", "price": r"""(?i)itemprop=["']price["'][^>]*?content=["']([^"']+)["']""", "sku": r"""(?is)itemprop=["']sku["'][^>]*>(.*?)<"""}, r"/product/"),
+}
+
+
 def extract(pages: DataFrame, html: str, spec: Spec) -> DataFrame:
     """Add the fields of the specification; a pattern that does not match gives null."""
     out = {name: F.when(F.regexp_extract(F.col(html), pattern, 1) != "", strip_tags(decode_entities(F.regexp_extract(F.col(html), pattern, 1)))) for name, pattern in spec.fields.items()}

@@ -23,6 +23,18 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sharded dataset by its manifest (a JSON file with `shards`: file names), with each row's place in it; without a
+    manifest the one file beside it; without either an empty table."""
+    if not exists(spark, f"{path}/manifest.json"):
+        return read_json(spark, f"{path}/all.json", schema).withColumn("shard", F.lit(0))
+    names = spark.read.schema("shards array<string>").option("multiLine", True).json(f"{path}/manifest.json").first()["shards"]
+    if not names:
+        return spark.createDataFrame([], schema).withColumn("shard", F.lit(0))
+    place = F.array_position(F.array(*map(F.lit, names)), F.element_at(F.split(F.input_file_name(), "/"), -1)) - 1
+    return spark.read.schema(schema).json([f"{path}/{n}" for n in names]).withColumn("shard", place.cast("int"))
+
+
 def write_sorted_shards(table: DataFrame, path: str, key: str, shard_bytes: int = 16 << 20, bytes_per_row: int | None = None) -> int:
     """Write range-partitioned shards of about shard_bytes of JSON, sorted by key; returns their number."""
     size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"] or 0

@@ -43,6 +43,30 @@ def seen_range(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, first_seen timestamp, last_seen timestamp, sightings long", "first long, last long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def newness(events: DataFrame, key: str, ts: str, verified: str) -> DataFrame:
+    """The newness machine as a stream: VERIFIED_NEW while the last sighting of a key is verified, FORMERLY_NEW if an
+    earlier one was, else NOT_VERIFIED; with the first and last verified time. State is three instants and a flag."""
+
+    def update(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, latest, now = state.get if state.exists else (None, None, None, False)
+        for pdf in rows:
+            for at, ok in zip(pdf[ts], pdf[verified]):
+                if pd.isna(at):
+                    continue
+                t, ok = at.value // 1000, bool(ok)
+                if latest is None or t >= latest:
+                    latest, now = t, ok
+                if ok:
+                    first, last = t if first is None else min(first, t), t if last is None else max(last, t)
+        state.update((first, last, latest, now))
+        status = "VERIFIED_NEW" if now else "FORMERLY_NEW" if first is not None else "NOT_VERIFIED"
+        instant = lambda t: None if t is None else pd.Timestamp(t * 1000)
+        yield pd.DataFrame({key: [k[0]], "status": [status], "first_verified": [instant(first)], "last_verified": [instant(last)], "latest": [instant(latest)]})
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, status string, first_verified timestamp, last_verified timestamp, latest timestamp", "first long, last long, latest long, now boolean", "update", GroupStateTimeout.NoTimeout)
+
+
 def last_good_sink(publish, accept, done):
     """A foreachBatch function: publish a batch only if it is accepted. `done(batch_id)` says whether a batch has been
     published before, from what `publish(batch, batch_id)` has kept, so a batch that comes again after a restart is left."""
