@@ -74,6 +74,8 @@ def test_style_codes(spark):
     from trendloom.functions import styles as Y
 
     code = lambda sku, source="x": one(spark, Y.verified_style("k", "s"), k=sku, s=source)
+    assert code("PX2027XNPPSCREAM_35", "paris-texas") == "PX2027XNPPS" and code("PX2027XNPPSBLACKGOLD-36", " Paris-Texas ") == "PX2027XNPPS"
+    assert code("MAUREEN  MS   FLAT 70", "malone-souliers") == "MAUREEN MS FLAT" and code("AB2027", "paris-texas") is None
     assert code("S2217900140013") == "S221790014" and code("L415-STEL-5.0-TEAL-3054") == "L415-STEL"
     assert code("F12A3456-red", "Staud") == "F12A3456" and code("12-3456-x", "staud") == "12-3456"
     assert code("S123456-0001", "alohas") == "S123456" and code("nothing", "alohas") is None

@@ -12,7 +12,7 @@ from trendloom.functions.expr import col, color_from_name, combine_text
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
-# Families and the keywords that name them, first match wins.
+# Colour families and the keywords that name them, in order.
 COLOR_FAMILIES: Rules = (
     ("MULTICOLOR", ("multi", "multicolor", "two-tone", "bicolor")),
     ("BURGUNDY", ("burgundy", "wine", "vino", "oxblood", "maroon")),
@@ -34,6 +34,7 @@ COLOR_FAMILIES: Rules = (
     ("BLUE", ("blue", "sky", "turquoise", "indigo", "denim", "navy", "teal")),
     ("PURPLE", ("purple", "violet", "lilac", "lavender")),
 )
+# Material families and the keywords that name them, in order.
 MATERIAL_FAMILIES: Rules = (
     ("WOVEN_LEATHER", ("woven leather", "woven nappa", "woven")),
     ("CROC_EFFECT", ("croco", "croc effect", "crocodile")),
@@ -49,6 +50,7 @@ MATERIAL_FAMILIES: Rules = (
     ("SYNTHETIC", ("synthetic", "faux", "pu leather", "vegan")),
     ("LEATHER", ("leather", "sheep leather", "bovine", "capretto", "vintage", "lambskin", "calf")),
 )
+# Heel types and the keywords that name them, in order.
 HEEL_TYPES: Rules = (
     ("WEDGE", ("wedge",)),
     ("STILETTO", ("stiletto", "stileto")),
@@ -58,12 +60,14 @@ HEEL_TYPES: Rules = (
     ("SCULPTURAL", ("sculptural", "opanka")),
     ("FLAT", ("flat heel", "flat sole", "no heel", "flat")),
 )
+# Toe shapes and the keywords that name them, in order.
 TOE_SHAPES: Rules = (
     ("POINTED", ("pointed toe", "point toe")),
     ("SQUARE", ("square toe",)),
     ("ROUND", ("round toe", "toe-shape: round")),
     ("OPEN", ("open toe",)),
 )
+# Details (all that match) and the keywords that name them, in order.
 DETAILS: Rules = (
     ("THONG", ("thong",)),
     ("BRAIDED", ("braided", "braid")),
@@ -82,6 +86,7 @@ DETAILS: Rules = (
     ("CUT_OUT", ("cut out", "cut-out", "cutout")),
     ("ASYMMETRIC", ("asymmetric", "asymmetrical")),
 )
+# Constructions (all that match) and the keywords that name them, in order.
 CONSTRUCTIONS: Rules = (
     ("SLINGBACK", ("slingback", "sling back", "sling-back")),
     ("OPEN_TOE", ("open toe", "opened toe", "open-toe")),
@@ -93,6 +98,7 @@ CONSTRUCTIONS: Rules = (
     ("HIGH_VAMP", ("high vamp",)),
     ("LOW_VAMP", ("low vamp", "ballet flat", "ballerina flat")),
 )
+# Constructions that a category implies.
 CONSTRUCTION_OF_CATEGORY = {"SLINGBACK": "SLINGBACK", "MULE": "BACKLESS", "THONG": "OPEN_TOE"}
 
 

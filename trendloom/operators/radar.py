@@ -47,12 +47,23 @@ def buckets(combos: DataFrame, product: str, family: str, brand: str, least_bran
     return out.filter((F.col("brands") >= least_brands) & (F.col("families") >= least_families))
 
 
+# Brands for a level; families and share of evidence that a level needs; what lifts a weak one.
+STRONG_BRANDS, MEDIUM_BRANDS = 5, 3
+NEEDS = {"STRONG": (4, 0.12), "MEDIUM": (2, 0.06)}
+LIFT = (3, 3, 0.1)
+
+
 def strength(brands: Column, families: Column, coverage: Column) -> Column:
-    """STRONG, MEDIUM or WEAK by brands, corrected by families and by the share of products that give evidence."""
-    first = F.when(brands >= 5, "STRONG").when(brands >= 3, "MEDIUM").otherwise("WEAK")
-    second = F.when((first == "STRONG") & ((families < 4) | (coverage < 0.12)), "MEDIUM").otherwise(first)
-    third = F.when((second == "MEDIUM") & ((families < 2) | (coverage < 0.06)), "WEAK").otherwise(second)
-    return F.when((third == "WEAK") & (brands >= 3) & (families >= 3) & (coverage >= 0.1), "MEDIUM").otherwise(third)
+    """STRONG, MEDIUM or WEAK by brands, one level lower for each need that is not met, lifted if enough agree."""
+
+    def short(level: str) -> Column:
+        least, share = NEEDS[level]
+        return (families < least) | (coverage < share)
+
+    first = F.when(brands >= STRONG_BRANDS, "STRONG").when(brands >= MEDIUM_BRANDS, "MEDIUM").otherwise("WEAK")
+    second = F.when((first == "STRONG") & short("STRONG"), "MEDIUM").otherwise(first)
+    third = F.when((second == "MEDIUM") & short("MEDIUM"), "WEAK").otherwise(second)
+    return F.when((third == "WEAK") & (brands >= LIFT[0]) & (families >= LIFT[1]) & (coverage >= LIFT[2]), "MEDIUM").otherwise(third)
 
 
 def specificity(attributes: Column) -> Column:
