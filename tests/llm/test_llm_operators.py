@@ -335,6 +335,30 @@ def test_key_shards(spark, sf_dir, real):
     assert order != sorted(order)
 
 
+def test_shards_equal_plain_rendezvous_hashing(spark, sf_dir, real):
+    import xxhash
+
+    from trendloom.llm.sharding import op5_key_shards
+
+    def shard(key, n):
+        def h(s):
+            seed = xxhash.xxh64_intdigest(b"shard", 42)
+            seed = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed)
+            out = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), seed)
+            return out - (1 << 64) if out >> 63 else out
+
+        return max(range(n), key=lambda s: (h(s), s))
+
+    texts = {i: (t or "").encode() for i, t, _ in real}
+    rows = op5_key_shards(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (shard(r.doc_id, 8), shard(r.doc_id, 9)) and r.grown_shard in (r.shard, 8)
+        assert (r["size"], r.text_crc32, r.law) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "key")
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_shards_of_many_buckets_and_odd_rows(odd, empty):
     from trendloom.llm.sharding import fisher_yates, with_slots, write_shards
 
@@ -679,6 +703,28 @@ def test_packing_keeps_every_limit(spark, rule):
         best_fit(np.array([200]), (128, 3, 9000))
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_equals_a_plain_search_over_all_bins(rule):
+    from trendloom.llm import packing
+
+    rng = np.random.default_rng(8)
+    length = np.sort(rng.integers(1, 300, 700))[::-1]
+    limits, w = (1024.0, 6.0, 200_000.0), np.array([1.0, 0.05, 0.2])
+    left, want = [], []
+    for n in length:
+        x = np.array([n, 1.0, float(n) ** 2]) / limits
+        fits = [(i, b - x) for i, b in enumerate(left) if ((b - x) >= -1e-12).all()]
+        if fits:
+            score = [-(w * r**2).sum() if rule == "norm" else (w * x * left[i]).sum() for i, r in fits]
+            at = fits[int(np.argmax(score))][0]
+        else:
+            at = len(left)
+            left.append(np.ones(3))
+        left[at] = left[at] - x
+        want.append(at)
+    assert packing.best_fit(length, limits, rule=rule).tolist() == want
+
+
 def test_packing_keeps_columns_of_any_name(spark):
     from trendloom.llm import packing
 
