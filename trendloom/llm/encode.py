@@ -4,6 +4,9 @@ A text is cut before each single space that stands between two non-space charact
 ends a pre-token there, so the pieces can be encoded alone. Distinct pieces are encoded once per batch and kept in a
 bounded cache. Texts with other white space around a space, pieces outside the Latin blocks and pieces with added
 tokens go through ``Tokenizer.encode`` itself. Any other kind of tokenizer is used plainly, text by text.
+
+Defined cases: null and empty texts have no ids; an empty column gives empty arrays; a very long text is encoded whole, in
+a slice of its own; repeated texts are encoded each for itself, their pieces once.
 """
 
 from __future__ import annotations

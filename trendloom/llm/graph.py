@@ -1,4 +1,8 @@
-"""Connected components of an edge table; every round is a written table."""
+"""Connected components of an edge table; every round is a written table.
+
+Defined cases: an edge from a node to itself, repeated edges and an empty table are fine; nodes without an edge are not in
+the result; edges with a null end are left out. Raises if the rounds do not suffice.
+"""
 
 from __future__ import annotations
 
