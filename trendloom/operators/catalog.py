@@ -106,3 +106,17 @@ def one_per_group_then_fill(items: DataFrame, group: str, order: list[Column], k
     """First the best of each group, then the rest, k in all."""
     ranked = items.withColumn("in_group", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return ranked.orderBy((F.col("in_group") > 1).cast("int"), *order).limit(k)
+
+
+def cycled(items: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """k places: the best of each group first, then the rest, and from the start again where there are fewer than k."""
+    first = one_per_group_then_fill(items, group, order, k)
+    placed = first.withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("in_group") > 1).cast("int"), *order)) - 1)  # of k rows
+    count = placed.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    places = placed.sparkSession.range(k).select(F.col("id").alias("place")).join(count).withColumn("_place", F.pmod("place", F.col("_n")))  # one row
+    return places.join(placed, "_place").drop("_place", "_n", "in_group")
+
+
+def newest_by(dates: list[Column], name: Column) -> list[Column]:
+    """Newest first by the first of several dates that is known, undated last, then by name in Turkish order."""
+    return [F.coalesce(*dates).desc_nulls_last(), F.collate(name, "tr").asc()]

@@ -21,6 +21,20 @@ def coverage_status(collected: Column, expected: Column, exhausted: Column, fail
     return ladder((nothing & failed if failed is not None else nothing, "FAILED"), (full, "FULL"), default="PARTIAL")
 
 
+def collection_status(state: Column, collected: Column, reported: Column, exhausted: Column, errors: Column, capped: Column, root: Column, least: float = 0.9, most: float = 1.25) -> Column:
+    """The status of a source by how its collection went: what it still needs first, then failures, then FULL only if the
+    pages were read to their end, under its footwear root, without a cap, and agree with the total it reports."""
+    nothing = collected == 0
+    agrees = (reported > 0) & (collected >= reported * least) & (collected <= reported * most)
+    full = exhausted & F.coalesce(root, F.lit(True)) & ~F.coalesce(capped, F.lit(False)) & agrees
+    return ladder(
+        (state.isin("NEEDS_PROBE", "NEEDS_CUSTOM_ADAPTER"), state),
+        (nothing & ((state == "FAILED") | (errors > 0)), "FAILED"),
+        (~nothing & F.coalesce(full, F.lit(False)), "FULL"),
+        default="PARTIAL",
+    )
+
+
 def retained(current: Column, previous: Column, share: float = 0.6) -> Column:
     """At least the share of what there was, rounded up."""
     return current >= F.ceil(previous * share)

@@ -132,3 +132,10 @@ def newness_state(states: DataFrame, key: str, ts: str, verified: str) -> DataFr
     last = F.max_by(verified, ts)
     ever = F.max(verified)
     return states.groupBy(key).agg(F.when(last, "VERIFIED_NEW").when(ever, "FORMERLY_NEW").otherwise("NOT_VERIFIED").alias("status"), F.min(F.when(F.col(verified), F.col(ts))).alias("first_verified"), F.max(F.when(F.col(verified), F.col(ts))).alias("last_verified"))
+
+
+def with_last_good(attempts: DataFrame, good: DataFrame, key: list[str], ts: str, ties: list[Column]) -> DataFrame:
+    """The latest attempt of each key (of equal times the first) beside the last good state there is, if any."""
+    latest = attempts.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(ts).desc(), *ties))).filter("_place = 1").drop("_place")
+    last = good.groupBy(*key).agg(F.max(ts).alias("last_good"))
+    return latest.join(last, key, "left")

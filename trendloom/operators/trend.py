@@ -32,6 +32,16 @@ def unit_key(scope: str = "silhouette") -> Column:
     return F.concat_ws("::", *parts)
 
 
+def entity_key(by_group: bool = True) -> Column:
+    """Who counts as one independent voice: the corporate group where there is one and it is asked for, else the brand."""
+    brand = token("brand")
+    return F.when(F.coalesce(F.col("corporate_group"), F.lit("")) != "", token("corporate_group")).otherwise(brand) if by_group else brand
+
+
+def publication_key() -> Column:
+    return F.concat_ws("::", F.col("source_id").cast("string"), token("publication"))
+
+
 def dedupe_observations(observations: DataFrame, scope: str = "silhouette", ties: list[Column] | None = None) -> DataFrame:
     """Of each trend, unit, source and publication the most confident observation; ties go to the first by `ties`."""
     keyed = observations.withColumn("unit", unit_key(scope))

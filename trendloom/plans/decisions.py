@@ -239,3 +239,55 @@ def sessions(spark, sf):
 
     e = _read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return stateful.sessions(e, "ts", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+_RUN = {"state": "CASE s_suppkey % 9 WHEN 0 THEN 'NEEDS_PROBE' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'NEEDS_CUSTOM_ADAPTER' ELSE 'OK' END", "collected": "CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey % 50 END", "reported": "CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 48 END", "exhausted": "s_suppkey % 3 > 0", "errors": "s_suppkey % 2", "capped": "s_suppkey % 11 = 0", "root": "CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 13 > 0 END"}
+
+
+@query(f"""
+WITH r AS (SELECT s_suppkey, {', '.join(f'{e} AS {c}' for c, e in _RUN.items())} FROM supplier)
+SELECT s_suppkey, CASE WHEN state LIKE 'NEEDS%' THEN state WHEN collected = 0 AND (state = 'FAILED' OR errors > 0) THEN 'FAILED' WHEN collected > 0 AND coalesce(exhausted AND coalesce(root, true) AND NOT capped AND reported > 0 AND collected >= reported * 0.9::DOUBLE AND collected <= reported * 1.25::DOUBLE, false) THEN 'FULL' ELSE 'PARTIAL' END AS status FROM r""")
+def collection_status(spark, sf):
+    from trendloom.operators import gates
+
+    r = _of(spark, sf, "supplier", "s_suppkey", *(f"{e} AS {c}" for c, e in _RUN.items()))
+    return r.select("s_suppkey", gates.collection_status(*(F.col(c) for c in _RUN)).alias("status"))
+
+
+@query("""
+WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS g FROM part WHERE p_size = 50 AND p_type = 'PROMO'),
+o AS (SELECT p_partkey, row_number() OVER (ORDER BY (g > 1)::INT, p_retailprice DESC, p_partkey) - 1 AS place FROM r), f AS (SELECT * FROM o WHERE place < 60), n AS (SELECT greatest(count(*), 1) AS n FROM f)
+SELECT i::BIGINT AS place, p_partkey FROM range(60) t(i), n, f WHERE i % n = f.place""")
+def cycled_pick(spark, sf):
+    from trendloom.operators import catalog
+
+    p = _of(spark, sf, "part", "p_brand", "p_partkey", "p_retailprice", "p_size", "p_type").filter("p_size = 50 AND p_type = 'PROMO'")
+    return catalog.cycled(p, "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")], 60).select("place", "p_partkey")
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END, CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate - INTERVAL 1 DAY END) DESC NULLS LAST, o_orderpriority, o_orderkey) AS place FROM orders")
+def newest_known_date(spark, sf):
+    from pyspark.sql.window import Window
+
+    from trendloom.operators import catalog
+
+    o = _of(spark, sf, "orders", "o_orderkey", "o_custkey", "lower(o_orderpriority) AS name", "CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS published", "CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate - INTERVAL 1 DAY END AS created")
+    order = catalog.newest_by([F.col("published"), F.col("created")], F.col("name"))
+    return o.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order, "o_orderkey")).alias("place"))
+
+
+@query("WITH l AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1), g AS (SELECT o_custkey, max(o_orderdate) AS last_good FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT o_custkey, o_orderkey, last_good FROM l LEFT JOIN g USING (o_custkey)")
+def attempts_with_last_good(spark, sf):
+    from trendloom.operators import snapshots
+
+    o = _read(spark, sf, "orders")
+    return snapshots.with_last_good(o, o.filter("o_orderstatus = 'F'"), ["o_custkey"], "o_orderdate", [F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "last_good")
+
+
+@query("SELECT p_type AS trend, count(DISTINCT CASE WHEN p_size % 2 = 0 THEN 'group-' || (p_size % 10) ELSE lower(p_brand) END) AS entities, count(DISTINCT p_brand) AS brands, count(DISTINCT l_suppkey || '::' || l_orderkey) AS publications FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type")
+def independent_entities(spark, sf):
+    from trendloom.operators import trend
+
+    rows = _read(spark, sf, "lineitem").join(_of(spark, sf, "part", "p_partkey AS l_partkey", "p_type AS trend", "p_brand AS brand", "CASE WHEN p_size % 2 = 0 THEN 'Group  ' || (p_size % 10) END AS corporate_group"), "l_partkey")
+    rows = rows.withColumns({"source_id": F.col("l_suppkey"), "publication": F.col("l_orderkey").cast("string")})
+    return rows.groupBy("trend").agg(F.countDistinct(trend.entity_key()).alias("entities"), F.countDistinct(trend.entity_key(False)).alias("brands"), F.countDistinct(trend.publication_key()).alias("publications"))
