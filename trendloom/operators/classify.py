@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trendloom.functions.expr import AFTER, BEFORE, ladder
+from trendloom.functions.rules import bound
 
 # What names a category, in order; `title` rules read the title alone, `all` rules all that a shop says.
 CATEGORY_RULES = (
@@ -100,3 +101,90 @@ def refresh_plan(active: Column, collector: Column, discovery: Column, owned: tu
     its membership is refreshed too (a shop that lists its collections). discovery: array of names."""
     in_cloud = active & collector.isNotNull() & ~F.exists(discovery, lambda d: F.lower(F.trim(d)).isin(*owned))
     return in_cloud, in_cloud & collector.isin("SHOPIFY_PUBLIC", "SHOPIFY_JSON")
+
+
+# What official shops write, in order: category, pattern, and where given a second pattern that must be
+# there too or (with a leading "not ") must not be there.
+OFFICIAL_RULES = (
+    ("OXFORD_DERBY", r"derb(?:y|ie|ies)|oxfords?|brogues?|bluchers?", None),
+    ("SNEAKER", r"sneakers?|trainers?|running shoes?|baskets?", None),
+    ("LOAFER", r"monk shoes?", None),
+    ("BOOT", r"bot[ií]n(?:es)?|botines?", None),
+    ("BALLET_FLAT", r"merceditas?|bailarinas?", None),
+    ("LOAFER", r"mocas[ií]n(?:es)?", None),
+    ("CLOG", r"zuecos?", None),
+    ("ESPADRILLE", r"alpargatas?", None),
+    ("LOAFER", r"wallabees?|mocassi[mn]s?", None),
+    ("SANDAL", r"sandals?|sand[aá]lias?", None),
+    ("BOOT", r"botas?|bottes?|bottines?|boot(?:s|ies?)?|well(?:y|ies)|wellingtons?", None),
+    ("SNEAKER", r"sapatilhas?", r"t[eé]nis|sneaker|trainer"),
+    ("BALLET_FLAT", r"sapatilhas?|mary[\s-]?janes?", None),
+    ("LOAFER", r"belgians?", None),
+    ("BALLET_FLAT", r"ballerinas?|babies", None),
+    ("LOAFER", r"boat[\s-]shoes?|moccasins?|loafers?", None),
+    ("SNEAKER", r"tennis", None),
+    ("MULE", r"slippers?\s+(?:[5-9]\d|1[0-4]\d)", None),
+    ("MULE", r"slippers?", r"stiletto|block heel|\d+\s*mm|open[\s-]toe"),
+    ("MULE", r"mules?", None),
+    ("PUMP", r"slingbacks?|slings?|stiletto|sabrina|salto", None),
+    ("LOAFER", r"sola baixa", r"pala|fivela|met[aá]lico"),
+    ("BALLET_FLAT", r"sola baixa", None),
+    ("LOAFER", r"detalhe cl[aá]ssico na parte superior|slip[\s-]?ons?", None),
+    ("PUMP", r"pumps?", None),
+    ("BALLET_FLAT", r"flats?", None),
+    ("ESPADRILLE", r"espadrilles?|jute sole", None),
+    ("BALLET_FLAT", r"laces?", r"not slippers?"),
+    ("LOAFER", r"slippers?|house shoes?", None),
+)
+OFFICIAL_TYPES = {
+    "BOOT": "boot boots",
+    "BALLET_FLAT": "flat flats mary_jane",
+    "PUMP": "heel heels pump pumps sapato sapatos",
+    "LOAFER": "loafer loafers slipper slippers mocassim mocassins mocassin boat_shoe belgian",
+    "SNEAKER": "sneaker sneakers",
+    "MULE": "mule mules",
+    "SANDAL": "sandal sandals slide slides sandals/slides",
+}
+NOT_FOOTWEAR = r"chaussettes?|socks?|sac|hand\s?bags?|tote bag|shoulder bag"
+
+
+def named_by_shop(text: Column) -> Column:
+    """The category that a shop's own words name, by the first rule that holds."""
+
+    def holds(t: Column, pattern: str, also: str | None) -> Column:
+        hit = t.rlike(rf"{BEFORE}(?:{pattern}){AFTER}")
+        if also is None:
+            return hit
+        absent = also.startswith("not ")
+        second = t.rlike(also.removeprefix("not "))
+        return hit & (~second if absent else second)
+
+    return bound(F.lower(text), lambda t: ladder(*[(holds(t, p, also), c) for c, p, also in OFFICIAL_RULES]))
+
+
+def official_category(title: Column, kind: Column, description: Column, tags: Column) -> Column:
+    """Title and description first, then the product type, then the tags."""
+    of = F.regexp_replace(F.lower(F.trim(F.coalesce(kind, F.lit("")))), r"\s+", " ")
+    types = F.create_map(*[F.lit(x) for c, names in OFFICIAL_TYPES.items() for n in names.split() for x in (n.replace("_", " "), c)])
+    return F.coalesce(named_by_shop(F.concat_ws(" ", title, description)), F.element_at(types, of), named_by_shop(F.regexp_replace(tags, r"[_|:]+", " ")))
+
+
+def is_other_ware(title: Column) -> Column:
+    """Socks and bags that share a generic product type with shoes."""
+    return says(title, NOT_FOOTWEAR)
+
+
+def confirm_category(fields: dict[str, Column], lexicon: dict[str, dict[str, str]], locale: Column, other: str) -> tuple[Column, Column, Column]:
+    """Status, category and the field that decides: evidence fields in order, in the words of the locale's lexicon only.
+
+    Without a locale or its lexicon, with words of other ware, or without any match the answer is REVIEW, never a guess."""
+    everything = F.concat_ws(" ", *fields.values())
+
+    def found(c: Column) -> Column:
+        each = [(locale == place, ladder(*[(says(c, p), k) for k, p in words.items()])) for place, words in lexicon.items()]
+        return ladder(*each)
+
+    known = F.coalesce(locale.isin(*lexicon), F.lit(False)) & ~says(everything, other)
+    category = F.when(known, F.coalesce(*map(found, fields.values())))
+    field = F.when(known, F.coalesce(*[F.when(found(c).isNotNull(), F.lit(name)) for name, c in fields.items()]))
+    return F.when(category.isNotNull(), "RESOLVED").otherwise("REVIEW"), category, field

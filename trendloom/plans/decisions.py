@@ -291,3 +291,25 @@ def independent_entities(spark, sf):
     rows = _read(spark, sf, "lineitem").join(_of(spark, sf, "part", "p_partkey AS l_partkey", "p_type AS trend", "p_brand AS brand", "CASE WHEN p_size % 2 = 0 THEN 'Group  ' || (p_size % 10) END AS corporate_group"), "l_partkey")
     rows = rows.withColumns({"source_id": F.col("l_suppkey"), "publication": F.col("l_orderkey").cast("string")})
     return rows.groupBy("trend").agg(F.countDistinct(trend.entity_key()).alias("entities"), F.countDistinct(trend.entity_key(False)).alias("brands"), F.countDistinct(trend.publication_key()).alias("publications"))
+
+
+_WRITTEN = ("oxford derby", "Running Shoes", "sandália", "sapatilha tenis", "sapatilha preta", "slipper 85", "slippers house", "lace tie", "jute sole", "plain", "sola baixa fivela", "slingback")
+_NAMED = ("OXFORD_DERBY", "SNEAKER", "SANDAL", "SNEAKER", "BALLET_FLAT", "MULE", "LOAFER", "BALLET_FLAT", "ESPADRILLE", None, "LOAFER", "PUMP")
+_SAYS = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_WRITTEN)) + " END"
+_NAMES = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_NAMED) if c) + " END"
+
+
+@query(f"""SELECT p_partkey, coalesce({_NAMES}, CASE p_partkey % 4 WHEN 0 THEN 'LOAFER' WHEN 1 THEN 'SANDAL' END, CASE WHEN p_partkey % 4 = 2 THEN 'BOOT' END) AS category, p_partkey % 5 = 0 AS other FROM part""")
+def official_categories(spark, sf):
+    p = _of(spark, sf, "part", "p_partkey", f"p_name || ' ' || {_SAYS} AS title", "CASE p_partkey % 4 WHEN 0 THEN ' Boat  Shoe' WHEN 1 THEN 'Sandals/Slides' ELSE 'Chaussures' END AS kind", "CASE WHEN p_partkey % 4 = 2 THEN 'type:boots|x' ELSE '' END AS tags", "CASE WHEN p_partkey % 5 = 0 THEN 'wool socks' ELSE p_name END AS ware")
+    return p.select("p_partkey", K.official_category(F.col("title"), F.col("kind"), F.lit(None).cast("string"), F.col("tags")).alias("category"), K.is_other_ware(F.col("ware")).alias("other"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 4 AS l, p_size % 3 AS t, p_partkey % 7 = 0 AS other, p_type = 'PROMO' AS d FROM part)
+SELECT p_partkey, CASE WHEN l > 1 OR other OR NOT (t = 0 OR d) THEN 'REVIEW' ELSE 'RESOLVED' END AS status, CASE WHEN l > 1 OR other THEN NULL WHEN t = 0 THEN 'BOOT' WHEN d THEN 'SANDAL' END AS category, CASE WHEN l > 1 OR other THEN NULL WHEN t = 0 THEN 'title' WHEN d THEN 'description' END AS field FROM p""")
+def confirmed_categories(spark, sf):
+    p = _of(spark, sf, "part", "p_partkey", "CASE p_size % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'pt' WHEN 2 THEN 'xx' END AS locale", "CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 4 = 0 THEN 'a Boot' ELSE 'uma bota' END ELSE p_name END AS title", "CASE WHEN p_type = 'PROMO' THEN CASE WHEN p_size % 4 = 0 THEN 'sandals' ELSE 'rasteira' END ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN ' socks' ELSE '' END AS description")
+    lexicon = {"en": {"BOOT": "boots?", "SANDAL": "sandals?"}, "pt": {"BOOT": "botas?", "SANDAL": "rasteiras?"}}
+    status, category, field = K.confirm_category({"title": F.col("title"), "description": F.col("description")}, lexicon, F.col("locale"), K.NOT_FOOTWEAR)
+    return p.select("p_partkey", status.alias("status"), category.alias("category"), field.alias("field"))
