@@ -26,7 +26,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trendloom.llm.common import give_back, shuffle_partitions, stash
 from trendloom.llm.graph import connected_components
@@ -167,17 +166,5 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def candidate_pairs(docs: DataFrame, width: int, chain: int = 5_000) -> DataFrame:
-    """docs(doc_id, text) -> pairs (u, v) of documents in one component, for callers that have a test of their own: in
-    order of fingerprint each with the one before it. Components of over `chain` documents are cut into several chains
-    by hash, each of which begins with a pair to the component's first document."""
-    found = stash(near_duplicates(docs, width).filter("component_id is not null").distinct(), "components")
-    sizes = found.groupBy("component_id").count().filter("count > 1").select("component_id", F.ceil(F.col("count") / chain).alias("chains"))
-    placed = found.join(sizes, "component_id").withColumn("chain", F.pmod(F.xxhash64("doc_id"), F.col("chains")))
-    before = F.lag("doc_id").over(Window.partitionBy("component_id", "chain").orderBy("fingerprint", "doc_id"))
-    pairs = placed.select(F.coalesce(before, "component_id").alias("u"), F.col("doc_id").alias("v")).filter("u <> v")
-    return stash(pairs.distinct(), "candidates")
-
-
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
