@@ -74,12 +74,19 @@ def test_style_codes(spark):
     from trendloom.functions import styles as Y
 
     code = lambda sku, source="x": one(spark, Y.verified_style("k", "s"), k=sku, s=source)
-    assert code("PX2027XNPPSCREAM_35", "paris-texas") == "PX2027XNPPS" and code("PX2027XNPPSBLACKGOLD-36", " Paris-Texas ") == "PX2027XNPPS"
+    assert code("PX2027XNPPSCREAM_35", "paris-texas") == "PX2027XNPPS" and code("PX2027XNPPSBLACKGOLD-_36", " Paris-Texas ") == "PX2027XNPPS"
+    assert [code(f"PX2027XNPPS{c}_35", "paris-texas") for c in ("NERO", "BIANCO", "DARKCHOCOLATE", "CREAM-TMORO", "")] == ["PX2027XNPPS"] * 5
+    assert code("PX2027XNERO", "paris-texas") == "PX2027XNERO" and one(spark, Y.color_of_sku("k"), k="px2027xnppsrougenoir_35.5") == "ROUGENOIR"
+    assert [code(x, "dolce-vita") for x in ("Cleo", "relan  wide", "12345", "A", "a b c d e")] == ["CLEO", "RELAN WIDE", None, None, None]
+    assert code("S23-10CALF-38", "jeffrey-campbell") == "S23-10CALF" and code("LITA-FAB-100-7", "jeffrey-campbell") == "LITA-FAB"
     assert code("MAUREEN  MS   FLAT 70", "malone-souliers") == "MAUREEN MS FLAT" and code("AB2027", "paris-texas") is None
     assert code("S2217900140013") == "S221790014" and code("L415-STEL-5.0-TEAL-3054") == "L415-STEL"
     assert code("F12A3456-red", "Staud") == "F12A3456" and code("12-3456-x", "staud") == "12-3456"
     assert code("S123456-0001", "alohas") == "S123456" and code("nothing", "alohas") is None
     assert one(spark, Y.base_sku("k"), k="abcde-38.5") == "ABCDE" and one(spark, Y.base_sku("k"), k="abc") is None
+    assert one(spark, Y.base_sku("k"), k="PX2027XNPPSNERO_35") == "PX2027XNPPS" and one(spark, Y.url_style("k"), k="http://x/S23-S01-12345abc.jpg") == "S23-S01-12345ABC"
+    stated, known = Y.style_identity("k", "s", "u", F.col("m"))
+    assert one(spark, F.struct(stated.alias("a"), known.alias("b")), k="zz", s="Casadei", u="http://x", m=" 1F162 ") == ("1F162", True)
     got, sure = Y.style_identity("k", "s", "u")
     assert one(spark, F.struct(got.alias("a"), sure.alias("b")), k="zz", s="zara", u="http://z/shoe-p12345.html") == ("ZARA-12345", True)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: ASCII borders of a word: `\b` of Java counts accented letters as word characters.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_BORDER = f"(?:{BEFORE}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){AFTER})"
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝşŞğĞıİ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYsSgGiI"
 
@@ -15,6 +16,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def borders(pattern: str) -> str:
+    r"""A pattern with each \b as a border of ASCII words."""
+    return pattern.replace(r"\b", _BORDER)
+
+
 def half_up(c: str | Column, digits: int = 0) -> Column:
     """Rounding where halves go up, also below zero: floor(x + 0.5)."""
     scale = float(10**digits)

@@ -26,21 +26,6 @@ def query(sql: str | None):
     return add
 
 
-_TITLE = "p_name || CASE p_size % 10 WHEN 0 THEN ' Thong' WHEN 1 THEN ' ankle boots' WHEN 2 THEN ' Slingback' WHEN 3 THEN ' Tênis' WHEN 4 THEN ' ballet flat' WHEN 5 THEN ' Loafers' WHEN 6 THEN ' mule' WHEN 7 THEN ' kids sandal' WHEN 8 THEN ' men boots' ELSE '' END"
-_TYPE = "CASE p_partkey % 6 WHEN 0 THEN 'Hand  Bags' WHEN 1 THEN 'Shoes' WHEN 2 THEN NULL WHEN 3 THEN 'Heels' ELSE 'Gear' END"
-_BY_TITLE = "CASE k WHEN 0 THEN 'THONG' WHEN 1 THEN 'ANKLE_BOOT' WHEN 2 THEN 'SLINGBACK' WHEN 4 THEN 'BALLERINA' WHEN 5 THEN 'LOAFER' WHEN 6 THEN 'MULE' WHEN 7 THEN 'SANDAL' WHEN 8 THEN 'BOOT' END"
-
-
-@query(f"""
-WITH t AS (SELECT p_partkey, p_size % 10 AS k, p_partkey % 6 AS y FROM part), c AS (SELECT *, coalesce({_BY_TITLE}, CASE WHEN y = 3 THEN 'PUMP' END) AS category FROM t),
-d AS (SELECT *, CASE WHEN y = 0 THEN 'product_type:hand bags' WHEN k = 7 THEN 'childrens-only' WHEN k = 8 THEN 'mens-only' WHEN y = 1 OR category IS NOT NULL THEN NULL WHEN y = 2 THEN 'missing-product-type' ELSE 'not-womens-footwear' END AS reason FROM c)
-SELECT p_partkey, CASE WHEN reason IS NULL THEN coalesce(category, 'OTHER_FOOTWEAR') END AS category, reason FROM d""")
-def scope_decisions(spark, sf):
-    p = _of(spark, sf, "part", "p_partkey", f"{_TITLE} AS title", f"{_TYPE} AS kind")
-    category, reason = K.scope_decision(F.col("title"), F.col("kind"), F.lit(""), ("hand bags",), ("shoes",), F.lit(False))
-    return p.select("p_partkey", category.alias("category"), reason.alias("reason"))
-
-
 _COLLECTION = "CASE s_suppkey % 7 WHEN 0 THEN 'mens-boots' WHEN 1 THEN 'women-mens-style' WHEN 2 THEN 'hand-bags' WHEN 3 THEN 'new-arrivals-' || s_suppkey WHEN 4 THEN 'whats-new' WHEN 5 THEN 'new-socks' ELSE 'shoes' END"
 
 
@@ -293,10 +278,10 @@ def independent_entities(spark, sf):
     return rows.groupBy("trend").agg(F.countDistinct(trend.entity_key()).alias("entities"), F.countDistinct(trend.entity_key(False)).alias("brands"), F.countDistinct(trend.publication_key()).alias("publications"))
 
 
-_WRITTEN = ("oxford derby", "Running Shoes", "sandália", "sapatilha tenis", "sapatilha preta", "slipper 85", "slippers house", "lace tie", "jute sole", "plain", "sola baixa fivela", "slingback")
-_NAMED = ("OXFORD_DERBY", "SNEAKER", "SANDAL", "SNEAKER", "BALLET_FLAT", "MULE", "LOAFER", "BALLET_FLAT", "ESPADRILLE", None, "LOAFER", "PUMP")
-_SAYS = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_WRITTEN)) + " END"
-_NAMES = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_NAMED) if c) + " END"
+_WRITTEN = ("mocassinos preta", "stilettos x", "sandaliasx", "oxford derby", "Running Shoes", "sandália", "sapatilha tenis", "sapatilha preta", "slipper 85", "slippers house", "lace tie", "jute sole", "plain", "sola baixa fivela", "slingback")
+_NAMED = ("LOAFER", "PUMP", "SANDAL", "OXFORD_DERBY", "SNEAKER", "SANDAL", "SNEAKER", "BALLET_FLAT", "MULE", "LOAFER", "BALLET_FLAT", "ESPADRILLE", None, "LOAFER", "PUMP")
+_SAYS = "CASE p_size % 15 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_WRITTEN)) + " END"
+_NAMES = "CASE p_size % 15 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_NAMED) if c) + " END"
 
 
 @query(f"""SELECT p_partkey, coalesce({_NAMES}, CASE p_partkey % 4 WHEN 0 THEN 'LOAFER' WHEN 1 THEN 'SANDAL' END, CASE WHEN p_partkey % 4 = 2 THEN 'BOOT' END) AS category, p_partkey % 5 = 0 AS other FROM part""")
