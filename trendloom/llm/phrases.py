@@ -5,10 +5,11 @@ about `shard_words` words; a shard numbers its words, sorts its suffixes by pref
 longer) and reads the n-gram counts off the intervals of common prefixes. Counts of all shards are summed by (lang,
 phrase) in Spark: every occurrence counts, however few a shard has.
 
-A phrase can only be frequent if its parts are, so shards are mined in three levels: words; pairs of frequent words; three
-to five words whose pairs are all frequent. What is frequent goes to the next level as a bit filter of fixed size
-(`FILTER_BITS`): a word or pair that shares a bit with a frequent one costs work, not correctness, as its own sum decides in
-the end. Levels are tables in the shared folder.
+A phrase can only be frequent if its parts are, so there are three passes: words, and then pairs of words that pass, are
+counted by 64-bit keys alone (rows of key and count); what reaches the least count goes to the next pass as a bit filter of
+fixed size (`FILTER_BITS`). The last pass counts the words that pass and the phrases all of whose pairs pass, by their
+strings. Keys and bits that fall together only let too much pass, which costs work, not correctness: the strings' own sums
+decide. Frequent phrases are a table in the shared folder.
 
 Scores are integers of up to 38 digits (Spark decimals). The first phrases of a language are taken within hash buckets
 first, so that no task sorts all phrases of a language.
@@ -20,8 +21,7 @@ are left behind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ LEAST, LONGEST, FIRST, COVER = 100, 5, 2000, 100
 SHARD_WORDS, SLICE_BYTES = 500_000, 2 << 20
 FILTER_BITS = 24
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
-COUNTS = "lang string, size int, phrase string, key long, count long"
+KEYS, PHRASES = "key long, count long", "lang string, phrase string, count long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _END, _SPACE = pa.scalar("\n", pa.large_string()), pa.scalar(" ", pa.large_string())
@@ -137,9 +137,16 @@ class Shard:
     def rows(self, t: np.ndarray, size: int, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         parts = [self.words.take(pa.array(self.word_of[t[place + d]])) for d in range(size)]
         phrase = pc.binary_join_element_wise(*parts, _SPACE) if size > 1 else parts[0]
-        lang = self.langs.take(pa.array(self.lang_of[t[place]]))
-        key = self.keys(t, place, size).view(np.int64)
-        return pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(np.full(len(place), size, np.int32)), phrase.cast(pa.string()), pa.array(key), pa.array(count.astype(np.int64))], ["lang", "size", "phrase", "key", "count"])
+        return _phrase_rows(self.langs.take(pa.array(self.lang_of[t[place]])), phrase, count)
+
+    def totals(self) -> pa.RecordBatch:
+        """All words of each lang, as the phrase of no words."""
+        count = np.bincount(self.lang_of[self.t[self.t != 0]], minlength=len(self.langs))
+        return _phrase_rows(self.langs, pa.array([""] * len(count), pa.large_string()), count)
+
+
+def _phrase_rows(lang: pa.Array, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "phrase", "count"])
 
 
 def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -147,48 +154,57 @@ def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _thinned(shard: Shard, bits: np.ndarray, size: int) -> np.ndarray:
-    """The shard's words without what cannot be in a phrase of size + 1 words whose parts of `size` words all pass."""
-    t = shard.t
+def _passing(shard: Shard, t: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    """For each place of t whether the `size` words from there on are in one piece and pass the filter."""
     wide = np.r_[t, np.zeros(size, t.dtype)]
     whole = np.flatnonzero(np.logical_and.reduce([wide[np.arange(len(t)) + d] != 0 for d in range(size)]))
-    ok = np.zeros(len(t) + 1, bool)
+    ok = np.zeros(len(t), bool)
     ok[whole] = _passes(bits, shard.keys(t, whole, size))
-    joined = ok[:-1] & ok[1:] if size == 1 else ok[:-1]
-    keep = _chains(t, joined, size + 1)
-    return _ended(t, keep, joined)
-
-
-def shard_counts(docs: DataFrame, sizes: range, parts: DataFrame | None = None, shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Counts of the phrases of these sizes, a row for each shard, lang and phrase. parts: the frequent phrases one word
-    shorter than the first size. Without it the sum of all words of a lang is there too, as the phrase of no words."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(parts, filter_bits)) if parts is not None else None
+    return ok
+
+
+def _counted(t: np.ndarray, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, places and counts of the different phrases of t."""
+    if len(t):
+        order = suffix_array(t, sizes[-1])
+        common = common_prefixes(t, order, sizes[-1])
+        for size in sizes:
+            place, count = intervals(t, order, common, size)
+            if len(place):
+                yield size, place, count
+
+
+def _keyed(shard: Shard, filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts of all words or, with a filter of words, of pairs of words that pass it."""
+    if filters:
+        ok = _passing(shard, shard.t, filters[0], 1)
+        joined = ok & np.r_[ok[1:], False]
+        t, size = _ended(shard.t, _chains(shard.t, joined, 2), joined), 2
+    else:
+        t, size = shard.t[shard.t != 0], 1
+    for _, place, count in _counted(t, range(size, size + 1)):
+        yield pa.RecordBatch.from_arrays([pa.array(shard.keys(t, place, size).view(np.int64)), pa.array(count.astype(np.int64))], ["key", "count"])
+
+
+def _phrased(shard: Shard, filters: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """Totals, words that pass and phrases whose pairs all pass, with their strings and counts."""
+    yield shard.totals()
+    t = shard.t[_passing(shard, shard.t, filters[0], 1)]
+    for size, place, count in _counted(t, range(1, 2)):
+        yield shard.rows(t, size, place, count)
+    if longest > 1:
+        joined = _passing(shard, shard.t, filters[1], 2)
+        t = _ended(shard.t, _chains(shard.t, joined, 2), joined)
+        for size, place, count in _counted(t, range(2, longest + 1)):
+            yield shard.rows(t, size, place, count)
+
+
+def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], kinds: str, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """What `each` says of every shard of the documents."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Array] = []
         langs: list[pa.Array] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            shard = Shard(words, langs)
-            words.clear()
-            langs.clear()
-            if bits is None:
-                t = shard.t[shard.t != 0]
-            else:
-                t = _thinned(shard, np.frombuffer(bits.value, np.uint64), sizes[0] - 1)
-            if not len(t):
-                return
-            order = suffix_array(t, sizes[-1])
-            common = common_prefixes(t, order, sizes[-1])
-            for size in sizes:
-                place, count = intervals(t, order, common, size)
-                if len(place):
-                    yield shard.rows(t, size, place, count)
-            if bits is None:
-                total = np.bincount(shard.lang_of[t], minlength=len(shard.langs))
-                n = len(total)
-                yield pa.RecordBatch.from_arrays([shard.langs.cast(pa.string()), pa.array(np.zeros(n, np.int32)), pa.array([""] * n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(total.astype(np.int64))], ["lang", "size", "phrase", "key", "count"])
-
         held = 0
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE_BYTES):
@@ -197,19 +213,20 @@ def shard_counts(docs: DataFrame, sizes: range, parts: DataFrame | None = None,
                 langs.append(batch.column(0).slice(a, b - a).cast(pa.large_string()).take(pa.array(np.repeat(np.arange(b - a), n))))
                 held += len(flat)
                 if held >= shard_words:
-                    yield from flush()
-                    held = 0
+                    yield from each(Shard(words, langs))
+                    words, langs, held = [], [], 0
         if words:
-            yield from flush()
+            yield from each(Shard(words, langs))
         give_back()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(mine, COUNTS)
+    return rows.mapInArrow(mine, kinds)
 
 
-def bit_filter(frequent: DataFrame, filter_bits: int = FILTER_BITS) -> bytes:
-    """2**filter_bits bits (at least 64), set where the key of a frequent phrase falls. Words of 64 bits are made in Spark; the driver gets
-    at most 2**filter_bits / 64 of them."""
+def bit_filter(keyed: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> bytes:
+    """2**filter_bits bits (at least 64), set where a key falls whose counts sum up to `least`. Words of 64 bits are made in
+    Spark; the driver gets at most 2**filter_bits / 64 of them."""
+    frequent = keyed.groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
     bit = frequent.select(F.shiftrightunsigned("key", 64 - filter_bits).alias("bit"))
     cells = bit.select(F.shiftrightunsigned("bit", 6).alias("cell"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one"))
     found = cells.groupBy("cell").agg(F.bit_or("one").alias("bits")).toPandas()
@@ -219,15 +236,20 @@ def bit_filter(frequent: DataFrame, filter_bits: int = FILTER_BITS) -> bytes:
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """lang, size, phrase, key and count of every phrase of 1 to `longest` words that occurs at least `least` times in its
-    lang; and for each lang the phrase of no words with the number of all its words."""
-    levels: list[DataFrame] = []
-    for sizes in [range(1, 2), range(2, 3), range(3, longest + 1)]:
-        if sizes and sizes[0] <= longest:
-            parts = levels[-1].filter("size > 0") if levels else None
-            counted = shard_counts(docs, sizes, parts, shard_words, filter_bits).groupBy("lang", "size", "phrase").agg(F.sum("count").alias("count"), F.min("key").alias("key"))
-            levels.append(stash(counted.filter((F.col("size") == 0) | (F.col("count") >= least)), f"phrases{sizes[0]}"))
-    return reduce(DataFrame.unionByName, levels)
+    """lang, size, phrase and count of every phrase of 1 to `longest` words that occurs at least `least` times in its lang;
+    and for each lang the phrase of no words with the number of all its words."""
+    sent = []
+    for _ in range(min(longest, 2)):
+        filters = list(sent)
+        keyed = mined(docs, lambda s, f=filters: _keyed(s, _read(f)), KEYS, shard_words)
+        sent.append(docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, least, filter_bits)))
+    summed = mined(docs, lambda s: _phrased(s, _read(sent), longest), PHRASES, shard_words).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return stash(summed.filter((F.col("phrase") == "") | (F.col("count") >= least)).select("lang", size.alias("size"), "phrase", "count"), "phrases")
+
+
+def _read(sent: list) -> list[np.ndarray]:
+    return [np.frombuffer(x.value, np.uint64) for x in sent]
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, cover: int = COVER, shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
