@@ -5,11 +5,11 @@ about `shard_words` words; a shard numbers its words, sorts its suffixes by pref
 longer) and reads the n-gram counts off the intervals of common prefixes. Counts of all shards are summed by (lang,
 phrase) in Spark: every occurrence counts, however few a shard has.
 
-A phrase can only be frequent if its parts are, so there are three passes: words, and then pairs of words that pass, are
-counted by 64-bit keys alone (rows of key and count); what reaches the least count goes to the next pass as a bit filter of
-fixed size (`FILTER_BITS`). The last pass counts the words that pass and the phrases all of whose pairs pass, by their
-strings. Keys and bits that fall together only let too much pass, which costs work, not correctness: the strings' own sums
-decide. Frequent phrases are a table in the shared folder.
+A phrase can only be frequent if its parts are, so there are three passes. Words and pairs are counted by 64-bit keys alone
+(rows of key and count), then, the same way, triples both of whose pairs pass; what reaches the least count goes to the next
+pass as a bit filter of fixed size (`FILTER_BITS`). The last pass counts the words and pairs that pass, and the longer
+phrases whose triples all pass, by their strings. Keys and bits that fall together only let too much pass, which costs work,
+not correctness: the strings' own sums decide. Frequent phrases are a table in the shared folder.
 
 Scores are integers of up to 38 digits (Spark decimals). The first phrases of a language are taken within hash buckets
 first, so that no task sorts all phrases of a language.
@@ -175,28 +175,26 @@ def _counted(t: np.ndarray, sizes: range) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def _keyed(shard: Shard, filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Keys and counts of all words or, with a filter of words, of pairs of words that pass it."""
+    """Keys and counts of all words and pairs or, with a filter of them, of triples whose pairs pass it."""
+    t, sizes = shard.t, range(1, 3)
     if filters:
-        ok = _passing(shard, shard.t, filters[0], 1)
-        joined = ok & np.r_[ok[1:], False]
-        t, size = _ended(shard.t, _chains(shard.t, joined, 2), joined), 2
-    else:
-        t, size = shard.t[shard.t != 0], 1
-    for _, place, count in _counted(t, range(size, size + 1)):
+        joined = _passing(shard, t, filters[0], 2)
+        t, sizes = _ended(t, _chains(t, joined, 3), joined), range(3, 4)
+    for size, place, count in _counted(t, sizes):
         yield pa.RecordBatch.from_arrays([pa.array(shard.keys(t, place, size).view(np.int64)), pa.array(count.astype(np.int64))], ["key", "count"])
 
 
 def _phrased(shard: Shard, filters: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
-    """Totals, words that pass and phrases whose pairs all pass, with their strings and counts."""
+    """Totals, words and pairs that pass, and longer phrases whose triples pass, with their strings and counts."""
     yield shard.totals()
-    t = shard.t[_passing(shard, shard.t, filters[0], 1)]
-    for size, place, count in _counted(t, range(1, 2)):
-        yield shard.rows(t, size, place, count)
-    if longest > 1:
-        joined = _passing(shard, shard.t, filters[1], 2)
-        t = _ended(shard.t, _chains(shard.t, joined, 2), joined)
-        for size, place, count in _counted(t, range(2, longest + 1)):
-            yield shard.rows(t, size, place, count)
+    for size in range(1, min(longest, 3) + 1):
+        ok = _passing(shard, shard.t, filters[size == 3], size)
+        joined = np.zeros(len(ok), bool)
+        for d in range(size - 1):  # the words of a phrase that passes stay together
+            joined[d:] |= ok[: len(ok) - d]
+        t = shard.t[ok] if size == 1 else _ended(shard.t, _chains(shard.t, joined, size), joined)
+        for n, place, count in _counted(t, range(size, (longest if size == 3 else size) + 1)):
+            yield shard.rows(t, n, place, count)
 
 
 def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], kinds: str, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -239,7 +237,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """lang, size, phrase and count of every phrase of 1 to `longest` words that occurs at least `least` times in its lang;
     and for each lang the phrase of no words with the number of all its words."""
     sent = []
-    for _ in range(min(longest, 2)):
+    for _ in range(2 if longest > 2 else 1):
         filters = list(sent)
         keyed = mined(docs, lambda s, f=filters: _keyed(s, _read(f)), KEYS, shard_words)
         sent.append(docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, least, filter_bits)))
