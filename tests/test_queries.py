@@ -3,9 +3,9 @@
 import pytest
 
 import compare
-from trendloom.plans import decisions, footwear, history, market, registry, reports, scoped, trends
+from trendloom.plans import decisions, features, footwear, history, market, registry, reports, scoped, trends
 
-PLANS = trends.QUERIES | market.QUERIES | history.QUERIES | registry.QUERIES | scoped.QUERIES | reports.QUERIES | decisions.QUERIES | footwear.QUERIES
+PLANS = trends.QUERIES | market.QUERIES | history.QUERIES | registry.QUERIES | scoped.QUERIES | reports.QUERIES | decisions.QUERIES | footwear.QUERIES | features.QUERIES
 
 
 @pytest.fixture(scope="module")

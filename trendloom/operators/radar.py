@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trendloom import stars
 from trendloom.functions.expr import clamp, half_up
@@ -172,8 +171,3 @@ def select_distinct(candidates: DataFrame, members: DataFrame, most: int = MOST,
     kinds = "key string, place int"
     places = spark.createDataFrame([(c["key"], i + 1) for i, c in enumerate(chosen)], kinds)
     return ranked.join(places, "key").select("place", "key", "label", "score", "brands", "families", "size")
-
-
-def early_and_commercial(table: DataFrame, group: str, order: list[Column], k: int = 6) -> DataFrame:
-    """The k best directions of each group."""
-    return table.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= k)

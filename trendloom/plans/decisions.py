@@ -200,14 +200,6 @@ def ordered_union(spark, sf):
     return o.select("o_custkey", F.array_join(union_keep_order(own, F.array(F.lit("P")), own), ",").alias("statuses"))
 
 
-@query("SELECT direction, p_name, place FROM (SELECT CASE WHEN p_size > 25 THEN 'early' ELSE 'commercial' END AS direction, p_name, row_number() OVER (PARTITION BY p_size > 25 ORDER BY p_size DESC, p_partkey) AS place FROM part) WHERE place <= 6")
-def early_and_commercial(spark, sf):
-    from trendloom.operators import radar
-
-    p = _of(spark, sf, "part", "CASE WHEN p_size > 25 THEN 'early' ELSE 'commercial' END AS direction", "p_name", "p_size", "p_partkey")
-    return radar.early_and_commercial(p, "direction", [F.desc("p_size"), F.asc("p_partkey")]).select("direction", "p_name", "place")
-
-
 @query("SELECT user_id, CASE WHEN arg_max(event_type, ts) = 'signup' THEN 'VERIFIED_NEW' WHEN bool_or(event_type = 'signup') THEN 'FORMERLY_NEW' ELSE 'NOT_VERIFIED' END AS status, min(ts) FILTER (event_type = 'signup') AS first_verified FROM events GROUP BY user_id")
 def stream_newness(spark, sf):
     from trendloom.plans.history import _drain
