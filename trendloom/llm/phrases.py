@@ -37,6 +37,7 @@ from trendloom.llm.encode import slices
 LEAST, LONGEST, FIRST, COVER = 100, 5, 2000, 100
 SHARD_WORDS, SLICE_BYTES = 500_000, 2 << 20
 FILTER_BITS = 24
+TASK_ROWS = 1_000_000
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 KEYS, PHRASES = "key long, count long", "lang string, phrase string, count long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -197,6 +198,29 @@ def _phrased(shard: Shard, filters: list[np.ndarray], longest: int) -> Iterator[
             yield shard.rows(t, n, place, count)
 
 
+def summed(batches: Iterator[pa.RecordBatch], most: int = TASK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's shards with the counts of equal phrases added up; at most about `most` rows are held."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > most:
+            held = _added(held)
+            rows = sum(b.num_rows for b in held)
+            if rows > most // 2:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from _added(held)
+
+
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    keys = [c for c in held[0].schema.names if c != "count"]
+    table = pa.Table.from_batches(held).group_by(keys).aggregate([("count", "sum")])
+    return table.rename_columns([*keys, "count"]).combine_chunks().to_batches()
+
+
 def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], kinds: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """What `each` says of every shard of the documents."""
 
@@ -215,10 +239,13 @@ def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], ki
                     words, langs, held = [], [], 0
         if words:
             yield from each(Shard(words, langs))
+
+    def mine_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from summed(mine(batches))
         give_back()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(mine, kinds)
+    return rows.mapInArrow(mine_and_sum, kinds)
 
 
 def bit_filter(keyed: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> bytes:
