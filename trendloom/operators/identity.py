@@ -58,7 +58,27 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 60)
     return labels.join(found, "n", "left").select(F.col("n").alias(node), F.coalesce("component", "n").alias("component"))
 
 
-def reanchor(fresh: DataFrame, prior: DataFrame, overlap: list[str], old_id: str) -> DataFrame:
-    """Give refreshed rows the ids of prior ones with the same (brand, url); the rest get a fresh id of their own."""
-    known = prior.groupBy(*overlap).agg(F.min(old_id).alias("anchor"))
-    return fresh.join(known, overlap, "left").withColumn("anchored", F.col("anchor").isNotNull())
+def reanchor(fresh: DataFrame, prior: DataFrame, suffix: str = "--fresh") -> DataFrame:
+    """Variants of refreshed families under the ids that they had before: anchored_id, fresh_id, brand, url.
+
+    fresh: fresh_id, brand, url; prior: old_id, brand, url, a row for each variant. A variant goes to every old family with its
+    brand and URL (white space, case and slashes at the end aside). What matches nothing goes with the rest of its family if
+    that has one old id, and stays under the fresh id otherwise, with the suffix as often as it takes to be no old id; a family
+    that matches nothing keeps its id. Rows without a URL match nothing; a variant that stands twice in a family does so under
+    each of its ids.
+    """
+    key = [F.upper(F.trim("brand")).alias("b"), F.lower(F.regexp_replace(F.trim("url"), "/+$", "")).alias("k")]
+    known = prior.select(*key, "old_id").distinct()
+    matched = fresh.select("*", *key).join(known, ["b", "k"], "left").drop("b", "k")
+    anchors = matched.groupBy("fresh_id").agg(F.countDistinct("old_id").alias("anchors"), F.min("old_id").alias("only"))
+    taken = prior.select("old_id").distinct()
+    base, times = F.regexp_replace("old_id", f"(?:{suffix})+$", ""), lambda c, b: ((F.length(c) - F.length(b)) / len(suffix)).cast("int")
+    used = taken.select(base.alias("base"), times(F.col("old_id"), base).alias("t")).groupBy("base").agg(F.collect_set("t").alias("used"))
+    mine = F.regexp_replace("fresh_id", f"(?:{suffix})+$", "")
+    free = anchors.withColumn("base", mine).withColumn("t", times(F.col("fresh_id"), F.col("base"))).join(used, "base", "left")
+    used_here = F.coalesce("used", F.array().cast("array<int>"))
+    least = F.array_min(F.array_except(F.sequence(F.col("t"), F.col("t") + F.size(used_here)), used_here))
+    free = free.withColumn("free_id", F.concat("fresh_id", F.repeat(F.lit(suffix), least - F.col("t"))))
+    out = matched.join(free.select("fresh_id", "anchors", "only", "free_id"), "fresh_id")
+    anchored = F.coalesce("old_id", F.when(F.col("anchors") == 0, F.col("fresh_id")).when(F.col("anchors") == 1, F.col("only")).otherwise(F.col("free_id")))
+    return out.withColumn("anchored_id", anchored).drop("old_id", "anchors", "only", "free_id")

@@ -252,3 +252,39 @@ def master_directions(spark, sf):
 def direction_audit(spark, sf):
     found = _radar(spark, sf)
     return R.audit(found, R.signals(R.without_nested(found.filter(F.col("reason").isNull()))))
+
+
+def _listings(spark, sf):
+    """Every part as a listing of a shop: title, URL and what comparisons read."""
+    from trendloom.functions import model_names as M
+    from trendloom.functions.styles import style_identity
+
+    pick = lambda values, by: f"element_at(array({', '.join(map(_q, values))}), cast({by} as int))"
+    p = _of(
+        spark, sf, "part", "p_partkey AS number", "p_brand AS brand",
+        f"{pick(('x-shop', 'zara', 'farfetch', 'alohas', 'x-shop'), 'p_partkey % 5 + 1')} AS source",
+        f"{pick(('Black', 'Ecru', 'Wood', 'Tan'), 'p_partkey % 4 + 1')} AS color",
+        f"{pick(('Julie', 'Teddy', 'Leather', 'Stella Mesh'), 'p_size % 4 + 1')} AS model",
+        f"{pick(('Pump', 'Slingback', 'Mule', 'High Sandal', 'Ballet Flat', 'Boots'), 'p_size % 6 + 1')} AS kind_word",
+        f"{pick(('UNKNOWN', 'MID', 'HIGH', 'FLAT', 'LOW'), 'p_size % 5 + 1')} AS height",
+        f"{pick(('UNKNOWN', 'BLOCK', 'STILETTO', 'FLAT'), 'p_partkey % 4 + 1')} AS kind",
+        "CASE WHEN p_partkey % 3 = 0 THEN concat('S', 100000 + p_size % 6, '-', 1000 + p_partkey % 9) END AS sku",
+    )
+    c = F.col
+    title = F.concat_ws(" ", "model", "kind_word", F.when(c("number") % 2 == 0, F.concat(F.lit("- "), c("color"))).otherwise(c("color")))
+    handle = F.lower(F.concat_ws("-", F.regexp_replace("model", " ", "-"), F.regexp_replace("kind_word", " ", "-"), "color"))
+    url = F.when(c("source") == "zara", F.concat(F.lit("https://z/shoe-p"), F.lit(12340) + c("number") % 10, F.lit(".html"))).when(c("source") == "farfetch", F.concat(F.lit("https://f/item-"), c("number") % 50)).otherwise(F.concat(F.lit("https://x/products/"), handle))
+    p = p.withColumns({"title": title, "url": url})
+    style, verified = style_identity("sku", "source", "url")
+    listing = M.listing_key(c("source"), c("url"), c("sku"))
+    name = M.model_name(c("title"), c("color"))
+    x = X.Product(c("title"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), c("height"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    p = p.withColumns({"style": style, "verified": verified, "listing": listing, "name": name, "bare": M.colorless_title(c("title"), c("color")), "handle": M.handle_key(c("url")), "flags": M.construction_flags(F.concat_ws(" ", "title", "url")), "heel": M.heel_bucket(c("kind"), c("height")), "wood": M.wood_is_a_color(c("title"), c("url"), c("color")), "category": X.primary_category(x)["category"], "marketplace": c("source") == "farfetch"})
+    return p.withColumns({"safe": M.is_distinctive(c("name")), "own_listing": F.when(c("source") == "zara", c("listing"))})
+
+
+@query(None)
+def model_families(spark, sf):
+    from trendloom.operators import families as Y
+
+    return Y.model_families(_listings(spark, sf), "number", "listing").select("number", "brand", "family_id", "confidence", "reason")

@@ -187,10 +187,15 @@ def families_components(spark, sf):
     return I.components(nodes, I.star_links(items, ["l_suppkey", "p_brand"], "l_partkey"), "node")
 
 
+_OLD = "o_orderdate < TIMESTAMP '1998-06-01'"
+_VARIANT = {"id": "concat('c', o_custkey % 60, '-', o_orderkey % 3)", "brand": "concat(' B', o_custkey % 7, ' ')", "url": "concat('HTTP://x/P', o_orderkey % 211, CASE WHEN o_orderkey % 5 = 0 THEN '//' ELSE '' END)"}
+
+
 def reanchored(spark, sf):
-    o = lambda b: _orders(spark, sf, b).select("o_custkey", "o_orderpriority", "o_orderkey")
-    fresh = o(NOW_MONTH).select("o_custkey", "o_orderpriority").distinct()
-    return I.reanchor(fresh, o(BEFORE_MONTH), ["o_custkey", "o_orderpriority"], "o_orderkey")
+    old = _read(spark, sf, "orders").selectExpr("cast(o_orderdate as timestamp) AS o_orderdate", *(f"{v} AS {k}" for k, v in _VARIANT.items()))
+    prior = old.filter(_OLD).select(F.when(F.col("id").endswith("2"), F.concat("id", F.lit("--fresh"))).otherwise(F.col("id")).alias("old_id"), F.lower(F.trim("brand")).alias("brand"), "url")
+    fresh = old.filter(f"NOT {_OLD}").select(F.col("id").alias("fresh_id"), "brand", "url")
+    return I.reanchor(fresh, prior).groupBy("anchored_id", "fresh_id").agg(F.count("*").alias("variants"))
 
 
 def conversation_sequence(spark, sf):
@@ -240,6 +245,15 @@ def _decoded(sql: str) -> str:
     return sql
 
 
+_REANCHOR_SQL = f"""
+WITH v AS (SELECT o_orderdate, {', '.join(f'{v} AS {k}' for k, v in _VARIANT.items())}, upper(trim(brand)) AS b, rtrim(lower(trim(url)), '/') AS k FROM orders),
+p AS (SELECT DISTINCT CASE WHEN id LIKE '%2' THEN id || '--fresh' ELSE id END AS old_id, b, k FROM v WHERE {_OLD}),
+m AS (SELECT id AS fresh_id, old_id FROM v LEFT JOIN p USING (b, k) WHERE NOT {_OLD}),
+n AS (SELECT fresh_id, count(DISTINCT old_id) AS anchors, min(old_id) AS sole FROM m GROUP BY ALL),
+f AS (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM p WHERE old_id = fresh_id) THEN fresh_id WHEN NOT EXISTS (SELECT 1 FROM p WHERE old_id = fresh_id || '--fresh') THEN fresh_id || '--fresh' ELSE fresh_id || '--fresh--fresh' END AS free_id FROM n)
+SELECT coalesce(old_id, CASE anchors WHEN 0 THEN fresh_id WHEN 1 THEN sole ELSE free_id END) AS anchored_id, fresh_id, count(*) AS variants FROM m JOIN f USING (fresh_id) GROUP BY ALL"""
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "new_products": (new_products, f"SELECT o_custkey FROM {_month(NOW_MONTH)} EXCEPT SELECT o_custkey FROM {_month(BEFORE_MONTH)}"),
     "removed_products": (removed_products, f"SELECT o_custkey FROM {_month(BEFORE_MONTH)} EXCEPT SELECT o_custkey FROM {_month(NOW_MONTH)}"),
@@ -262,7 +276,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "model_name_normalize": (model_names, _MODEL_SQL),
     "families_blocking": (families_blocking, f"SELECT p_brand, {_FAMILY_KEY} AS family_key, min(p_partkey) AS representative, count(*) AS variants, CASE min(p_size % 3) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM part GROUP BY 1, 2"),
     "families_components": (families_components, None),
-    "reanchor_ids": (reanchored, f"WITH p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS anchor FROM {_month(BEFORE_MONTH)} GROUP BY ALL), f AS (SELECT DISTINCT o_custkey, o_orderpriority FROM {_month(NOW_MONTH)}) SELECT o_custkey, o_orderpriority, anchor, anchor IS NOT NULL AS anchored FROM f LEFT JOIN p USING (o_custkey, o_orderpriority)"),
+    "reanchor_ids": (reanchored, _REANCHOR_SQL),
     "conversation_sequence": (conversation_sequence, "SELECT conv_id, count(*) AS turns, count(*) FILTER (b <> role) AS changes, arg_min(role, turn) AS opens FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) GROUP BY conv_id"),
     "cluster_jaccard": (jaccard_overlap, "WITH p AS (SELECT p_brand, list(DISTINCT p_name) AS n, regexp_extract(p_brand, '(\\d+)$', 1)::INT AS k FROM part GROUP BY p_brand) SELECT a.p_brand, b.p_brand AS next, floor(len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) * 1000000.0 + 0.5) / 1000000.0 AS jaccard, floor(len(list_intersect(a.n, b.n)) / len(a.n) * 1000000.0 + 0.5) / 1000000.0 AS containment FROM p a JOIN p b ON b.k = a.k + 1"),
     "stream_daily_counts": (stream_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
