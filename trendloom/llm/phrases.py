@@ -37,7 +37,7 @@ from trendloom.llm.encode import slices
 LEAST, LONGEST, FIRST, COVER = 100, 5, 2000, 100
 SHARD_WORDS, SLICE_BYTES = 500_000, 2 << 20
 FILTER_BITS = 24
-TASK_ROWS = 1_000_000
+TASK_ROWS = 200_000
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 KEYS, PHRASES = "key long, count long", "lang string, phrase string, count long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,8 +221,8 @@ def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return table.rename_columns([*keys, "count"]).combine_chunks().to_batches()
 
 
-def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], kinds: str, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """What `each` says of every shard of the documents."""
+def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], kinds: str, shard_words: int = SHARD_WORDS, add_up: bool = False) -> DataFrame:
+    """What `each` says of every shard of the documents; with add_up the counts of equal rows of a task are added up."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Array] = []
@@ -240,12 +240,12 @@ def mined(docs: DataFrame, each: Callable[[Shard], Iterator[pa.RecordBatch]], ki
         if words:
             yield from each(Shard(words, langs))
 
-    def mine_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from summed(mine(batches))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from summed(mine(batches)) if add_up else mine(batches)
         give_back()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(mine_and_sum, kinds)
+    return rows.mapInArrow(run, kinds)
 
 
 def bit_filter(keyed: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> bytes:
@@ -268,7 +268,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         filters = list(sent)
         keyed = mined(docs, lambda s, f=filters: _keyed(s, _read(f)), KEYS, shard_words)
         sent.append(docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, least, filter_bits)))
-    summed = mined(docs, lambda s: _phrased(s, _read(sent), longest), PHRASES, shard_words).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    summed = mined(docs, lambda s: _phrased(s, _read(sent), longest), PHRASES, shard_words, True).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return stash(summed.filter((F.col("phrase") == "") | (F.col("count") >= least)).select("lang", size.alias("size"), "phrase", "count"), "phrases")
 
