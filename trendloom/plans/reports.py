@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import coverage as V
 from trendloom.operators import delivery as D
+from trendloom.operators import evidence as Z
 from trendloom.operators import ladders as L
 from trendloom.operators import merge as G
 from trendloom.plans.market import _read, _ts
@@ -82,21 +83,55 @@ def registry_errors(spark, sf):
     return L.registry_errors(brands, _of(spark, sf, "part", "p_partkey AS id", "p_partkey % 97 AS brand"))
 
 
-_NEED = {"id": "s_suppkey", "categories_missing": "s_suppkey % 4", "without_images": "s_suppkey % 10", "items": "s_suppkey % 50", "average_images": "s_suppkey % 5"}
+_NEED = {"id": "s_suppkey", "brand": "CASE WHEN s_suppkey % 40 = 7 THEN 'jeffrey-campbell' ELSE s_name END", "products": "s_suppkey % 7 * 30", "coverage_percent": "s_suppkey % 11 * 10.0", "specific_categories": "s_suppkey % 5", "average_images": "s_suppkey % 9 / 2.0", "single_image": "s_suppkey % 7 * (s_suppkey % 4) * 10"}
 
 
-@query(f"WITH c AS (SELECT {_columns(_NEED)} FROM supplier) SELECT id, array_to_string(list_filter([CASE WHEN categories_missing > 0 THEN 'CATEGORIES_MISSING' END, CASE WHEN without_images / greatest(items, 1) > 0.1::DOUBLE THEN 'IMAGES_MISSING' END, CASE WHEN average_images < 2 THEN 'FEW_IMAGES' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c")
+@query(f"WITH c AS (SELECT {_columns(_NEED)} FROM supplier) SELECT id, products > 0 AND (brand = 'jeffrey-campbell' OR coverage_percent < 40 OR (specific_categories <= 2 AND products >= 80)) AS categories, products > 0 AND average_images < 2 AND single_image > 0.6 * products AS images FROM c")
 def recrawl_needs(spark, sf):
-    return _of(spark, sf, "supplier", *_exprs(_NEED)).select("id", F.array_join(L.recrawl_reasons(), ",").alias("reasons"))
+    return _of(spark, sf, "supplier", *_exprs(_NEED)).select("id", Z.needs_categories().alias("categories"), Z.needs_images().alias("images"))
+
+
+_PROOF = {
+    "number": "o_orderkey",
+    "brand": "concat('Brand ', CAST(o_custkey % 400 AS STRING))",
+    "slug": "CASE WHEN o_custkey % 31 = 0 THEN '--' WHEN o_custkey % 3 = 0 THEN '' ELSE concat(' Bränd_', CAST(o_custkey % 400 AS STRING), ' ') END",
+    "source_slug": "CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE 'own shop' END",
+    "source_scope": "CASE WHEN o_orderkey % 13 = 0 THEN 'MARKETPLACE' ELSE 'OFFICIAL_BRAND' END",
+    "status": "CASE WHEN o_orderkey % 17 = 0 THEN 'FAILED' WHEN o_orderkey % 19 = 0 THEN 'UNAVAILABLE' ELSE 'SUCCEEDED' END",
+    "attempted_at": "concat(CAST(1995 + o_orderkey % 7 AS STRING), '-0', CAST(1 + o_orderkey % 9 AS STRING), '-1', CAST(o_orderkey % 10 AS STRING), CASE WHEN o_orderkey % 53 = 0 THEN 'T00:00:00Z' ELSE 'T00:00:00.000Z' END)",
+    "source_url": "concat(CASE WHEN o_custkey % 23 = 0 THEN 'http' ELSE 'https' END, '://shop/', CAST(o_custkey AS STRING))",
+    "snapshot_id": "CASE WHEN o_custkey % 29 <> 0 THEN concat('s', CAST(o_orderkey AS STRING)) END",
+    "product_snapshot_id": "CASE WHEN o_custkey % 37 = 0 THEN ' ' WHEN o_custkey % 41 = 0 THEN 's' ELSE concat('s', CAST(o_orderkey AS STRING)) END",
+    "women_only": "o_custkey % 43 <> 0",
+    "source_total": "CASE WHEN o_custkey % 47 = 0 THEN NULL WHEN o_custkey % 49 = 0 THEN 0 ELSE 10 + o_custkey % 90 END",
+    "collected": "CASE WHEN o_custkey % 51 = 0 THEN -1 WHEN o_custkey % 7 = 0 THEN 3 WHEN o_custkey % 49 = 0 THEN 0 ELSE 10 + o_custkey % 90 END",
+    "gallery": "CASE WHEN o_custkey % 57 = 0 THEN -5 WHEN o_custkey % 11 = 0 THEN 1 ELSE 10 + o_custkey % 90 END",
+    "taxonomy_ok": "o_custkey % 5 <> 0",
+    "custom_adapter": "o_custkey % 59 = 0",
+    "blocker": "CASE WHEN o_custkey % 2 = 0 THEN 'captcha' END",
+}
+_GOOD = {"slug": "concat('brand ', CAST(c_custkey AS STRING))", "source_slug": "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'own-shop' END", "collected": "c_custkey % 200"}
+
+
+def _sql(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {c}" for c, e in columns.items())
 
 
-_PROOF = {"id": "s_suppkey", "official_url": "CASE WHEN s_suppkey % 9 > 0 THEN 'https://s' || s_suppkey END", "reachable": "s_suppkey % 7 > 0", "adapter": "s_suppkey % 5 > 0", "products": "s_suppkey % 6", "women_share": "(s_suppkey % 10) / 10"}
-
-
-@query(f"WITH c AS (SELECT {_columns(_PROOF)} FROM supplier), b AS (SELECT *, CASE WHEN official_url IS NULL THEN 'NO_OFFICIAL_URL' WHEN NOT reachable THEN 'SITE_UNREACHABLE' WHEN NOT adapter THEN 'NO_ADAPTER' WHEN products = 0 THEN 'NO_PRODUCTS' WHEN women_share < 0.5 THEN 'SCOPE_UNCLEAR' END AS blocker FROM c) SELECT id, blocker, CASE WHEN blocker IS NULL THEN 'STAGING' WHEN blocker IN ('NO_ADAPTER', 'NO_PRODUCTS') THEN 'ADAPTER' ELSE 'REVIEW' END AS queue FROM b")
+@query(f"""
+WITH raw AS (SELECT {_sql(_PROOF)} FROM orders), g AS (SELECT replace(slug, ' ', '-') AS slug, collected AS was FROM (SELECT {_sql(_GOOD)} FROM customer) WHERE source_slug <> ''),
+n AS (SELECT * REPLACE (CASE WHEN slug = '--' THEN '' ELSE 'brand-' || regexp_extract(brand, '[0-9]+') END AS slug, trim(source_slug) AS source_slug) FROM raw),
+a AS (SELECT *, CASE WHEN slug = '' THEN 'INVALID_BRAND_SLUG' WHEN source_slug = '' THEN 'INVALID_SOURCE_SLUG' WHEN attempted_at NOT LIKE '%.000Z' THEN 'INVALID_ATTEMPTED_AT' WHEN source_scope <> 'OFFICIAL_BRAND' THEN 'NON_OFFICIAL_SOURCE' END AS bad FROM n),
+l AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN row_number() OVER (PARTITION BY slug, bad IS NULL ORDER BY attempted_at DESC, number) > 1 THEN 'SUPERSEDED_ATTEMPT' END AS rejected FROM a),
+j AS (SELECT l.*, was, was IS NOT NULL AS has, CASE WHEN was > 0 AND collected >= 0 THEN floor((was - collected)::DOUBLE / was * 100 * 100 + 0.5) / 100 END AS fall FROM l LEFT JOIN g USING (slug)),
+k AS (SELECT *, CASE WHEN source_url LIKE 'http:%' THEN 'OFFICIAL_URL_MUST_BE_HTTPS' WHEN snapshot_id IS NULL THEN 'MISSING_SNAPSHOT_ID' WHEN trim(product_snapshot_id) = '' THEN 'MISSING_PRODUCT_SNAPSHOT_ID' WHEN snapshot_id <> product_snapshot_id THEN 'SNAPSHOT_BINDING_MISMATCH' WHEN NOT women_only THEN 'WOMENS_FOOTWEAR_SCOPE_NOT_VERIFIED' WHEN source_total IS NULL THEN 'SOURCE_TOTAL_NOT_VERIFIED' WHEN collected < 0 THEN 'INVALID_COLLECTED_COUNT' WHEN source_total = 0 OR collected <> source_total THEN 'FULL_CATALOG_COVERAGE_NOT_VERIFIED' WHEN fall > 40 THEN 'CATASTROPHIC_CATALOG_DROP' WHEN gallery < 0 THEN 'INVALID_GALLERY_COUNT' WHEN gallery <> collected THEN 'GALLERY_QA_INCOMPLETE' WHEN NOT taxonomy_ok THEN 'TAXONOMY_QA_FAILED' END AS against FROM j),
+q AS (SELECT *, CASE WHEN rejected IS NOT NULL THEN 'REJECTED' WHEN custom_adapter THEN 'ADAPTER' WHEN status <> 'SUCCEEDED' OR against IS NOT NULL THEN 'REVIEW' ELSE 'STAGING' END AS queue FROM k)
+SELECT number, slug, queue, CASE queue WHEN 'STAGING' THEN 'STAGING_READY' WHEN 'ADAPTER' THEN 'CUSTOM_ADAPTER_REQUIRED' WHEN 'REVIEW' THEN CASE WHEN has THEN 'LAST_GOOD_RETAINED' ELSE 'BLOCKED' END END AS state,
+  CASE WHEN rejected IS NOT NULL THEN rejected WHEN custom_adapter THEN coalesce(blocker, 'CUSTOM_ADAPTER_REQUIRED') WHEN status <> 'SUCCEEDED' THEN coalesce(blocker, 'REFRESH_' || status) ELSE against END AS reason,
+  CASE WHEN queue <> 'REJECTED' AND source_total > 0 THEN collected::DOUBLE / source_total END AS coverage, CASE WHEN queue <> 'REJECTED' AND source_total IS NOT NULL THEN greatest(0, source_total - collected) END AS missing, CASE WHEN queue <> 'REJECTED' THEN fall END AS "drop", queue NOT IN ('REJECTED', 'STAGING') AND has AS retained FROM q""")
 def evidence_queues(spark, sf):
-    blocker, queue = L.evidence_queues()
-    return _of(spark, sf, "supplier", *_exprs(_PROOF)).select("id", blocker.alias("blocker"), queue.alias("queue"))
+    evidence, good = _of(spark, sf, "orders", *_exprs(_PROOF)), _of(spark, sf, "customer", *_exprs(_GOOD))
+    out = Z.plan(evidence, good).withColumn("missing", F.when(F.col("source_total").isNotNull(), F.col("missing")))
+    return out.select("number", "slug", "queue", "state", "reason", "coverage", F.col("missing").cast("long").alias("missing"), "drop", "retained")
 
 
 @query("SELECT p_partkey, p_size, p_size <= 25 AS kept FROM part WHERE p_size > 25 OR p_partkey % 3 = 0")
@@ -140,13 +175,22 @@ def verification_summary(spark, sf):
     return V.verification_summary(_looks(spark, sf), "feature")
 
 
-_PROPOSAL = {"id": "p_partkey", "known": "p_size % 9 = 0", "field_ok": "p_size % 8 <> 0", "value": "CASE WHEN p_size % 7 <> 0 THEN p_type END", "confidence": "(p_size % 10) / 10", "contradicts": "p_size % 13 = 0", "images": "p_size % 4"}
+_PROPOSAL = {
+    "id": "p_partkey",
+    "field": "element_at(array('toeShape', 'heelHeightMm', 'shaftFit', 'freeField', 'soleProfile'), CAST(p_size % 5 + 1 AS INT))",
+    "value": "element_at(array('POINTED', 'THIN', 'WIDE', 'FREE_1+X', 'free', ''), CAST(p_partkey % 6 + 1 AS INT))",
+    "confidence": "CASE WHEN p_partkey % 13 > 0 THEN 0.8 + (p_size % 4) * 0.05 END",
+    "status": "element_at(array('KNOWN', 'UNKNOWN', 'NOT_APPLICABLE'), CAST(p_partkey % 3 + 1 AS INT))",
+    "source": "element_at(array('PRODUCT_TEXT', 'DERIVED', 'VISION', 'COLLECTION_TAG'), CAST(p_size % 4 + 1 AS INT))",
+}
 
 
-@query(f"WITH c AS (SELECT {_columns(_PROPOSAL)} FROM part) SELECT id, array_to_string(list_filter([CASE WHEN known THEN 'ALREADY_KNOWN' END, CASE WHEN NOT field_ok THEN 'FIELD_NOT_APPLICABLE' END, CASE WHEN value IS NULL THEN 'NO_VALUE' END, CASE WHEN value NOT IN ('PROMO', 'SMALL', 'LARGE') THEN 'VALUE_NOT_ALLOWED' END, CASE WHEN confidence < 0.7::DOUBLE THEN 'LOW_CONFIDENCE' END, CASE WHEN contradicts THEN 'CONTRADICTION' END, CASE WHEN images = 0 THEN 'NO_EVIDENCE_IMAGE' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c")
+@query("""
+WITH c AS (SELECT p_partkey AS id, (['toeShape', 'heelHeightMm', 'shaftFit', 'freeField', 'soleProfile'])[p_size % 5 + 1] AS field, (['POINTED', 'THIN', 'WIDE', 'FREE_1+X', 'free', ''])[p_partkey % 6 + 1] AS value, p_partkey % 13 > 0 AND p_size % 4 > 0 AS sure, (['KNOWN', 'UNKNOWN', 'NOT_APPLICABLE'])[p_partkey % 3 + 1] AS status, (['PRODUCT_TEXT', 'DERIVED', 'VISION', 'COLLECTION_TAG'])[p_size % 4 + 1] AS source FROM part)
+SELECT id, CASE WHEN field = 'heelHeightMm' THEN 'blocked-field' WHEN value = '' OR NOT sure THEN 'low-confidence' WHEN NOT CASE field WHEN 'toeShape' THEN value = 'POINTED' WHEN 'shaftFit' THEN value = 'WIDE' WHEN 'soleProfile' THEN value = 'THIN' ELSE value <> 'free' END THEN 'invalid-enum'
+  WHEN status = 'KNOWN' THEN CASE WHEN source IN ('PRODUCT_TEXT', 'COLLECTION_TAG') THEN 'protected-source' WHEN source = 'DERIVED' THEN 'deterministic-derived' ELSE 'already-known' END WHEN status = 'NOT_APPLICABLE' THEN 'not-applicable' END AS reason FROM c""")
 def proposal_rejections(spark, sf):
-    c = _of(spark, sf, "part", *_exprs(_PROPOSAL)).withColumn("allowed", F.array(*map(F.lit, ("PROMO", "SMALL", "LARGE"))))
-    return c.select("id", F.array_join(L.proposal_rejections(), ",").alias("reasons"))
+    return _of(spark, sf, "part", *_exprs(_PROPOSAL)).select("id", Z.proposal_rejection().alias("reason"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'RUNNING' WHEN o_orderstatus = 'P' THEN 'DONE' END AS next FROM orders")
@@ -156,14 +200,22 @@ def task_states(spark, sf):
     return o.select("o_orderkey", L.next_state(F.col("o_orderstatus"), F.col("event"), moves).alias("next"))
 
 
-@query("""
-WITH b AS (SELECT s_suppkey, s_acctbal > 500 AS active, s_nationkey AS priority, s_suppkey % 3 = 0 AS due, s_suppkey % 2 = 0 AS was FROM supplier),
-k AS (SELECT *, CASE WHEN NOT active THEN 'INACTIVE' WHEN was AND NOT due THEN 'NOT_DUE' END AS skip, CASE WHEN was THEN 'REFRESH' ELSE 'FIRST' END AS pass FROM b),
-r AS (SELECT *, CASE WHEN skip IS NULL THEN row_number() OVER (PARTITION BY pass, skip IS NULL ORDER BY priority, s_suppkey) END AS place FROM k)
-SELECT s_suppkey, pass, CASE WHEN place > 10 THEN 'OVER_LIMIT' ELSE skip END AS skip, CASE WHEN place <= 10 THEN place END AS place FROM r""")
+_BRAND = {"slug": "concat('b', lpad(CAST(c_custkey AS STRING), 6, '0'))", "brand": "c_name", "url": "concat(CASE WHEN c_custkey % 11 = 0 THEN 'http' ELSE 'HTTPS' END, '://Shop', CAST(c_custkey AS STRING), '.com/', CASE WHEN c_custkey % 2 = 0 THEN '?x=1#y' ELSE 'a/' END)", "active": "c_custkey % 5 > 0", "collection_status": "CASE WHEN c_custkey % 7 > 0 THEN 'READY_AUTOMATIC' ELSE 'BLOCKED' END", "collector": "CASE WHEN c_custkey % 3 > 0 THEN 'SHOPIFY_PUBLIC' ELSE 'CUSTOM' END"}
+
+
+@query(f"""
+WITH u AS (SELECT c_custkey AS k, {_sql(_BRAND)}, CASE WHEN c_custkey % 11 > 0 THEN 'https://shop' || c_custkey || '.com' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '/a' END END AS clean FROM customer),
+f AS (SELECT slug, 'LAST_GOOD' AS origin, clean AS url, CASE WHEN NOT active OR collection_status <> 'READY_AUTOMATIC' THEN 'LAST_GOOD_SOURCE_NOT_ACTIVE_AND_READY' WHEN collector <> 'SHOPIFY_PUBLIC' THEN 'COLLECTOR_NOT_SUPPORTED_BY_AUTOMATION' WHEN clean IS NULL THEN 'VALID_HTTPS_OFFICIAL_URL_REQUIRED' END AS reason FROM u WHERE k % 2 = 0),
+s AS (SELECT q.slug, 'APPROVED_QUEUE' AS origin, CASE WHEN q.k % 17 = 0 THEN NULL WHEN q.k % 4 = 0 THEN 'https://adapter.com/' || q.k ELSE 'https://queued.com' END AS url,
+  CASE WHEN q.k % 10 = 9 THEN 'UNIVERSE_ENTRY_REQUIRED' WHEN q.k % 5 = 0 THEN 'REFRESH_ONLY_SOURCE_NOT_ACTIVE' WHEN q.k % 6 = 1 THEN 'APPROVED_ADAPTER_REQUIRED' WHEN q.k % 8 = 3 THEN 'APPROVED_ADAPTER_NOT_YET_AUTOMATABLE' WHEN q.k % 17 = 0 THEN 'VALID_HTTPS_OFFICIAL_URL_REQUIRED' END AS reason
+  FROM (SELECT k, CASE WHEN k % 10 = 9 THEN 'x' || slug ELSE slug END AS slug FROM u WHERE k % 3 < 2) q WHERE q.slug NOT IN (SELECT slug FROM f WHERE reason IS NULL)),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY reason IS NULL ORDER BY origin, slug) AS place FROM a)
+SELECT slug, origin, url, CASE WHEN reason IS NULL THEN place END AS place, reason FROM p WHERE reason IS NOT NULL OR place <= 40""")
 def automation_plan(spark, sf):
-    b = _of(spark, sf, "supplier", "s_suppkey", "s_acctbal > 500 AS active", "s_nationkey AS priority", "s_suppkey % 3 = 0 AS due")
-    return L.automation_plan(b, b.filter("s_suppkey % 2 = 0"), "s_suppkey", 10).select("s_suppkey", "pass", "skip", F.col("place").cast("long").alias("place"))
+    u = _of(spark, sf, "customer", "c_custkey AS k", *_exprs(_BRAND))
+    queue = u.filter("k % 3 < 2").select(F.expr("CASE WHEN k % 10 = 9 THEN concat('x', slug) ELSE slug END").alias("slug"), F.expr("CASE WHEN k % 2 = 0 THEN 'READY' ELSE 'ACTIVE' END").alias("status"), F.expr("CASE WHEN k % 17 = 0 THEN NULL ELSE 'https://queued.com/' END").alias("url"))
+    adapters = u.filter("k % 6 <> 1").select("slug", F.expr("CASE WHEN k % 8 = 3 THEN 'custom' ELSE 'shopify-public' END").alias("strategy"), F.expr("CASE WHEN k % 17 = 0 THEN 'ftp://x' WHEN k % 4 = 0 THEN concat('https://adapter.com/', k, '/?q') ELSE '' END").alias("adapter_url"))
+    return Z.automation_plan(u, queue, adapters, u.filter("k % 2 = 0"), limit=40, refresh_only=True)
 
 
 @query("SELECT p_brand, p_partkey, variants FROM (SELECT p_brand, p_partkey, count(*) OVER (PARTITION BY p_brand) AS variants, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) WHERE k = 1")
