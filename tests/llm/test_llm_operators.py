@@ -233,6 +233,19 @@ def test_permutation_index_recall_where_the_share_cuts(spark, hot):
     assert min(np.mean(recall[:40]), np.mean(recall[40:])) >= 0.9
 
 
+def test_permutation_index_does_not_depend_on_the_session(spark):
+    from trendloom.llm.permutation_index import op3_permutation_index
+
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 16, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(tuple(r) for r in op3_permutation_index(spark, "/root/testdata/sf0.1").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] and got[0]
+
+
 def test_permutation_index_odd_vectors(spark):
     from pyspark.sql import functions as F
 
@@ -370,6 +383,22 @@ def test_shards_of_many_buckets_and_odd_rows(odd, empty):
     assert sorted(fisher_yates(100, [1])) == list(range(100)) and list(fisher_yates(0, [1])) == []
 
 
+def test_equal_rows_are_scattered_over_all_buckets(spark):
+    from trendloom.llm.sharding import with_slots, write_shards
+
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", "'the same text' AS text").unionByName(spark.range(3_000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    written = write_shards(rows, shards=2, bucket_bytes=30_000)
+    size = {(r.shard, r.bucket): r.b for r in written.groupBy("shard", "bucket").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()}
+    shard = max(size, key=size.get)[0]
+    assert max(size.values()) <= 2 * sum(b for (s, _), b in size.items() if s == shard) / 6 and sum(s == shard for s, _ in size) >= 5
+    place = lambda df: Counter((r.doc_id, r.text, r.shard, r.slot) for r in with_slots(df).collect())
+    first = place(written)
+    assert first == place(write_shards(rows.repartition(7), shards=2, bucket_bytes=30_000)) and sum(first.values()) == 23_000
+    for s in (0, 1):
+        slots = sorted(slot for (_, _, at, slot) in first.elements() if at == s)
+        assert slots == list(range(len(slots)))
+
+
 # 6
 
 

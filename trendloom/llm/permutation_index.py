@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendloom.llm.common import shuffle_partitions, stash
+from trendloom.llm.common import stash
 
 PIVOTS, PREFIX, SAMPLE = 128, 12, 4096
 SHARE, LEAST = 0.06, 64
 ROW_BLOCK, CHUNK = 1 << 17, 2048
+#: A table of fewer blocks is cut into up to FEW_BLOCKS of LEAST_BLOCK rows at least, so that its tasks run beside each other.
+FEW_BLOCKS, LEAST_BLOCK = 16, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -178,7 +180,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVO
     # Repeated rows are counted once; they are pre-aggregated before the exchange.
     once = good.filter(F.size("vector") == chosen.shape[1]).groupBy("vec_id", "vector").agg(F.bool_or(F.coalesce("asks", F.lit(False))).alias("asks"))
     ordered = stash(once.mapInArrow(_orders(chosen), f"vec_id long, vector {inner}, asks boolean, ranks binary"), "orders")
-    blocks = max(shuffle_partitions(spark), -(-ordered.count() // ROW_BLOCK))
+    count = ordered.count()
+    blocks = max(1, -(-count // ROW_BLOCK), min(FEW_BLOCKS, -(-count // LEAST_BLOCK)))  # of the table alone, not of the session
     rows = ordered.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
     asked = ordered.filter("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = rows.unionByName(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks", "vec_id")

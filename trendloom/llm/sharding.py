@@ -8,7 +8,7 @@ buckets plus its place in its own; bucket sizes are read from the written table.
 
 Defined cases: null text counts 0 bytes (size 1) and has crc32 0; a very long text is one record of its bucket; a null doc_id is a key like any other; rows
 that repeat a doc_id go to one shard and are scattered over its buckets by their text; equal rows are
-interchangeable; empty shards have no files; extra columns are written along when asked for (`keep`), under names of
+interchangeable and scattered over all buckets of their shard by their number; empty shards have no files; extra columns are written along when asked for (`keep`), under names of
 their own.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendloom.llm.common import new_dir, shuffle_partitions
+from trendloom.llm.common import new_dir, shuffle_partitions, stash
 
 BUCKET_BYTES = 16 << 20
 
@@ -40,6 +40,20 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ordinal, which counts rows that are equal in every column: 0 for the first or only one. Such rows are counted and
+    made again from one of them, so that they can be dealt apart; rows are moved only if there are any."""
+    columns = rows.columns
+    both = [F.xxhash64(F.lit(s), *columns).alias(f"hash{s}") for s in (1, 2)]
+    many = stash(rows.groupBy(*both).agg(F.count("*").alias("times")).filter("times > 1"), "equal")
+    if not many.limit(1).count():
+        return rows.withColumn("ordinal", F.lit(0).cast("long"))
+    tagged = rows.select("*", *both).join(many, ["hash1", "hash2"], "left")
+    once = tagged.filter("times is null").withColumn("ordinal", F.lit(0).cast("long"))
+    again = tagged.filter("times is not null").dropDuplicates(["hash1", "hash2"]).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return once.unionByName(again).select(*columns, "ordinal")
+
+
 def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = BUCKET_BYTES, keep: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
     """Write docs(doc_id, text, keep...) as shards and return the written table, with each row's bucket and place in it."""
     spark = docs.sparkSession
@@ -48,7 +62,9 @@ def write_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes:
     rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), key_shard(key, shards).alias("shard"), key_shard(key, shards + 1).alias("grown_shard"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).cast("int"))
+    # equal rows are dealt apart, by their number, so no bucket is theirs alone
+    hashed = F.when(F.col("ordinal") == 0, F.xxhash64(F.lit(seed), "doc_id", "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "text", "ordinal"))
+    scattered = numbered(rows).withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int")).drop("ordinal")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema.fields) + ", place long"
 
     def shuffle(table: pa.Table) -> pa.Table:
