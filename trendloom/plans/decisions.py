@@ -200,13 +200,13 @@ def ordered_union(spark, sf):
     return o.select("o_custkey", F.array_join(union_keep_order(own, F.array(F.lit("P")), own), ",").alias("statuses"))
 
 
-@query("SELECT user_id, CASE WHEN arg_max(event_type, ts) = 'signup' THEN 'VERIFIED_NEW' WHEN bool_or(event_type = 'signup') THEN 'FORMERLY_NEW' ELSE 'NOT_VERIFIED' END AS status, min(ts) FILTER (event_type = 'signup') AS first_verified FROM events GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN arg_max(event_type = 'signup', (ts, event_type = 'signup')) THEN 'VERIFIED_NEW' WHEN bool_or(event_type = 'signup') THEN 'FORMERLY_NEW' ELSE 'NOT_VERIFIED' END AS status, min(ts) FILTER (event_type = 'signup') AS first_verified FROM events GROUP BY user_id")
 def stream_newness(spark, sf):
     from trendloom.plans.history import _drain
     from trendloom.streaming import stateful
 
-    rows = _drain(spark, sf, "newness", lambda e: stateful.newness(e.withColumn("verified", F.col("event_type") == "signup"), "user_id", "ts", "verified"), "update")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("status", "first_verified"), F.col("latest")).alias("s")).select("user_id", "s.*")
+    rows = _drain(spark, sf, lambda e: stateful.newness(e.withColumn("verified", F.col("event_type") == "signup"), "user_id", "ts", "verified"), ["user_id"])
+    return rows.select("user_id", "status", "first_verified")
 
 
 @query("SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY 1, 2) GROUP BY user_id")

@@ -215,28 +215,49 @@ def jaccard_overlap(spark, sf):
 
 
 def stream_daily(spark, sf):
-    """The windowed count as a stream: the events file read as a stream, run to its end, the result from memory."""
+    """The windowed count as a stream: the events file read as a stream, run to its end."""
     from trendloom.streaming import stateful
 
-    return _drain(spark, sf, "daily", lambda e: stateful.windowed_counts(e, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "complete")
+    return _drain(spark, sf, lambda e: stateful.windowed_counts(e, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), ["day", "event_type"])
 
 
 def stream_seen(spark, sf):
     from trendloom.streaming import stateful
 
-    seen = _drain(spark, sf, "seen", lambda e: stateful.seen_range(e, "user_id", "ts"), "update")
-    return seen.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("sightings").alias("sightings"))
+    return _drain(spark, sf, lambda e: stateful.seen_range(e, "user_id", "ts"), ["user_id"])
 
 
-def _drain(spark, sf, name, build, mode):
+def stream_item_events(spark, sf):
+    """The same two catalogs as snapshots of a stream, each by a query of its own from one checkpoint; events of the second."""
+    from trendloom.sources.shards import read_lane
+    from trendloom.streaming import stateful
+
+    folder = stream_folder(spark)
+    run = stateful.item_events(f"{folder}/lane")
+    for since, until in (("1996-01-01", "1997-01-01"), ("1997-01-01", "1998-01-01")):
+        snapshot = _catalog(spark, sf, since, until).select(F.lit("shop").alias("source"), "item", "model", "color", "in_stock", "price")
+        snapshot.write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(snapshot.schema).parquet(f"{folder}/in")
+        rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_lane(spark, f"{folder}/lane", "events").select("item", "event", "price_before", "price_now")
+
+
+def stream_folder(spark) -> str:
+    """A new folder that all executors see."""
     import uuid
 
-    # Only this file of the folder is the stream; the memory sink is for bounded inputs.
+    from trendloom import stars
+
+    stars.durable(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def _drain(spark, sf, build, key):
+    from trendloom.streaming import stateful
+
+    # Only this file of the folder is the stream.
     source = spark.readStream.schema(_read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    sink = f"trendloom_{name}_{uuid.uuid4().hex}"
-    query = build(source).writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(sink)
+    return stateful.latest_rows(build(source), stream_folder(spark), key)
 
 
 def _decoded(sql: str) -> str:
@@ -259,6 +280,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "removed_products": (removed_products, f"SELECT o_custkey FROM {_month(BEFORE_MONTH)} EXCEPT SELECT o_custkey FROM {_month(NOW_MONTH)}"),
     "signal_changes": (signal_changes, _SIGNAL_SQL),
     "catalog_events": (catalog_events, _EVENTS_SQL),
+    "stream_item_events": (stream_item_events, _EVENTS_SQL),
     "first_last_seen": (first_last_seen, "SELECT l_partkey, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) AS sightings FROM lineitem GROUP BY l_partkey"),
     "latest_attempt": (latest_attempt, "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1 THEN 'CURRENT' ELSE 'SUPERSEDED' END AS status FROM orders"),
     "retention_gate": (retention_gate, _RETENTION_SQL),

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -25,46 +21,77 @@ def unseen(events: DataFrame, key: list[str], ts: str, late: str = "2 days") ->
 
 
 def seen_range(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """First and last time each key was seen, updated as batches arrive; state is two instants and a count per key, and is
-    kept for good, as the history is. Rows without a time are counted only."""
-
-    def update(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (None, None, 0)
-        for pdf in rows:
-            known = pdf[ts].dropna()
-            n += len(pdf)
-            if len(known):
-                lo, hi = known.min().value // 1000, known.max().value // 1000
-                first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-        state.update((first, last, n))
-        yield pd.DataFrame({key: [k[0]], "first_seen": [None if first is None else pd.Timestamp(first * 1000)], "last_seen": [None if last is None else pd.Timestamp(last * 1000)], "sightings": [n]})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, first_seen timestamp, last_seen timestamp, sightings long", "first long, last long, n long", "update", GroupStateTimeout.NoTimeout)
+    """First and last time each key was seen, updated as batches arrive; the aggregate's state is two instants and a count per
+    key, and is kept for good, as the history is. Rows without a time are counted only."""
+    return events.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("sightings"))
 
 
 def newness(events: DataFrame, key: str, ts: str, verified: str) -> DataFrame:
     """The newness machine as a stream: VERIFIED_NEW while the last sighting of a key is verified, FORMERLY_NEW if an
-    earlier one was, else NOT_VERIFIED; with the first and last verified time. State is three instants and a flag."""
-
-    def update(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, latest, now = state.get if state.exists else (None, None, None, False)
-        for pdf in rows:
-            for at, ok in zip(pdf[ts], pdf[verified]):
-                if pd.isna(at):
-                    continue
-                t, ok = at.value // 1000, bool(ok)
-                if latest is None or t >= latest:
-                    latest, now = t, ok
-                if ok:
-                    first, last = t if first is None else min(first, t), t if last is None else max(last, t)
-        state.update((first, last, latest, now))
-        status = "VERIFIED_NEW" if now else "FORMERLY_NEW" if first is not None else "NOT_VERIFIED"
-        instant = lambda t: None if t is None else pd.Timestamp(t * 1000)
-        yield pd.DataFrame({key: [k[0]], "status": [status], "first_verified": [instant(first)], "last_verified": [instant(last)], "latest": [instant(latest)]})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, status string, first_verified timestamp, last_verified timestamp, latest timestamp", "first long, last long, latest long, now boolean", "update", GroupStateTimeout.NoTimeout)
+    earlier one was, else NOT_VERIFIED; with the first and last verified time. Of sightings at one time a verified one is the
+    last; those without a time are left out, a null flag is none."""
+    known = events.filter(F.col(ts).isNotNull())
+    yes = F.coalesce(F.col(verified), F.lit(False))
+    at = F.when(yes, F.col(ts))
+    out = known.groupBy(key).agg(F.min(at).alias("first_verified"), F.max(at).alias("last_verified"), F.max(F.struct(F.col(ts).alias("ts"), yes.alias("now"))).alias("newest"))
+    status = F.when(F.col("newest.now"), "VERIFIED_NEW").when(F.col("first_verified").isNotNull(), "FORMERLY_NEW").otherwise("NOT_VERIFIED")
+    return out.select(key, status.alias("status"), "first_verified", "last_verified", F.col("newest.ts").alias("latest"))
+
+
+def latest_rows(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
+    """Run an updating stream to the end of its input and return the last row of each key. Each batch is a folder of its own
+    under its number, so one that is run again after a restart replaces itself; the stream goes on from its checkpoint."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in key]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields), "batch int"])
+    rows = stream.sparkSession.read.schema(kinds).parquet(f"{folder}/rows")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
+
+
+def item_events(path: str):
+    """A foreachBatch function that turns snapshots of sources into events of their items, with the state as published tables.
+
+    A batch holds whole snapshots: source, item, model, color, in_stock, price. Tables of the lane at `path`: `items` (the last
+    snapshot of each source), `seen` (every source, item, model and colour that ever was) and `events` (of the batch). A source
+    without a state is a BASELINE; a source that is not in a batch keeps its state. All three are published at once, so a
+    batch that fails leaves readers where they were and is taken up again; one that comes twice is published once. State is
+    joined by key, not held by a task; of rows that repeat an item in a snapshot one counts.
+    """
+    from trendloom.operators.snapshots import catalog_events
+    from trendloom.sources.shards import lane, read_lane
+
+    scoped = F.concat_ws("\x01", "source", "model")
+    names = ["source", "item", "model", "color", "in_stock", "price"]
+
+    def whole(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("source", "item").agg(F.max(F.struct(*names[2:])).alias("r")).select("source", "item", "r.*")
+
+    def state(batch: DataFrame, table: str, columns: list[str]) -> DataFrame:
+        known = read_lane(batch.sparkSession, path, table)
+        return batch.limit(0).select(*columns) if known is None else known.select(*columns)
+
+    def items(batch: DataFrame) -> DataFrame:
+        kept = state(batch, "items", names).join(batch.select("source").distinct(), "source", "left_anti")
+        return kept.unionByName(whole(batch).select(*names))
+
+    def seen(batch: DataFrame) -> DataFrame:
+        return state(batch, "seen", names[:4]).unionByName(batch.select(*names[:4])).distinct()
+
+    def events(batch: DataFrame) -> DataFrame:
+        now, before = whole(batch), state(batch, "items", names)
+        known = before.select("source").distinct()
+        first = now.join(known, "source", "left_anti").select("source", "item", F.lit("BASELINE").alias("event"), F.lit(None).cast("double").alias("price_before"), F.col("price").cast("double").alias("price_now"))
+        mine = batch.select("source").distinct()
+        old, history = (t.join(mine, "source", "left_semi").withColumn("model", scoped) for t in (before, state(batch, "seen", names[:4])))
+        told = catalog_events(now.join(known, "source", "left_semi").withColumn("model", scoped), old, ["source", "item"], "model", "color", seen=history)
+        return first.unionByName(told.withColumns({c: F.col(c).cast("double") for c in ("price_before", "price_now")}))
+
+    return lane(path, {"events": events, "items": items, "seen": seen})
 
 
 def last_good_sink(publish, accept, done):
