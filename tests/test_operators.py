@@ -206,6 +206,10 @@ def test_paged_source(spark, tmp_path):
     spark.dataSource.register(JsonPages)
     got = spark.read.format("json_pages").option("path", f"{tmp_path}/p{{page}}.json").option("pages", "5").load().collect()
     assert sorted((r.page, r.id, r.title) for r in got) == [(1, "a", "x"), (1, "b", None), (2, "c", "y")]
+    for n in range(3, 8):  # a listing of more pages than partitions ends with its last page
+        (tmp_path / f"p{n}.json").write_text(f'[{{"id": "i{n}"}}]')
+    got = spark.read.format("json_pages").option("path", f"{tmp_path}/p{{page}}.json").option("pages", "3").load().collect()
+    assert sorted(r.page for r in got) == [1, 1, 2, 3, 4, 5, 6, 7]
 
 
 def test_fields_and_images_of_pages(spark):

@@ -41,8 +41,8 @@ def completeness(items: DataFrame, features: Mapping[str, Column], category: Col
 
 
 def category_summaries(families: DataFrame, category: str, hero_order: Column, new: Column) -> DataFrame:
-    """Per category: families, the one to show first, and how many are verified new."""
-    return families.groupBy(category).agg(F.count("*").alias("families"), F.max_by("id", hero_order).alias("hero"), F.count_if(new).alias("verified_new"))
+    """Per category: families, the one to show first (of equal ones the largest id), and how many are verified new."""
+    return families.groupBy(category).agg(F.count("*").alias("families"), F.max_by("id", F.struct(hero_order, F.col("id"))).alias("hero"), F.count_if(new).alias("verified_new"))
 
 
 def counts_unknown_last(rows: DataFrame, value: Column, unknown: str = "unknown") -> DataFrame:

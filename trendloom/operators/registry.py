@@ -11,8 +11,9 @@ from trendloom.operators.schedule import numbered
 
 
 def enrich(products: DataFrame, sidecar: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Fill missing values from a sidecar table; what the product has stays."""
-    side = sidecar.select(*key, *(F.col(c).alias(f"side_{c}") for c in columns)).dropDuplicates(key)
+    """Fill missing values from a sidecar table; what the product has stays. Of several sidecar rows of a key the largest
+    counts, by the columns in their order."""
+    side = sidecar.groupBy(*key).agg(F.max(F.struct(*[F.col(c).alias(f"side_{c}") for c in columns])).alias("side")).select(*key, "side.*")
     out = products.join(side, key, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"side_{c}")) for c in columns}).drop(*(f"side_{c}" for c in columns))
 

@@ -9,27 +9,33 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, onward: bool = False):
+        self.number, self.onward = number, onward
 
 
 class PagedReader(DataSourceReader):
-    """One partition for each page up to the cap; pages are read by the executors, a page beyond the end is empty."""
+    """One partition for each of the first pages; the last one goes on to the end of the listing, so none is cut. Pages are read
+    by the executors, a page beyond the end is empty."""
 
     def __init__(self, fetch: Callable[[int], Sequence[dict]], columns: list[str], pages: int):
         self.fetch, self.columns, self.pages = fetch, columns, pages
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Page(n) for n in range(1, self.pages + 1)]
+        return [Page(n, n == self.pages) for n in range(1, self.pages + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in self.fetch(partition.number):
-            yield (partition.number, *(row.get(c) for c in self.columns))
+        number = partition.number
+        while rows := self.fetch(number):
+            for row in rows:
+                yield (number, *(row.get(c) for c in self.columns))
+            if not partition.onward:
+                return
+            number += 1
 
 
 class JsonPages(DataSource):
     """`spark.read.format("json_pages").schema(...)`: options `path` (with {page} in it, in a folder that all executors
-    see) and `pages` (the cap). Columns beside `page` are texts. A page that is not there is the end."""
+    see) and `pages` (how many are read beside each other). Columns beside `page` are texts. A page that is not there is the end."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,4 +54,4 @@ class JsonPages(DataSource):
             except FileNotFoundError:
                 return []
 
-        return PagedReader(fetch, [c for c in schema.names if c != "page"], int(self.options.get("pages", "50")))
+        return PagedReader(fetch, [c for c in schema.names if c != "page"], max(1, int(self.options.get("pages", "50"))))
