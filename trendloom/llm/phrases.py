@@ -8,7 +8,7 @@ phrase) in Spark: every occurrence counts, however few a shard has.
 A phrase can only be frequent if its parts are, so there are three passes. Words and pairs are counted by 64-bit keys alone
 (rows of key and count), then, the same way, triples both of whose pairs pass; what reaches the least count goes to the next
 pass as a bit filter of fixed size (`FILTER_BITS`). The last pass counts the words and pairs that pass, and the longer
-phrases whose triples all pass, by their strings. Keys and bits that fall together only let too much pass, which costs work,
+phrases in stretches of triples that pass, by their strings, and adds them up within the task. Keys and bits that fall together only let too much pass, which costs work,
 not correctness: the strings' own sums decide. Frequent phrases are a table in the shared folder.
 
 Scores are integers of up to 38 digits (Spark decimals). The first phrases of a language are taken within hash buckets
