@@ -53,7 +53,7 @@ def family_stage(segment: Column, role: Column, directional: Column, commercial:
     )
 
 
-def combos(values: dict[str, Column]) -> Column:
+def combos(values: dict[str, Column], families: tuple[tuple[str, ...], ...] = FAMILIES) -> Column:
     """All combinations of a family of dimensions with one known value of each, as arrays of DIM:value in the order of the
     dimensions. values: an array of each dimension's values."""
 
@@ -65,7 +65,7 @@ def combos(values: dict[str, Column]) -> Column:
         return F.flatten(F.transform(rows, lambda r: F.transform(known(d), lambda v: F.concat(r, F.array(v)))))
 
     out = []
-    for dimensions in FAMILIES:
+    for dimensions in families:
         rows = F.transform(known(dimensions[0]), lambda v: F.array(v))
         for d in dimensions[1:]:
             rows = longer(rows, d)

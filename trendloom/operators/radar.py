@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom import stars
 from trendloom.functions.expr import clamp, half_up
+from trendloom.operators import directions
 
 
 # Pairs that say nothing, and the dimensions that set a look apart.
@@ -97,6 +98,26 @@ IMPLIED = {
     "WEDGE": ("WEDGE",),
     "BALLERINA": ("CLOSED_TOE",),
 }
+# The pairs and triples of dimensions that make a look.
+LOOKS = (
+    ("CATEGORY", "TOE_SHAPE"),
+    ("CATEGORY", "HEEL_TYPE"),
+    ("CATEGORY", "MATERIAL"),
+    ("CATEGORY", "SURFACE_EFFECT"),
+    ("CATEGORY", "DETAIL"),
+    ("CATEGORY", "CONSTRUCTION"),
+    ("TOE_SHAPE", "HEEL_TYPE"),
+    ("HEEL_TYPE", "CONSTRUCTION"),
+    ("MATERIAL", "DETAIL"),
+    ("DETAIL", "CONSTRUCTION"),
+    ("CATEGORY", "COLOR"),
+    ("MATERIAL", "COLOR"),
+    ("SURFACE_EFFECT", "COLOR"),
+    ("CATEGORY", "DETAIL", "CONSTRUCTION"),
+    ("CATEGORY", "MATERIAL", "DETAIL"),
+    ("CATEGORY", "TOE_SHAPE", "HEEL_TYPE"),
+    ("CATEGORY", "SURFACE_EFFECT", "CONSTRUCTION"),
+)
 #: Fixed values of the selection: members shared by two equals, and by a part and its whole; how many are chosen.
 SAME, PART, MOST = 0.7, 0.6, 12
 
@@ -109,6 +130,14 @@ def meaningful(attributes: Column) -> Column:
     return F.filter(attributes, lambda a: a.startswith("CATEGORY:") | ~F.array_contains(said, F.substring_index(a, ":", -1)))
 
 
+def looks(products: DataFrame, values: dict[str, Column], keep: list[str]) -> DataFrame:
+    """A row for each product and each look that it has, keyed DIM:value|DIM:value, where at least two of its attributes say
+    something beside the category. values: an array for each of the eight dimensions; arrays of several values give a look for
+    each of them. What a category implies is left out by its value, on whichever dimension it stands."""
+    each = products.select(*keep, F.explode(directions.combos(values, LOOKS)).alias("attributes")).filter(F.size(meaningful(F.col("attributes"))) >= 2)
+    return each.select(*keep, F.array_join(F.array_sort("attributes"), "|").alias("combo"))
+
+
 def choose(ordered: list[dict], shared: dict[tuple[str, str], int], chosen: list[dict], most: int) -> list[dict]:
     """Go through candidates in order: one with a label or most members of a chosen one is passed over; a more special
     one takes the place of its chosen whole if it adds something, and is passed over if not; a whole whose chosen part

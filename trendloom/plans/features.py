@@ -254,6 +254,35 @@ def direction_audit(spark, sf):
     return R.audit(found, R.signals(R.without_nested(found.filter(F.col("reason").isNull()))))
 
 
+_LOOK8 = {**_LOOK, "category": "CASE p_type WHEN 'ECONOMY' THEN 'PUMP' WHEN 'SMALL' THEN 'SLINGBACK' WHEN 'PROMO' THEN 'MULE' WHEN 'LARGE' THEN 'OTHER_FOOTWEAR' ELSE 'WEDGE' END", "heel": "CASE p_partkey % 4 WHEN 0 THEN 'KITTEN' WHEN 1 THEN 'WEDGE' WHEN 2 THEN 'BLOCK' ELSE 'OTHER' END", "construction": "CASE p_size % 5 WHEN 0 THEN 'SLINGBACK' WHEN 1 THEN 'BACKLESS' WHEN 2 THEN 'PLATFORM' END", "material": "CASE p_size % 6 WHEN 0 THEN 'SUEDE' WHEN 1 THEN 'UNKNOWN' ELSE 'LEATHER' END", "color": "CASE p_partkey % 5 WHEN 0 THEN 'BLACK' WHEN 1 THEN 'RED' END"}
+_DIMENSIONS = {**_VALUES, "CATEGORY": ("category",), "MATERIAL": ("material",), "COLOR": ("color",)}
+
+
+def _looks_sql() -> str:
+    from itertools import product
+
+    from trendloom.operators import radar
+
+    implied = " OR ".join(f"(category = '{c}' AND split_part(x, ':', 2) IN ({', '.join(map(_q, v))}))" for c, v in radar.IMPLIED.items())
+    out = []
+    for dims in radar.LOOKS:
+        for columns in product(*[_DIMENSIONS[d] for d in dims]):
+            held = " AND ".join(f"{c} IS NOT NULL AND {c} NOT IN ('UNKNOWN', 'OTHER', 'OTHER_FOOTWEAR')" for c in columns)
+            out.append(f"SELECT p_partkey, p_name, p_brand, {repr('CATEGORY' in dims).lower()} AS named, category, [{', '.join(f'{chr(39)}{d}:{chr(39)} || {c}' for d, c in zip(dims, columns))}] AS a FROM f WHERE {held}")
+    kept = f"list_filter(a, lambda x: x LIKE 'CATEGORY:%' OR NOT (named AND ({implied})))"
+    return f"""WITH f AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _LOOK8.items())} FROM part), c AS ({' UNION '.join(out)})
+SELECT array_to_string(list_sort(a), '|') AS combo, count(DISTINCT p_partkey) AS products, count(DISTINCT p_name) AS families, count(DISTINCT p_brand) AS brands FROM c WHERE len({kept}) >= 2 GROUP BY ALL HAVING count(DISTINCT p_brand) >= 2 AND count(DISTINCT p_name) >= 2"""
+
+
+@query(_looks_sql())
+def look_buckets(spark, sf):
+    from trendloom.operators import radar
+
+    rows = _of(spark, sf, "part", "p_partkey", "p_name", "p_brand", *(f"{v} AS {k}" for k, v in _LOOK8.items()))
+    values = {d: F.array(*columns) for d, columns in _DIMENSIONS.items()}
+    return radar.buckets(radar.looks(rows, values, ["p_partkey", "p_name", "p_brand"]), "p_partkey", "p_name", "p_brand")
+
+
 def _listings(spark, sf):
     """Every part as a listing of a shop: title, URL and what comparisons read."""
     from trendloom.functions import model_names as M
