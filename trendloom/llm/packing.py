@@ -25,18 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stash
-from trendloom.llm.encode import encoder, end_of_task, slices
+from trendloom.llm.encode import SLICE_BYTES, encoder, end_of_task, slices
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
-def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """doc_id, row (a number for each input row), piece, start, length, ids_crc32 and, if asked for, ids (array<int>)."""
+def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, row (a number for each input row), piece, start, length, ids_crc32 and, if asked for, ids (array<int>).
+    About slice_bytes of text are encoded at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), slice_bytes):
                 flat, n = enc.encode(batch.column(1).slice(a, b - a))
                 ids = np.full(len(flat) + len(n), end_id, "<u4")
                 keep = np.ones(len(ids), bool)
