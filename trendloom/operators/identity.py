@@ -59,7 +59,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 60)
 
 
 def reanchor(fresh: DataFrame, prior: DataFrame, suffix: str = "--fresh") -> DataFrame:
-    """Variants of refreshed families under the ids that they had before: anchored_id, fresh_id, brand, url.
+    """Variants of refreshed families under the ids that they had before: anchored_id, fresh_id, brand, url, and what else
+    fresh holds (a count, where equal variants stand in one row).
 
     fresh: fresh_id, brand, url; prior: old_id, brand, url, a row for each variant. A variant goes to every old family with its
     brand and URL (white space, case and slashes at the end aside). What matches nothing goes with the rest of its family if
@@ -69,8 +70,11 @@ def reanchor(fresh: DataFrame, prior: DataFrame, suffix: str = "--fresh") -> Dat
     """
     key = [F.upper(F.trim("brand")).alias("b"), F.lower(F.regexp_replace(F.trim("url"), "/+$", "")).alias("k")]
     known = prior.select(*key, "old_id").distinct()
-    matched = fresh.select("*", *key).join(known, ["b", "k"], "left").drop("b", "k")
-    anchors = matched.groupBy("fresh_id").agg(F.countDistinct("old_id").alias("anchors"), F.min("old_id").alias("only"))
+    # One row may match many old families, so rows are few and evenly dealt before they meet them.
+    keyed = fresh.select("*", *key)
+    matched = stars.spread(keyed, *fresh.columns).join(known, ["b", "k"], "left").drop("b", "k")
+    met = stars.spread(keyed.select("fresh_id", "b", "k").distinct(), "fresh_id", "b", "k").join(known, ["b", "k"], "left").select("fresh_id", "old_id").distinct()
+    anchors = met.groupBy("fresh_id").agg(F.count("old_id").alias("anchors"), F.min("old_id").alias("only"))
     taken = prior.select("old_id").distinct()
     base, times = F.regexp_replace("old_id", f"(?:{suffix})+$", ""), lambda c, b: ((F.length(c) - F.length(b)) / len(suffix)).cast("int")
     used = taken.select(base.alias("base"), times(F.col("old_id"), base).alias("t")).groupBy("base").agg(F.collect_set("t").alias("used"))

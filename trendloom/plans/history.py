@@ -194,8 +194,9 @@ _VARIANT = {"id": "concat('c', o_custkey % 60, '-', o_orderkey % 3)", "brand": "
 def reanchored(spark, sf):
     old = _read(spark, sf, "orders").selectExpr("cast(o_orderdate as timestamp) AS o_orderdate", *(f"{v} AS {k}" for k, v in _VARIANT.items()))
     prior = old.filter(_OLD).select(F.when(F.col("id").endswith("2"), F.concat("id", F.lit("--fresh"))).otherwise(F.col("id")).alias("old_id"), F.lower(F.trim("brand")).alias("brand"), "url")
-    fresh = old.filter(f"NOT {_OLD}").select(F.col("id").alias("fresh_id"), "brand", "url")
-    return I.reanchor(fresh, prior).groupBy("anchored_id", "fresh_id").agg(F.count("*").alias("variants"))
+    # Equal variants go the same way: they are counted first.
+    fresh = old.filter(f"NOT {_OLD}").groupBy(F.col("id").alias("fresh_id"), "brand", "url").agg(F.count("*").alias("n"))
+    return I.reanchor(fresh, prior).groupBy("anchored_id", "fresh_id").agg(F.sum("n").alias("variants"))
 
 
 def conversation_sequence(spark, sf):

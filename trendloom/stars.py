@@ -22,6 +22,12 @@ def durable(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt evenly by key over all shuffle partitions. A file of few row groups is read by few tasks, and partitions
+    that are small in bytes are joined into few; where a row means much work or many rows, that is all the work in them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
     """edges(u, v) -> node, component (the smallest node it reaches), for nodes that have an edge.
 
