@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trendloom.functions.expr import ladder
+from trendloom.functions.rules import bound
 
 # Types and places that support a feature, and what an element must go around.
 SUPPORT = {
@@ -39,7 +40,9 @@ def supporting(name: str, elements: Column) -> Column:
 
 def images_of(elements: Column) -> Column:
     """All images of the elements, each once, in order."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(elements, lambda e: F.coalesce(e["images"], F.array().cast("array<int>"))))))
+    every = F.array_distinct(F.flatten(F.transform(elements, lambda e: F.coalesce(e["images"], F.array().cast("array<int>")))))
+    # sort_array compares values, array_sort calls a function for each comparison; a null comes last.
+    return bound(every, lambda i: F.when(F.array_contains(F.transform(i, lambda n: n.isNull()), True), F.array_sort(i)).otherwise(F.sort_array(i)))
 
 
 def status(confidence: Column, least: int, contradicts: Column | None = None) -> Column:
@@ -52,16 +55,18 @@ def derived(elements: Column) -> Column:
     plain = F.transform(elements, lambda e: F.struct(*[e[f].cast(kind).alias(f) for f, kind in FIELDS.items()]))
     every = F.coalesce(plain, F.array().cast(f"array<struct<{','.join(f'{f}:{kind}' for f, kind in FIELDS.items())}>>"))
 
-    def one(name: str) -> Column:
-        found = supporting(name, every)
+    def one(name: str, every: Column, all_images: Column) -> Column:
+        return bound(supporting(name, every), lambda found: told(name, found, every, all_images))
+
+    def told(name: str, found: Column, every: Column, all_images: Column) -> Column:
         seen, many = F.size(found) > 0, F.size(every) >= ENOUGH
         confidence = F.when(seen, F.array_max(F.transform(found, lambda e: e["confidence"]))).when(many, F.lit(ABSENT)).otherwise(F.lit(UNSURE))
-        images = F.when(seen, images_of(found)).when(many, images_of(every)).otherwise(F.array().cast("array<int>"))
+        images = F.when(seen, images_of(found)).when(many, all_images).otherwise(F.array().cast("array<int>"))
         why = F.when(seen, F.concat(F.lit("Derived from strap topology: "), F.array_join(F.transform(found, lambda e: e["type"]), ", "))).when(many, "No matching strap element in topology map").otherwise("Insufficient strap topology evidence")
         value = F.when(seen, "YES").when(many, "NO").otherwise("UNKNOWN")
         return F.struct(F.lit(name).alias("feature"), value.alias("value"), confidence.alias("confidence"), images.alias("images"), why.alias("why"), status(confidence, ELIGIBLE).alias("usability"))
 
-    return F.array(*map(one, SUPPORT))
+    return bound(every, lambda e: bound(images_of(e), lambda i: F.array(*[one(name, e, i) for name in SUPPORT])))
 
 
 def eligibility(name: Column, value: Column, confidence: Column, images: Column, verifier: Column, contradicts: Column, elements: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from trendloom import stars
 from trendloom.operators import directions as R
 from trendloom.operators import straps as S
 from trendloom.operators import taxonomy as X
@@ -115,7 +116,8 @@ _KINDS = "i long, name string, legacy string, construction array<string>, height
 def _products(spark, sf):
     """Every part with its own name before that of a product, and what the operators say of it."""
     cases = spark.createDataFrame([(i, *x) for i, (x, _) in enumerate(PRODUCTS)], _KINDS)
-    p = _read(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_partkey") % len(PRODUCTS)).alias("i")).join(cases, "i")
+    part = stars.spread(_read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    p = part.withColumn("i", F.col("p_partkey") % len(PRODUCTS)).join(F.broadcast(cases), "i")
     p = p.withColumn("name", F.concat_ws(" ", "p_name", "name"))
     c = F.col
     x = X.Product(c("name"), c("legacy"), c("construction"), c("height"), c("cleaned"), c("toe"), c("details"), c("material"), c("source"), c("heel"))
@@ -136,7 +138,8 @@ def primary_categories(spark, sf):
 WITH known (i, field, value, source, confidence) AS (VALUES {', '.join(f"({i}, {_q(f)}, {_q(v)}, {_q(s)}, {c}::DOUBLE)" for i, f, v, s, c in KNOWN)})
 SELECT p_partkey, field, value, source, confidence FROM part JOIN known ON i = p_partkey % {len(PRODUCTS)}""")
 def taxonomy_features(spark, sf):
-    p = _products(spark, sf).select("p_partkey", F.explode("features").alias("f")).filter("f.status = 'KNOWN'")
+    # Outer: for an inner explode the optimizer infers a filter that computes all features, and the category in each, again.
+    p = _products(spark, sf).select("p_partkey", F.explode_outer("features").alias("f")).filter("f.status = 'KNOWN'")
     return p.select("p_partkey", "f.field", F.array_join("f.value", "+").alias("value"), "f.source", "f.confidence")
 
 
@@ -154,7 +157,7 @@ def _elements(spark, sf):
     e = {k: v.replace("([", "element_at(array(").replace("])[", "), cast(").replace("+ 1]", "+ 1 as int))").replace("l_quantity::INT", "cast(l_quantity as int)") for k, v in _ELEMENT.items()}
     rows = _of(spark, sf, "lineitem", "l_orderkey", "l_linenumber", *(f"{v} AS {k}" for k, v in e.items()))
     element = F.struct("l_linenumber", "type", "location", "wraps", F.col("confidence").cast("int").alias("confidence"), F.array(F.col("image").cast("int"), F.lit(5)).alias("images"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    return stars.spread(rows, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(element)).alias("elements"))
 
 
 _LINES = f"SELECT l_orderkey, l_linenumber, {', '.join(f'{v} AS {k}' for k, v in _ELEMENT.items())} FROM lineitem"
@@ -169,7 +172,7 @@ r AS (SELECT l_orderkey, feature, CASE WHEN seen THEN 'YES' WHEN n >= 2 THEN 'NO
 
 @query(f"{_STRAPS} SELECT l_orderkey, feature, value, confidence, array_to_string(images, ',') AS images, why, CASE WHEN confidence >= 85 THEN 'RADAR_ELIGIBLE' WHEN confidence >= 70 THEN 'VISION_UNCERTAIN' ELSE 'NOT_USABLE_FOR_RADAR' END AS usability FROM r")
 def strap_features(spark, sf):
-    d = _elements(spark, sf).select("l_orderkey", F.explode(S.derived(F.col("elements"))).alias("d"))
+    d = _elements(spark, sf).select("l_orderkey", F.explode_outer(S.derived(F.col("elements"))).alias("d"))
     return d.select("l_orderkey", "d.feature", "d.value", F.col("d.confidence").cast("long").alias("confidence"), F.array_join("d.images", ",").alias("images"), "d.why", "d.usability")
 
 
@@ -177,7 +180,7 @@ def strap_features(spark, sf):
 SELECT l_orderkey, feature, CASE WHEN contradicts THEN 'CONTRADICTION' WHEN confidence >= 90 THEN 'RADAR_ELIGIBLE' WHEN confidence >= 70 THEN 'VISION_UNCERTAIN' ELSE 'NOT_USABLE_FOR_RADAR' END AS usability, value = 'YES' AND confidence >= 90 AND verified AND len(images) > 0 AND seen AND NOT contradicts AS eligible FROM v""")
 def strap_eligibility(spark, sf):
     e = _elements(spark, sf)
-    d = e.select("l_orderkey", "elements", F.explode(S.derived(F.col("elements"))).alias("d"))
+    d = e.select("l_orderkey", "elements", F.explode_outer(S.derived(F.col("elements"))).alias("d"))
     verifier = F.when(F.col("l_orderkey") % 3 > 0, "VERIFIED").otherwise("SKIPPED")
     out = S.eligibility(F.col("d.feature"), F.col("d.value"), F.col("d.confidence"), F.col("d.images"), verifier, F.col("l_orderkey") % 7 == 0, F.col("elements"))
     return d.select("l_orderkey", "d.feature", out.alias("o")).select("l_orderkey", "feature", "o.usability", "o.eligible")
@@ -278,7 +281,7 @@ SELECT array_to_string(list_sort(a), '|') AS combo, count(DISTINCT p_partkey) AS
 def look_buckets(spark, sf):
     from trendloom.operators import radar
 
-    rows = _of(spark, sf, "part", "p_partkey", "p_name", "p_brand", *(f"{v} AS {k}" for k, v in _LOOK8.items()))
+    rows = stars.spread(_of(spark, sf, "part", "p_partkey", "p_name", "p_brand", *(f"{v} AS {k}" for k, v in _LOOK8.items())), "p_partkey")
     values = {d: F.array(*columns) for d, columns in _DIMENSIONS.items()}
     return radar.buckets(radar.looks(rows, values, ["p_partkey", "p_name", "p_brand"]), "p_partkey", "p_name", "p_brand")
 
