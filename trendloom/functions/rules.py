@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,6 +108,45 @@ def bound(text: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(text), body), F.lit(0))
 
 
+@cache
+def literals(pattern: str) -> tuple[str, ...] | None:
+    """Strings in lower case of which every text that the pattern matches, in any case, contains one; null if none is known."""
+    from re import _constants as K
+    from re import _parser
+
+    def of(parsed) -> tuple[str, ...] | None:
+        found, run = [], ""
+        for op, arg in [*parsed, (None, None)]:
+            if op is K.LITERAL:
+                run += chr(arg)
+                continue
+            found, run = [*found, (run,)] if run else found, ""
+            if op is K.SUBPATTERN:
+                inner = of(arg[3])
+            elif op is K.MAX_REPEAT and arg[0] > 0:
+                inner = of(arg[2])
+            elif op is K.BRANCH:
+                each = [of(branch) for branch in arg[1]]
+                inner = None if None in each else tuple(dict.fromkeys(x for e in each for x in e))
+            else:
+                inner = None
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda f: min(map(len, f)), default=None)
+
+    # letters beyond ASCII have no case in these patterns, so only what is lower case there serves
+    out = of(_parser.parse(pattern))
+    if out is None or any(len(x) < 2 or not x.isascii() for x in out):
+        return None
+    return tuple(dict.fromkeys(x.lower() for x in out))
+
+
+def may_match(low: Column, pattern: str) -> Column | None:
+    """Whether a text in lower case holds what a match of the pattern needs: far cheaper than the pattern itself."""
+    needed = literals(pattern)
+    return None if needed is None else _any(low, needed)
+
+
 def _any(text: Column, keywords: Sequence[str]) -> Column:
     out = text.contains(keywords[0])
     for k in keywords[1:]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from trendloom import stars
 from trendloom.operators import footwear as W
 from trendloom.plans.market import _read
 
@@ -89,7 +90,8 @@ def _cases(spark, part):
     rows = [(i, *x) for i, x in enumerate(LISTINGS)]
     cases = spark.createDataFrame(rows, "i long, title string, kind string, tags array<string>, handle string, collection string, verified boolean")
     name = F.when(F.col("p_partkey") % 3 == 0, F.col("title")).otherwise(F.concat_ws(" ", "p_name", "title"))
-    return part.select("p_partkey", "p_name", (F.col("p_partkey") % len(LISTINGS)).alias("i")).join(cases, "i").withColumn("title", name)
+    dealt = stars.spread(part.select("p_partkey", "p_name"), "p_partkey")
+    return dealt.withColumn("i", F.col("p_partkey") % len(LISTINGS)).join(F.broadcast(cases), "i").withColumn("title", name)
 
 
 def _q(v) -> str:
@@ -207,6 +209,6 @@ WITH stored (i, decision, category, signals) AS (VALUES {', '.join(f"({', '.join
 SELECT p_partkey, decision, category, 'STORED_PRODUCT_REVIEW' AS method, signals FROM part JOIN stored ON i = p_partkey % {len(STORED)}""")
 def stored_reviews(spark, sf):
     cases = spark.createDataFrame([(i, *x) for i, (x, _) in enumerate(STORED)], "i long, name string, url string, stored string, path string, place string, described string")
-    part = _read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(STORED)).alias("i")).join(cases, "i")
+    part = stars.spread(_read(spark, sf, "part").select("p_partkey"), "p_partkey").withColumn("i", F.col("p_partkey") % len(STORED)).join(F.broadcast(cases), "i")
     g = part.select("p_partkey", W.stored_review(*(F.col(c) for c in ("name", "url", "stored", "path", "place", "described"))).alias("g"))
     return g.select("p_partkey", "g.decision", "g.category", "g.method", F.array_join("g.signals", ",").alias("signals"))
