@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trendloom import stars
 from trendloom.functions.expr import ladder
 
 # The dimensions that are combined, those that need a vision record, and values that say little.
@@ -82,7 +83,9 @@ def candidates(families: DataFrame, values: dict[str, Column], profiles: DataFra
     families without vision share with a combination is nothing, as none can be matched without it.
     """
     of = families.filter(F.col("category").isNotNull() & (F.col("category") != "OTHER_FOOTWEAR"))
-    each = of.select("category", "family", "brand", F.coalesce("vision", F.lit(False)).alias("strict"), F.explode(combos(values)).alias("attributes"))
+    # Families are dealt out first, so that their combinations are made once and made distinct where they are.
+    of = stars.spread(of, "family")
+    each = of.select("category", "family", "brand", F.coalesce("vision", F.lit(False)).alias("strict"), F.explode_outer(combos(values)).alias("attributes")).filter(F.col("attributes").isNotNull())
     known = profiles.select("brand", "segment", "role", "directional", "commercial")
     # Families of a brand count once per combination before the profile is joined, so a hot brand is a few rows.
     by_brand = each.distinct().groupBy("category", "attributes", "brand").agg(F.count_if("strict").alias("families"))
