@@ -229,3 +229,23 @@ def test_repeated_batches_are_left(spark):
     for batch, n in ((0, 3), (1, 0), (0, 9), (2, 2)):
         sink(spark.range(n), batch)
     assert seen == {0: 3, 2: 2}
+
+
+def test_rows_of_much_work_are_dealt_over_all_partitions(spark, tmp_path):
+    """A file of one row group is one task for a scan; the queries with much work in a row deal its rows out first."""
+    from trendloom.operators import radar
+    from trendloom.plans import features, footwear
+
+    sf = tmp_path / "sf"
+    spark.createDataFrame([(i, f"name {i % 3}", f"Brand#{i % 5}", "PROMO", i % 50, 1.0) for i in range(400)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(sf / "part.parquet"))
+    for rows in (features.look_buckets, features.direction_candidates, features.taxonomy_features, footwear.stored_reviews, footwear.scope_decisions):
+        assert "REPARTITION_BY_NUM" in rows(spark, str(sf))._jdf.queryExecution().executedPlan().toString(), rows.__name__
+    combos = spark.createDataFrame([("a|b", 1, "f", "x"), ("a|b", 1, "g", "x"), ("a|b", 2, "f", "y"), ("a|b", 2, "f", "y"), ("a|b", None, "h", None), ("c|d", 3, "f", "x")], "combo string, product long, family string, brand string")
+    assert [tuple(r) for r in radar.buckets(combos, "product", "family", "brand").collect()] == [("a|b", 2, 3, 2)]
+
+
+def test_literals_are_what_a_match_needs():
+    from trendloom.functions.rules import literals
+
+    assert literals(r"\bflip[- ]flops?\b|\bChinelo\b") == ("flip", "chinelo") and literals(r"\bjewell?ery") == ("jewel",)
+    assert literals(r"^b-") == ("b-",) and literals(r"\bt[eé]nis\b") == ("nis",) and literals("sandália") is None and literals(r"[ab]+|cd") is None

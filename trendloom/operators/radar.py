@@ -43,7 +43,11 @@ def combinations(products: DataFrame, dimensions: dict[str, Column], families: l
 
 def buckets(combos: DataFrame, product: str, family: str, brand: str, least_brands: int = 2, least_families: int = 2) -> DataFrame:
     """Support of each combination: distinct products, families and brands; thin ones are left out."""
-    out = combos.groupBy("combo").agg(F.countDistinct(product).alias("products"), F.countDistinct(family).alias("families"), F.countDistinct(brand).alias("brands"))
+    # A product's rows come together first, without an exchange where they already lie so; what is left is few.
+    each = combos.groupBy("combo", product).agg(F.collect_set(F.struct(F.col(family).alias("family"), F.col(brand).alias("brand"))).alias("held"))
+    each = each.select("combo", F.col(product).isNotNull().alias("known"), F.posexplode_outer("held").alias("at", "h"))
+    few = each.groupBy("combo", "h.family", "h.brand").agg(F.count_if(F.col("known") & (F.col("at") == 0)).alias("n"))
+    out = few.groupBy("combo").agg(F.sum("n").alias("products"), F.countDistinct("family").alias("families"), F.countDistinct("brand").alias("brands"))
     return out.filter((F.col("brands") >= least_brands) & (F.col("families") >= least_families))
 
 
@@ -134,7 +138,8 @@ def looks(products: DataFrame, values: dict[str, Column], keep: list[str]) -> Da
     """A row for each product and each look that it has, keyed DIM:value|DIM:value, where at least two of its attributes say
     something beside the category. values: an array for each of the eight dimensions; arrays of several values give a look for
     each of them. What a category implies is left out by its value, on whichever dimension it stands."""
-    each = products.select(*keep, F.explode(directions.combos(values, LOOKS)).alias("attributes")).filter(F.size(meaningful(F.col("attributes"))) >= 2)
+    # Outer: for an inner explode the optimizer infers a filter that makes all combinations once more.
+    each = products.select(*keep, F.explode_outer(directions.combos(values, LOOKS)).alias("attributes")).filter(F.col("attributes").isNotNull() & (F.size(meaningful(F.col("attributes"))) >= 2))
     return each.select(*keep, F.array_join(F.array_sort("attributes"), "|").alias("combo"))
 
 
