@@ -186,3 +186,14 @@ def test_reanchoring_fans_out_and_keeps_every_variant_once_per_old_id(spark):
     got = sorted((r.fresh_id, r.url or "", r.anchored_id) for r in I.reanchor(fresh, prior).collect())
     assert got == sorted([("n1", "HTTP://x/1", "a"), ("n1", "http://x/2", "a"), ("n1", "http://x/2", "b"), ("n1", "http://x/9", "n1--fresh--fresh"), ("n2", "http://x/3", "c"), ("n2", "http://x/8", "c"), ("n3", "http://x/7", "n3"), ("n3", "", "n3")])
     assert I.reanchor(fresh.limit(0), prior).count() == 0 and {r.anchored_id for r in I.reanchor(fresh, prior.limit(0)).collect()} == {"n1", "n2", "n3"}
+
+
+def test_each_text_of_a_listing_is_read_once(spark, sf_dir):
+    from trendloom.plans import features
+
+    frame = features._listings(spark, sf_dir)
+    assert "Aggregate" in frame._jdf.queryExecution().optimizedPlan().toString()
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert frame.select("number").distinct().count() == frame.count() == part.count()
+    # listings without a number of their own, too
+    assert frame.filter("sku is null").count() == part.filter("p_partkey % 3 <> 0").count() > 0

@@ -13,6 +13,7 @@ Names never join listings with a proven style, so no name family has one to be s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -187,10 +188,15 @@ def model_families(listings: DataFrame, order: str, listing: str) -> DataFrame:
         out = [(m.id, g.key or None, g.lead, g.reason, len(g.members) > 1 or g.high) for g in first_fit(items) for m in g.members]
         return pd.DataFrame(out, columns=["id", "group_key", "leader", "reason", "joined"])
 
-    found = profiles.join(joined, "id").groupBy("component").applyInPandas(fit, "id long, group_key string, leader long, reason string, joined boolean")
+    def fit_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.concat([fit(pdf[:0]), *(fit(pdf[i : i + 1]) for i in range(len(pdf)))])
+
+    fitted = "id long, group_key string, leader long, reason string, joined boolean"
+    found = profiles.join(joined, "id").groupBy("component").applyInPandas(fit, fitted)
     alone = profiles.join(joined, "id", "left_anti")
     # a profile that meets no other is a family of its own if several listings share it and a way joins them
-    found = found.unionByName(alone.withColumn("component", F.col("id")).groupBy("component").applyInPandas(fit, "id long, group_key string, leader long, reason string, joined boolean"))
+    found = found.unionByName(alone.mapInPandas(fit_each, fitted))
     tagged = rows.join(profiles.select("id", "brand", *COLUMNS), ["brand", *COLUMNS]).join(found, "id")
     at = F.concat_ws("-", "category", F.when(F.size("flags") > 0, F.array_join("flags", "+")).otherwise("base"))
     own = F.concat(F.lit("id-"), F.col(listing), F.lit("-"), at)

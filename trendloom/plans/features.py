@@ -306,13 +306,18 @@ def _listings(spark, sf):
     title = F.concat_ws(" ", "model", "kind_word", F.when(c("number") % 2 == 0, F.concat(F.lit("- "), c("color"))).otherwise(c("color")))
     handle = F.lower(F.concat_ws("-", F.regexp_replace("model", " ", "-"), F.regexp_replace("kind_word", " ", "-"), "color"))
     url = F.when(c("source") == "zara", F.concat(F.lit("https://z/shoe-p"), F.lit(12340) + c("number") % 10, F.lit(".html"))).when(c("source") == "farfetch", F.concat(F.lit("https://f/item-"), c("number") % 50)).otherwise(F.concat(F.lit("https://x/products/"), handle))
-    p = p.withColumns({"title": title, "url": url})
+    listed = p.withColumns({"title": title, "url": url})
+    # What a listing says decides all that is read of it: many say the same, and each text is read once.
+    said = ["source", "color", "height", "kind", "sku", "title", "url"]
+    p = stars.spread(listed.select(*said).distinct(), *said)
     style, verified = style_identity("sku", "source", "url")
     listing = M.listing_key(c("source"), c("url"), c("sku"))
     name = M.model_name(c("title"), c("color"))
     x = X.Product(c("title"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), c("height"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     p = p.withColumns({"style": style, "verified": verified, "listing": listing, "name": name, "bare": M.colorless_title(c("title"), c("color")), "handle": M.handle_key(c("url")), "flags": M.construction_flags(F.concat_ws(" ", "title", "url")), "heel": M.heel_bucket(c("kind"), c("height")), "wood": M.wood_is_a_color(c("title"), c("url"), c("color")), "category": X.primary_category(x)["category"], "marketplace": c("source") == "farfetch"})
-    return p.withColumns({"safe": M.is_distinctive(c("name")), "own_listing": F.when(c("source") == "zara", c("listing"))})
+    p = p.withColumns({"safe": M.is_distinctive(c("name")), "own_listing": F.when(c("source") == "zara", c("listing"))})
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in said]
+    return listed.alias("l").join(p.alias("r"), same).select("l.number", "l.brand", *(f"r.{k}" for k in p.columns))
 
 
 @query(None)
