@@ -780,3 +780,17 @@ def test_encoder_equals_the_library():
     flat, n = encoder(BPE).encode(pa.array(texts))
     for part, text in zip(np.split(flat, np.cumsum(n)[:-1]), texts):
         assert part.tolist() == ids_of(text, 0)[:-1].tolist()
+
+
+def test_pieces_with_white_space_at_their_ends_are_told():
+    import pyarrow as pa
+
+    from trendloom.llm.encode import _spaced, encoder
+
+    pieces = ["a", "", "\x1cx", "x\x85", " x", "é", "xé", "　", "x\n"]
+    starts, ends = _spaced(pa.array(["skipped", *pieces], pa.large_string())[1:], pieces)
+    assert starts.tolist() == [not p or p[0].isspace() for p in pieces] and ends.tolist() == [not p or p[-1].isspace() for p in pieces]
+    texts = [f"one {p} two, three" for p in pieces]
+    flat, n = encoder(BPE).encode(pa.array(texts))
+    for part, text in zip(np.split(flat, np.cumsum(n)[:-1]), texts):
+        assert part.tolist() == ids_of(text, 0)[:-1].tolist()

@@ -38,6 +38,27 @@ def _byte_chars() -> dict[int, str]:
     return out
 
 
+#: The bytes of white space of `str.isspace`; those from 128 on are looked at as characters.
+_SPACES = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
+
+
+def _spaced(pieces: pa.Array, as_str: list[str]) -> list[np.ndarray]:
+    """Whether each piece is empty or starts with white space, and whether it is empty or ends with it."""
+    raw = pieces.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    empty = ends[1:] == ends[:-1]
+    out = []
+    for at, of in ((ends[:-1], 0), (ends[1:] - 1, -1)):
+        bad = empty.copy()
+        byte = data[at[~empty]]
+        bad[~empty] = _SPACES[byte]
+        for i in np.flatnonzero(~empty)[byte > 127].tolist():
+            bad[i] = as_str[i][of].isspace()
+        out.append(bad)
+    return out
+
+
 class DocEncoder:
     """Encodes whole texts; ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -49,6 +70,8 @@ class DocEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tokenize = self.tok.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tok.get_vocab(True).values(), default=-1) + 1)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -67,12 +90,17 @@ class DocEncoder:
     def _encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _ids(self, p: str) -> bytes:
+        # printable ASCII stands for itself, but for the space
+        raw = p.replace(" ", self.chars[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.chars)
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(raw)])
+
     def _pretoken(self, p: str) -> bytes:
         """Ids of one pre-token, as uint32 bytes."""
         ids = self.cache.get(p)
         if ids is None:
-            raw = p.encode().decode("latin-1").translate(self.chars)
-            ids = self.cache[p] = np.array([t.id for t in self.tok.model.tokenize(raw)], "<u4").tobytes()
+            ids = self.cache[p] = self._ids(p)
         return ids
 
     def _piece(self, piece: str, added: bool) -> bytes:
@@ -93,7 +121,9 @@ class DocEncoder:
         for p in pieces:
             ids = cache.get(p)
             if ids is None:
-                ids = cache[p] = self._piece(p, added)
+                # most are letters, which are one pre-token
+                body = p[1:] if p[:1] == " " else p
+                ids = cache[p] = self._ids(p) if not added and body.isascii() and body.isalpha() else self._piece(p, added)
             out.append(ids)
         return out
 
@@ -111,18 +141,20 @@ class DocEncoder:
         coded = lists.flatten().dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
         last = np.r_[first[1:], len(index)] - 1
-        starts_bad = np.fromiter((not p or p[0].isspace() for p in distinct), bool, len(distinct))[index]
-        ends_bad = np.fromiter((not p or p[-1].isspace() for p in distinct), bool, len(distinct))[index]
+        starts_bad, ends_bad = (bad[index] for bad in _spaced(coded.dictionary, distinct))
         heads = [distinct[i] for i in index[first]]
         starts_bad[first] = False
         ends_bad[first] = [bool(h) and h[-1].isspace() for h in heads]
         ends_bad[last] = False
         odd = np.flatnonzero(np.logical_or.reduceat(starts_bad | ends_bad, first))
         index[first] = len(distinct) + np.arange(len(heads))
-        used = np.unique(index)
+        place = np.zeros(len(distinct) + len(heads), np.int64)
+        place[index] = 1
+        used = np.flatnonzero(place)
         added = any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added)
         ids = self._pieces([" " + distinct[i] if i < len(distinct) else heads[i - len(distinct)] for i in used.tolist()], added)
-        index = np.searchsorted(used, index)
+        place[used] = np.arange(len(used))
+        index = place[index]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(size) - size
