@@ -249,3 +249,11 @@ def test_literals_are_what_a_match_needs():
 
     assert literals(r"\bflip[- ]flops?\b|\bChinelo\b") == ("flip", "chinelo") and literals(r"\bjewell?ery") == ("jewel",)
     assert literals(r"^b-") == ("b-",) and literals(r"\bt[eé]nis\b") == ("nis",) and literals("sandália") is None and literals(r"[ab]+|cd") is None
+
+
+def test_catalog_events_meet_the_previous_items_once(spark):
+    fields = "item string, model string, color string, in_stock boolean, price double"
+    now, before = (spark.createDataFrame(rows, fields) for rows in ([("a", "m", "x", True, 1.0), ("b", "m", "y", True, 1.0), ("c", "n", "x", True, 1.0), ("d", "m", "x", True, 1.0)], [("a", "m", "x", False, 1.0), ("e", "m", "x", True, 1.0)]))
+    out = snapshots.catalog_events(now, before, ["item"], "model", "color")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    assert sorted((r.item, r.event) for r in out.collect()) == [("a", "RESTOCK"), ("b", "NEW_COLOR"), ("c", "NEW_MODEL"), ("d", "RESTOCK"), ("e", "REMOVED")]

@@ -60,10 +60,15 @@ def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], mode
     history = seen if seen is not None else previous
     models = history.select(model).distinct().withColumn("model_known", F.lit(True))
     colors = history.select(model, color).distinct().withColumn("color_known", F.lit(True))
-    items = history.select(*key).distinct().withColumn("item_known", F.lit(True))
     a = current.select(*key, model, color, F.col("in_stock").alias("stock_now"), F.col("price").alias("price_now"), F.lit(True).alias("is_now"))
     b = previous.select(*key, F.col("in_stock").alias("stock_before"), F.col("price").alias("price_before"), F.lit(True).alias("was"))
-    both = a.join(b, key, "full").join(items, key, "left").join(models, model, "left").join(colors, [model, color], "left")
+    both = a.join(b, key, "full")
+    if seen is None:
+        # what the previous catalog has is no new item, so its items need not be met once more
+        both = both.withColumn("item_known", F.lit(None).cast("boolean"))
+    else:
+        both = both.join(seen.select(*key).distinct().withColumn("item_known", F.lit(True)), key, "left")
+    both = both.join(models, model, "left").join(colors, [model, color], "left")
     is_now, was = F.col("is_now").isNotNull(), F.col("was").isNotNull()
     back = is_now & was & F.col("stock_now") & ~F.col("stock_before")
     repriced = is_now & was & F.coalesce(F.col("price_now") != F.col("price_before"), F.lit(False))
