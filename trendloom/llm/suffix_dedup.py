@@ -250,11 +250,11 @@ def _removed(threshold: int, with_text: bool):
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
                 if with_text:
-                    out["kept"].append(raw.decode("utf-8", "ignore"))
+                    out["kept"].append(raw if len(left) == len(text) else raw.decode("utf-8", "ignore").encode())
             cols = [batch.column(0), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                cols.append(pa.array(out["kept"], pa.string()))
+                cols.append(pa.array(out["kept"], pa.binary()).view(pa.string()))
                 names.append("kept")
             extra = [c for c in batch.schema.names if c.startswith("c_")]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(n) for n in extra)], [*names, *extra])
