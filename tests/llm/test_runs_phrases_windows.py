@@ -298,3 +298,14 @@ def test_segment_tree_equals_a_plain_search():
             left[at] -= need
     with pytest.raises(ValueError):
         window_packing.tightest_windows(np.array([5]), 4)
+
+
+def test_rows_of_phrases_do_not_grow_with_the_splits(spark, monkeypatch):
+    """The pass with strings has as many tasks as there are cores, however many splits the table has."""
+    from trendloom.llm import phrases
+
+    tasks, mined = [], phrases.mined
+    monkeypatch.setattr(phrases, "mined", lambda docs, *a: tasks.append(docs.rdd.getNumPartitions()) or mined(docs, *a))
+    docs = spark.createDataFrame([(i, "en", "one two three four") for i in range(80)], "doc_id long, lang string, text string").repartition(40)
+    got = {(r.phrase, r["count"]) for r in phrases.frequent_phrases(docs, least=80).collect()}
+    assert tasks[-1] <= spark.sparkContext.defaultParallelism < tasks[0] and ("one two three four", 80) in got and len(got) == 11

@@ -268,7 +268,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         filters = list(sent)
         keyed = mined(docs, lambda s, f=filters: _keyed(s, _read(f)), KEYS, shard_words)
         sent.append(docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, least, filter_bits)))
-    summed = mined(docs, lambda s: _phrased(s, _read(sent), longest), PHRASES, shard_words, True).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    # Each task tells a phrase once, so a task for each core, not for each split of a growing table, makes the rows that are summed.
+    few = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    summed = mined(few, lambda s: _phrased(s, _read(sent), longest), PHRASES, shard_words, True).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return stash(summed.filter((F.col("phrase") == "") | (F.col("count") >= least)).select("lang", size.alias("size"), "phrase", "count"), "phrases")
 
