@@ -93,6 +93,52 @@ def test_links_of_blocks(spark):
     assert identity.pairs_within(many, ["block"], "item", apart).count() == 997  # a large block asks the predicate too
 
 
+def reached(memberships):
+    """The smallest item that each item reaches, one block after the other."""
+    of, before, blocks = {i: i for _, i in memberships}, None, {}
+    for b, i in memberships:
+        blocks.setdefault(b, []).append(i)
+    blocks.pop(None, None)
+    while of != before:
+        before = dict(of)
+        for mine in blocks.values():
+            of |= dict.fromkeys(mine, min(of[i] for i in mine))
+    return of
+
+
+def test_components_of_blocks(spark):
+    chain = [(f"c{i}", j) for i in range(30) for j in (100 + i, 101 + i)] + [("far", 130), ("far", 7)]
+    hot = [("hot", 200 + i) for i in range(300)] + [("hot", 200)] * 50
+    loose = [("one", 900), (None, 901), (None, 902), ("two", 902), ("two", 903)]
+    rows = chain + hot + loose
+    items = spark.createDataFrame(rows, "block string, item long").repartition(3)
+    got = {r.item: r.component for r in identity.block_components(items, ["block"], "item").collect()}
+    assert got == reached(rows) and got[100] == 7 and got[901] == 901 and got[903] == 902
+
+
+def test_rounds_see_little_more_than_a_row_for_each_item(spark, tmp_path, monkeypatch):
+    """Not the pairs of supplier and part, of which each part has ten."""
+    import random
+
+    from trendloom import stars
+    from trendloom.plans import history
+
+    draw, parts = random.Random(5), 400
+    lines = [(s, p) for p in range(parts) for s in draw.sample(range(100), 10)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(parts).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 2).alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    seen, rounds = [], stars.connected_components
+
+    def counted(edges, *rest):
+        seen.append(edges.filter("u <> v").select(F.least("u", "v"), F.greatest("u", "v")).distinct().count())
+        return rounds(edges, *rest)
+
+    monkeypatch.setattr(stars, "connected_components", counted)
+    got = {r.node: r.component for r in history.families_components(spark, str(tmp_path)).collect()}
+    assert got == reached([((s, p % 2), p) for s, p in lines]) and len(got) == parts
+    assert seen[0] < 2 * parts
+
+
 def test_rows_are_numbered_like_one_sorted_list(spark):
     t = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("b"))
     got = [r.id for r in schedule.numbered(t, {"a": F.col("a")}, [F.col("b"), F.col("id")]).orderBy("place").collect()]

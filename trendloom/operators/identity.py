@@ -58,6 +58,25 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 60)
     return labels.join(found, "n", "left").select(F.col("n").alias(node), F.coalesce("component", "n").alias("component"))
 
 
+def block_components(items: DataFrame, block: list[str], item: str) -> DataFrame:
+    """The smallest item that each item reaches, where being in one block is the relation itself; raises if rounds do not settle.
+    items: a row for each item of a block, repeated or not; an item that no other shares a block with, or without a block, is alone.
+
+    Each item stands beside the least item m of each of its blocks; l is the least m it has. What is linked is m and l, and the
+    item and l: nearly all rows then say the same, so the rounds see little more than one row an item. Minima are pre-aggregated
+    before the shuffle; rows are not sorted to meet them, and hot blocks and items are split (adaptive skew join).
+    """
+    stars.durable(items.sparkSession)
+    member = items.select(*block, F.col(item).alias("n"))
+    least = member.groupBy(*block).agg(F.min("n").alias("m"))
+    met = member.join(least.hint("shuffle_hash"), block).select("n", "m")
+    best = met.groupBy("n").agg(F.min("m").alias("l"))
+    both = met.join(best.hint("shuffle_hash"), "n").select("l", F.explode(F.array("n", "m")).alias("v"))
+    found = stars.connected_components(both.select(F.col("l").alias("u"), "v"), lambda e: e.checkpoint())
+    alone = items.select(F.col(item).alias("node")).distinct()
+    return alone.join(found, "node", "left").select(F.col("node").alias(item), F.coalesce("component", "node").alias("component"))
+
+
 def reanchor(fresh: DataFrame, prior: DataFrame, suffix: str = "--fresh") -> DataFrame:
     """Variants of refreshed families under the ids that they had before: anchored_id, fresh_id, brand, url, and what else
     fresh holds (a count, where equal variants stand in one row).

@@ -182,9 +182,9 @@ _FAMILY_KEY = """CASE WHEN p_size % 3 = 0 THEN 'style:' || p_type[1:2] || '-' ||
 
 def families_components(spark, sf):
     """Parts that one supplier and brand deliver belong together; the whole table, so there is no SQL for the closure."""
-    items = _read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(_read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    nodes = items.select(F.col("l_partkey").alias("node")).distinct()
-    return I.components(nodes, I.star_links(items, ["l_suppkey", "p_brand"], "l_partkey"), "node")
+    brands = _read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    items = _read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(brands, "l_partkey")
+    return I.block_components(items.withColumnRenamed("l_partkey", "node"), ["l_suppkey", "p_brand"], "node")
 
 
 _OLD = "o_orderdate < TIMESTAMP '1998-06-01'"
