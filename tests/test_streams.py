@@ -50,3 +50,32 @@ def test_running_state_goes_on_after_a_restart(spark, tmp_path):
     assert out["seen"] == {"a": ("2024-01-02", "2024-01-09", 4), "b": ("2024-01-03", "2024-01-03", 2)}
     # the later sighting of a is not verified; of b's two at one time the verified one counts
     assert out["new"] == {"a": ("FORMERLY_NEW", "2024-01-05"), "b": ("VERIFIED_NEW", "2024-01-03")}
+
+
+def test_rows_of_one_source_are_not_one_task(spark, tmp_path):
+    """Not even where Spark takes the sources for many, as it does in large snapshots."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    run = stateful.item_events(f"{tmp_path}/lane")
+
+    def snapshot(source, since):
+        rows = spark.range(since, 400).select(F.lit(source).alias("source"), F.concat(F.lit("i"), "id").alias("item"), F.concat(F.lit("m"), F.col("id") % 50).alias("model"), F.lit("black").alias("color"), F.lit(True).alias("in_stock"), F.lit(1.0).alias("price"))
+        rows.write.parquet(f"{tmp_path}/{source}{since}")
+        return spark.read.parquet(f"{tmp_path}/{source}{since}")
+
+    def told():
+        return {(r.source, r.event): r["count"] for r in read_lane(spark, f"{tmp_path}/lane", "events").groupBy("source", "event").count().collect()}
+
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        run(snapshot("s", 0), 0)
+        assert told() == {("s", "BASELINE"): 400}
+        run(snapshot("t", 0), 1)
+        assert told() == {("t", "BASELINE"): 400}
+        kept = read_lane(spark, f"{tmp_path}/lane", "items").filter("source = 's'").groupBy(F.input_file_name()).count().collect()
+        assert sum(r["count"] for r in kept) == 400 and len(kept) > 1
+        run(snapshot("s", 100), 2)
+        assert told() == {("s", "REMOVED"): 100, ("s", "UNCHANGED"): 300}
+    finally:
+        for name in names:
+            spark.conf.unset(name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trendloom import stars
 from trendloom.functions.expr import half_up, reasons
 
 
@@ -54,6 +55,7 @@ def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], mode
     An item of both catalogs can RESTOCK and have a PRICE_CHANGE at once, or is UNCHANGED. An item that only the new
     one has is a NEW_MODEL, a NEW_COLOR of a known model, or a RESTOCK if it or its colour was seen before (`seen`: all
     rows of earlier catalogs, the previous one by default). Others are REMOVED. In the first catalog all is BASELINE.
+    Rows meet by key in all shuffle partitions, as a task sorts all that it has of both catalogs.
     """
     if baseline:
         return current.select(*key, F.lit("BASELINE").alias("event"), F.lit(None).cast("double").alias("price_before"), F.col("price").alias("price_now"))
@@ -62,13 +64,14 @@ def catalog_events(current: DataFrame, previous: DataFrame, key: list[str], mode
     colors = history.select(model, color).distinct().withColumn("color_known", F.lit(True))
     a = current.select(*key, model, color, F.col("in_stock").alias("stock_now"), F.col("price").alias("price_now"), F.lit(True).alias("is_now"))
     b = previous.select(*key, F.col("in_stock").alias("stock_before"), F.col("price").alias("price_before"), F.lit(True).alias("was"))
-    both = a.join(b, key, "full")
+    # what is known is asked of the current rows only, before they meet the previous ones
+    a = stars.spread(a.join(models, model, "left").join(colors, [model, color], "left"), *key)
     if seen is None:
         # what the previous catalog has is no new item, so its items need not be met once more
-        both = both.withColumn("item_known", F.lit(None).cast("boolean"))
+        a = a.withColumn("item_known", F.lit(None).cast("boolean"))
     else:
-        both = both.join(seen.select(*key).distinct().withColumn("item_known", F.lit(True)), key, "left")
-    both = both.join(models, model, "left").join(colors, [model, color], "left")
+        a = a.join(stars.spread(seen.select(*key), *key).distinct().withColumn("item_known", F.lit(True)), key, "left")
+    both = a.join(stars.spread(b, *key), key, "full")
     is_now, was = F.col("is_now").isNotNull(), F.col("was").isNotNull()
     back = is_now & was & F.col("stock_now") & ~F.col("stock_before")
     repriced = is_now & was & F.coalesce(F.col("price_now") != F.col("price_before"), F.lit(False))

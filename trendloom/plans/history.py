@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from trendloom import stars
 from trendloom.functions import expr as X
 from trendloom.operators import identity as I
 from trendloom.operators import snapshots as S
@@ -51,6 +52,8 @@ SELECT o_orderpriority, o_orderstatus, a::BIGINT AS products_now, z::BIGINT AS p
 
 def _catalog(spark, sf, lo, hi):
     lines = _read(spark, sf, "lineitem").filter((F.col("l_shipdate") >= _ts(lo)) & (F.col("l_shipdate") < _ts(hi)))
+    # hardly two lines are of one item, so they are dealt as they are
+    lines = stars.spread(lines.select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity"), "l_suppkey", "l_partkey", "l_returnflag")
     return lines.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("model"), F.col("l_returnflag").alias("color")).agg((F.sum(F.col("l_quantity").cast("decimal(12,2)")) > 30).alias("in_stock"), F.max("l_quantity").alias("price")).withColumn("model", F.concat_ws("-", "s", "model")).drop("s").withColumn("item", F.concat_ws("-", "model", "color"))
 
 
@@ -247,8 +250,6 @@ def stream_folder(spark) -> str:
     """A new folder that all executors see."""
     import uuid
 
-    from trendloom import stars
-
     stars.durable(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 

@@ -53,6 +53,17 @@ def latest_rows(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
 
 
+#: Up to so many sources are sent to every task.
+MOST_SOURCES = 100_000
+
+
+def _sources(rows: DataFrame) -> DataFrame:
+    """The sources of rows. They are few and have many rows each, so they go to the rows: joined by source, all rows of one
+    would be in one task. Where there are more than MOST_SOURCES, Spark joins them as it likes."""
+    found = rows.select("source").distinct()
+    return F.broadcast(found) if found.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else found
+
+
 def item_events(path: str):
     """A foreachBatch function that turns snapshots of sources into events of their items, with the state as published tables.
 
@@ -60,8 +71,10 @@ def item_events(path: str):
     snapshot of each source), `seen` (every source, item, model and colour that ever was) and `events` (of the batch). A source
     without a state is a BASELINE; a source that is not in a batch keeps its state. All three are published at once, so a
     batch that fails leaves readers where they were and is taken up again; one that comes twice is published once. State is
-    joined by key, not held by a task; of rows that repeat an item in a snapshot one counts.
+    joined by key, not held by a task; of rows that repeat an item in a snapshot one counts. All shuffle partitions share a
+    batch, so memory of a task falls with their number.
     """
+    from trendloom import stars
     from trendloom.operators.snapshots import catalog_events
     from trendloom.sources.shards import lane, read_lane
 
@@ -69,24 +82,25 @@ def item_events(path: str):
     names = ["source", "item", "model", "color", "in_stock", "price"]
 
     def whole(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("source", "item").agg(F.max(F.struct(*names[2:])).alias("r")).select("source", "item", "r.*")
+        # a maximum of texts is found by sorting, so rows are dealt before and not sorted by what files hold
+        return stars.spread(batch.select(*names), "source", "item").groupBy("source", "item").agg(F.max(F.struct(*names[2:])).alias("r")).select("source", "item", "r.*")
 
     def state(batch: DataFrame, table: str, columns: list[str]) -> DataFrame:
         known = read_lane(batch.sparkSession, path, table)
         return batch.limit(0).select(*columns) if known is None else known.select(*columns)
 
     def items(batch: DataFrame) -> DataFrame:
-        kept = state(batch, "items", names).join(batch.select("source").distinct(), "source", "left_anti")
+        kept = state(batch, "items", names).join(_sources(batch), "source", "left_anti")
         return kept.unionByName(whole(batch).select(*names))
 
     def seen(batch: DataFrame) -> DataFrame:
-        return state(batch, "seen", names[:4]).unionByName(batch.select(*names[:4])).distinct()
+        return stars.spread(state(batch, "seen", names[:4]).unionByName(batch.select(*names[:4])), *names[:4]).distinct()
 
     def events(batch: DataFrame) -> DataFrame:
         now, before = whole(batch), state(batch, "items", names)
-        known = before.select("source").distinct()
+        known = _sources(before)
         first = now.join(known, "source", "left_anti").select("source", "item", F.lit("BASELINE").alias("event"), F.lit(None).cast("double").alias("price_before"), F.col("price").cast("double").alias("price_now"))
-        mine = batch.select("source").distinct()
+        mine = _sources(batch)
         old, history = (t.join(mine, "source", "left_semi").withColumn("model", scoped) for t in (before, state(batch, "seen", names[:4])))
         told = catalog_events(now.join(known, "source", "left_semi").withColumn("model", scoped), old, ["source", "item"], "model", "color", seen=history)
         return first.unionByName(told.withColumns({c: F.col(c).cast("double") for c in ("price_before", "price_now")}))
